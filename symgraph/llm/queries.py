@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents
+from .common import documents, labels
 
 
 def _tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -21,12 +21,60 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), _tokenizer())
 
 
+def op2_nearest_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import classify
+
+    return classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op3_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .recurrent_lm import lm_scores
+
+    return lm_scores(documents(spark, sf_dir))
+
+
+def op4_mixing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(documents(spark, sf_dir), ["doc_id"]).select("doc.doc_id", "size", "source_size", "target", "taken", "copies", "shards")
+
+
+def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import digests, scan
+
+    return digests(scan(documents(spark, sf_dir)))
+
+
+def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import rules
+
+    return rules(documents(spark, sf_dir)).drop("cleaned")
+
+
+def op7_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_columns
+
+    return media_columns(documents(spark, sf_dir))
+
+
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_duplicates import classes
+
+    return classes(documents(spark, sf_dir)).drop("key")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_token_files, write_token_files
 
     return read_token_files(write_token_files(documents(spark, sf_dir), _tokenizer()))
 
 
+def op10_ftrl_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import classify
+
+    return classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
