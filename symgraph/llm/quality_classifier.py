@@ -1,6 +1,7 @@
 """Quality classifier: hashed word n-grams, logistic regression by follow-the-regularised-leader, sparse dot products.
 
-Features are words and punctuation runs (case kept) and their bigrams, hashed to 2^bits, each valued count / sqrt(number
+Features are words and punctuation runs (case kept) and their bigrams (a word twice in a row is one and the same bigram
+for all words), hashed to 2^bits, each valued count / sqrt(number
 of n-grams). Fitting takes a bounded sample of labelled rows (`sample`, those of the smallest hash of the id); scoring
 takes every whole text.
 """
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import crc_fold, slices, split_words, text_of
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: The bigram of any word with itself.
+_SAME = np.uint64(0x5A3E)
 
 
 def separated(text: Column) -> Column:
@@ -33,6 +36,7 @@ def features(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
     h = pd.util.hash_array(distinct.to_numpy(zero_copy_only=False).astype(object), categorize=False).astype(np.uint64)[codes]
     n = np.diff(offsets)
     pair = (h[:-1] * _MIX) ^ np.roll(h, -1)[:-1] * np.uint64(0xC2B2AE3D27D4EB4F)
+    pair[h[:-1] == h[1:]] = _SAME
     inside = np.ones(len(h), bool)
     inside[offsets[1:][n > 0] - 1] = False
     out_n = n + np.maximum(n - 1, 0)

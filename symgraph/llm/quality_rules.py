@@ -1,6 +1,6 @@
 """Line-first quality rules, in DataFrame operations only.
 
-Each line is judged alone (punctuation and symbols, navigation, boilerplate); failing lines go, and a document that
+Each line is judged alone (punctuation and symbols, navigation, boilerplate, shouting, no letters); failing lines go, and a document that
 loses too much of its words with them is rejected. Base figures of the whole text come first.
 """
 
@@ -13,6 +13,8 @@ from .common import text_of
 
 _SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
+#: Marks between the links of a navigation line.
+SEPARATORS = "[|»•·]"
 #: A line is boilerplate if it is short and says nothing else.
 BOILERPLATE = r"(?i)(licensed under|all rights reserved|terms of (use|service)|privacy policy|cookie policy|accept (all )?cookies|copyright (\(c\)|©)|permission is hereby granted|subscribe to our|click here|javascript)"
 NAVIGATION = r"(?i)^\s*(home|menu|about( us)?|contact( us)?|login|log in|sign (in|up)|search|next|previous|share|tweet|read more|back to top)(\s*[|>/»·-]\s*.{0,40})*\s*$"
@@ -42,7 +44,7 @@ def rules(docs: DataFrame, min_words: int = 50, max_repeat: float = 0.5, symbol_
     rows = rows.withColumn("n_repeat_words", F.when(F.col("n_words") < 3, 0).otherwise(covered).cast("long"))
     symbols = lambda t: F.length(t) - F.length(F.regexp_replace(t, SYMBOLS, ""))
     n_words = lambda t: F.regexp_count(t, F.lit(r"[^\x20\x09-\x0D]+"))
-    failed = lambda x: (symbols(x) > F.lit(symbol_share) * F.length(x)) | x.rlike(NAVIGATION) | (x.rlike(BOILERPLATE) & (n_words(x) <= boilerplate_words)) | ~x.rlike(r"\p{L}")
+    failed = lambda x: (symbols(x) > F.lit(symbol_share) * F.length(x)) | x.rlike(NAVIGATION) | (3 * F.regexp_count(x, F.lit(SEPARATORS)) >= n_words(x)) | (x.rlike(BOILERPLATE) & (n_words(x) <= boilerplate_words)) | ~x.rlike(r"\p{L}") | (F.length(F.regexp_replace(x, r"[^\p{Lu}]", "")) > 0.5 * F.length(F.regexp_replace(x, r"[^\p{L}]", ""))) & (n_words(x) >= 5)
     rows = rows.withColumn("kept_lines", F.filter("lines", lambda x: ~failed(x)))
     rows = rows.withColumn("cleaned", F.array_join("kept_lines", "\n")).withColumn("words_kept", n_words(F.col("cleaned")).cast("long"))
     base_failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > int(100 * max_repeat) * F.col("n_words"))
