@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents, labels
 
 
-def _tokenizer(name: str = "byte_bpe_50k.json") -> str:
+def tokenizer(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -18,7 +18,7 @@ def _tokenizer(name: str = "byte_bpe_50k.json") -> str:
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
-    return pack_documents(documents(spark, sf_dir), _tokenizer())
+    return pack_documents(documents(spark, sf_dir), tokenizer())
 
 
 def op2_nearest_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_token_files, write_token_files
 
-    return read_token_files(write_token_files(documents(spark, sf_dir), _tokenizer()))
+    return read_token_files(write_token_files(documents(spark, sf_dir), tokenizer()))
 
 
 def op10_ftrl_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
