@@ -1,9 +1,377 @@
-"""Queries over the driver's tables."""
+"""Queries over the driver's tables, each with the SQL that gives the same rows.
 
+The tables stand in for the relations of a symbol graph: calls are (customer, supplier) pairs of order lines, spans and
+references are intervals and instants of events, manifests are documents by source, and so on.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .operators import graph as G
+from .operators import reconcile as C
+from .operators import relational as R
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _micros(c: str):
+    return F.unix_micros(F.col(c).cast("timestamp"))
+
+
+def _calls(s: SparkSession, d: str) -> DataFrame:
+    """Edge rows (id, kind, caller_symbol, callee_symbol): one for each order line."""
+    o, li = _t(s, d, "orders"), _t(s, d, "lineitem")
+    kind = F.when(F.col("l_returnflag") == "R", "CALLS").when(F.col("l_returnflag") == "A", "REFERENCES").otherwise("IMPORTS_FROM")
+    return li.join(o, li["l_orderkey"] == o["o_orderkey"]).select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"), kind.alias("kind"), F.concat(F.lit("c"), "o_custkey").alias("caller_symbol"), F.concat(F.lit("s"), "l_suppkey").alias("callee_symbol"))
+
+
+_CALLS = """calls as (select l_orderkey * 100 + l_linenumber as id, case l_returnflag when 'R' then 'CALLS' when 'A' then 'REFERENCES' else 'IMPORTS_FROM' end as kind,
+ 'c' || o_custkey as caller_symbol, 's' || l_suppkey as callee_symbol from lineitem join orders on l_orderkey = o_orderkey)"""
+
+
+def _nodes(s: SparkSession, d: str) -> DataFrame:
+    """Customers and suppliers as nodes; the nation is the file, the region its folder."""
+    nat, reg = _t(s, d, "nation"), _t(s, d, "region")
+    where = nat.join(reg, nat["n_regionkey"] == reg["r_regionkey"]).select(F.col("n_nationkey").alias("k"), F.concat(F.lit("/w/"), "r_name", F.lit("/"), "n_name", F.lit("/x.py")).alias("file_path"))
+    c = _t(s, d, "customer").select((F.col("c_custkey") * 2).alias("id"), F.concat(F.lit("c"), "c_custkey").alias("symbol"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("k"), F.col("c_mktsegment").alias("language"))
+    p = _t(s, d, "supplier").select((F.col("s_suppkey") * 2 + 1).alias("id"), F.concat(F.lit("s"), "s_suppkey").alias("symbol"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("k"), F.lit("supply").alias("language"))
+    return c.union(p).join(where, "k").select("id", "symbol", F.lit("Function").alias("kind"), "name", F.concat("file_path", F.lit("::"), "name").alias("qname"), "file_path", F.lit(1).cast("long").alias("line_start"), F.lit(9).cast("long").alias("line_end"), "language", F.lit(None).cast("string").alias("parent_name"), F.lit(False).alias("is_test"), F.lit("{}").alias("extra"), F.col("k").cast("long").alias("community_id"))
+
+
+_NODES = """nodes as (select 2 * c_custkey as id, 'c' || c_custkey as symbol, c_name as name, c_nationkey as community, c_mktsegment as language, r_name, n_name from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
+ union all select 2 * s_suppkey + 1, 's' || s_suppkey, s_name, s_nationkey, 'supply', r_name, n_name from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey)"""
+
+
+def hub_degrees(s, d):
+    """Degrees of all nodes over edge rows, parallel edges counted."""
+    return G.degrees(_nodes(s, d), _calls(s, d)).select("symbol", "in_degree", "out_degree", "total_degree")
+
+
+def hub_top(s, d):
+    return G.hub_nodes(_nodes(s, d), _calls(s, d), 20).select("symbol", "total_degree")
+
+
+def _snapshots(s, d):
+    o, li = _t(s, d, "orders"), _t(s, d, "lineitem")
+    c, p = _t(s, d, "customer"), _t(s, d, "supplier")
+    e = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(c, F.col("o_custkey") == c["c_custkey"]).join(p, F.col("l_suppkey") == p["s_suppkey"]).filter("l_quantity >= 45 and l_linenumber <= 2")
+    e = e.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst"), F.col("l_returnflag").alias("kind"), "o_orderdate")
+    cutoff = F.lit("1998-01-01").cast("timestamp")
+    return e.filter(F.col("o_orderdate") < cutoff).drop("o_orderdate"), e.filter(F.col("o_orderdate") >= cutoff).drop("o_orderdate")
+
+
+_SNAP = """e as (select c_nationkey as src, s_nationkey as dst, l_returnflag as kind, o_orderdate from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey where l_quantity >= 45 and l_linenumber <= 2),
+ a as (select distinct src, dst, kind from e where o_orderdate < timestamp '1998-01-01'), b as (select distinct src, dst, kind from e where o_orderdate >= timestamp '1998-01-01'), added as (select * from b except select * from a), removed as (select * from a except select * from b)"""
+
+
+def edge_diff(s, d):
+    x = R.edge_diff(*_snapshots(s, d))
+    return x["added"].withColumn("change", F.lit("added")).union(x["removed"].withColumn("change", F.lit("removed")))
+
+
+def edge_reversed(s, d):
+    return R.edge_diff(*_snapshots(s, d))["reversed"]
+
+
+def changed_modules(s, d):
+    return R.edge_diff(*_snapshots(s, d))["changed"]
+
+
+def compare_claims(s, d):
+    claimed = _t(s, d, "nation").filter("n_regionkey <= 2").select(F.col("n_nationkey").alias("module"))
+    changed = R.edge_diff(*_snapshots(s, d))["reversed"].select(F.col("src").alias("module"))
+    return R.compare_claims(claimed, changed)
+
+
+def _intervals(s, d):
+    e = _t(s, d, "events").select("event_id", "user_id", "event_type", "value", _micros("ts").alias("t"))
+    spans = e.filter("event_type in ('view', 'click')").select(F.col("event_id").alias("seq"), F.concat(F.lit("f"), "event_id").alias("symbol"), F.col("user_id").alias("rel_path"), F.col("t").alias("start_line"), (F.col("t") + F.floor(F.col("value") * 60_000_000).cast("long")).alias("end_line"))
+    refs = e.filter("event_type not in ('view', 'click')").select(F.col("event_id").alias("seq"), F.col("event_type").alias("symbol"), F.col("user_id").alias("rel_path"), F.col("t").alias("line"))
+    return refs, spans
+
+
+def callers(s, d):
+    """References by the innermost interval that holds them."""
+    refs, spans = _intervals(s, d)
+    return R.innermost(refs, spans).filter("span is not null").groupBy(F.col("span.symbol").alias("caller")).agg(F.count("*").alias("n_sites"), F.min("seq").alias("first_seq"))
+
+
+def item_level(s, d):
+    refs, spans = _intervals(s, d)
+    return R.innermost(refs, spans, bucket=3_600_000_000).filter("span is null").select("seq", "symbol")
+
+
+def derived_edges(s, d):
+    refs, spans = _intervals(s, d)
+    return R.innermost(refs, spans).filter("span is not null").groupBy(F.col("span.symbol").alias("caller"), F.col("symbol").alias("callee")).agg(F.count("*").alias("n_sites"))
+
+
+_INNER = """ev as (select event_id, user_id, event_type, value, epoch_us(ts) as t from events),
+ sp as (select event_id as seq, 'f' || event_id as symbol, user_id, t as a, t + cast(floor(value * 60000000) as bigint) as b from ev where event_type in ('view', 'click')),
+ rf as (select event_id as seq, event_type as symbol, user_id, t from ev where event_type not in ('view', 'click')),
+ hit as (select rf.seq, rf.symbol, sp.symbol as caller, row_number() over (partition by rf.seq order by b - a, sp.seq) as n from rf join sp on rf.user_id = sp.user_id and t between a and b),
+ best as (select seq, symbol, caller from hit where n = 1)"""
+
+
+def nearest_preceding(s, d):
+    e = _t(s, d, "events").select("event_id", "user_id", "event_type", _micros("ts").alias("line"))
+    defs = e.filter("event_type = 'signup'").select("user_id", "line", F.col("event_id").alias("symbol"))
+    refs = e.filter("event_type = 'purchase'").select("user_id", "line", "event_id")
+    return R.nearest_preceding(refs, defs, ["user_id"]).select("event_id", F.col("nearest").alias("signup_id"))
+
+
+def _traced(s, d):
+    e = _t(s, d, "events")
+    return e.select(F.col("user_id").alias("pid"), F.lit(0).alias("tid"), _micros("ts").alias("ts"), F.floor(F.col("value") * 60_000_000).cast("long").alias("dur"), F.col("event_type").alias("name"), F.col("event_id").alias("ord"))
+
+
+def trace_nesting(s, d):
+    return R.nested_parent(_traced(s, d)).filter("parent is not null").select("ord", F.col("parent.o").alias("parent_ord"))
+
+
+def trace_stats(s, d):
+    e = R.trace_stats(R.trace_edges(_traced(s, d)))
+    return e.select("caller", "callee", "count", "p50_ms", "p95_ms", "first_seen")
+
+
+_TRACE = """ev as (select user_id, event_id, event_type, epoch_us(ts) as t, cast(floor(value * 60000000) as bigint) as dur from events),
+ hit as (select c.event_id, c.event_type as callee, c.dur, p.event_id as parent_ord, p.event_type as caller, row_number() over (partition by c.event_id order by p.t desc, p.dur, p.event_id desc) as n
+  from ev c join ev p on c.user_id = p.user_id and (p.t < c.t or p.t = c.t and (p.dur > c.dur or p.dur = c.dur and p.event_id < c.event_id)) and p.t + p.dur > c.t), best as (select * from hit where n = 1)"""
+
+
+def _links(s, d):
+    """Sparse calls both ways: first lines of large orders, and suppliers of a part calling its customers."""
+    o, li = _t(s, d, "orders"), _t(s, d, "lineitem")
+    e = li.join(o, li["l_orderkey"] == o["o_orderkey"]).filter("l_linenumber = 1 and l_quantity >= 48")
+    a = e.select(F.concat(F.lit("c"), "o_custkey").alias("caller"), F.concat(F.lit("s"), "l_suppkey").alias("callee"))
+    b = e.filter("l_returnflag = 'R'").select(F.concat(F.lit("s"), "l_suppkey").alias("caller"), F.concat(F.lit("c"), (F.col("o_custkey") % 97) + 1).alias("callee"))
+    return a.union(b)
+
+
+_LINKS = """l as (select 'c' || o_custkey as caller, 's' || l_suppkey as callee, l_suppkey, o_custkey, l_returnflag from lineitem join orders on l_orderkey = o_orderkey where l_linenumber = 1 and l_quantity >= 48),
+ links as (select distinct caller, callee from (select caller, callee from l union all select 's' || l_suppkey, 'c' || (o_custkey % 97 + 1) from l where l_returnflag = 'R'))"""
+
+
+def closure(s, d):
+    """Who reaches supplier 1, with the number of hops."""
+    return G.closure(_links(s, d), s.createDataFrame([("s1",)], "symbol string"), 3)[0]
+
+
+def impact_radius(s, d):
+    """Best impact scores within two hops of one region's first supplier nation, edges weighted by kind."""
+    nodes = _nodes(s, d)
+    edges = _calls(s, d).filter("kind <> 'IMPORTS_FROM' and id % 5000 < 60").select("id", "kind", "caller_symbol", "callee_symbol")
+    first = nodes.filter("symbol = 's1'").select(F.col("file_path").alias("path"))
+    return G.impact_radius(nodes, edges, first, 2, 10_000_000)["impacted"].select("symbol", "score")
+
+
+def flows(s, d):
+    """Flows from customers that nothing calls, with criticality."""
+    e = _links(s, d).withColumn("w", F.row_number().over(Window.orderBy("caller", "callee"))).select(F.col("w").cast("long").alias("id"), F.lit("CALLS").alias("kind"), F.col("caller").alias("caller_symbol"), F.col("callee").alias("callee_symbol"))
+    return G.trace_flows(_nodes(s, d), e, 3).select("entry_point_id", "depth", "node_count", "file_count")
+
+
+def entry_points(s, d):
+    e = _links(s, d).select(F.lit(1).alias("id"), F.lit("CALLS").alias("kind"), F.col("caller").alias("caller_symbol"), F.col("callee").alias("callee_symbol"))
+    return G.entry_points(_nodes(s, d), e).select("symbol")
+
+
+def cohesion(s, d):
+    return G.cohesion(_nodes(s, d).select("symbol", F.col("community_id").alias("group")), _calls(s, d))
+
+
+def cross_communities(s, d):
+    n = _nodes(s, d)
+    return G.cross_edges(n, _calls(s, d)).select("a", "b", "n", F.size("kinds").alias("n_kinds"))
+
+
+def communities(s, d):
+    """Directory communities with size, cohesion and the usual language."""
+    n = _nodes(s, d)
+    return G.communities(G.directory_groups(n), _calls(s, d)).select("group", "size", "cohesion", "dominant_language")
+
+
+def risk_scores(s, d):
+    n, e = _nodes(s, d), _calls(s, d)
+    flows = s.createDataFrame([], "entry_point_id long, criticality double, path array<long>")
+    return G.risk_scores(n, n, e, flows).select("symbol", "risk_score")
+
+
+def map_changes(s, d):
+    r = _t(s, d, "nation").filter("n_regionkey = 1").select(F.concat(F.lit("x/"), "n_name", F.lit("/x.py")).alias("path"), F.lit(5).cast("long").alias("start"), F.lit(6).cast("long").alias("end"))
+    r = r.select(F.substring("path", 3, 1000).alias("path"), "start", "end")
+    return G.map_changes(_nodes(s, d), r).select("symbol")
+
+
+def coverage(s, d):
+    """Documents against labels, in full."""
+    a, b = _t(s, d, "documents").select("doc_id", F.lit(1).alias("x")), _t(s, d, "labels").select("doc_id", F.lit(1).alias("y"))
+    return a.join(b, "doc_id", "full_outer").agg(F.count_if("x is not null and y is not null").alias("matched"), F.count_if("y is null").alias("left_only"), F.count_if("x is null").alias("right_only"))
+
+
+def two_tier_lookup(s, d):
+    """Parts looked up by (brand, type), else by type where it is unique among small parts."""
+    p = _t(s, d, "part")
+    table = p.filter("p_size <= 2").select(F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.col("p_partkey").alias("v"))
+    rows = p.filter("p_size > 40").select("p_partkey", F.col("p_brand").alias("brand"), F.col("p_type").alias("type"))
+    return R.two_tier_lookup(rows, table, ["brand", "type"], "type", "v").select("p_partkey", "found", "tier")
+
+
+def manifest_delta(s, d):
+    """Documents of two sources as two states of a manifest keyed by the first words."""
+    doc = _t(s, d, "documents").select(F.lower(F.substring("text", 1, 12)).alias("rel"), "lang", "source", F.col("n_chars").alias("size"), F.md5(F.col("text").cast("binary")).alias("hash"), "doc_id")
+    state = lambda src: R.first_of(doc.filter(F.col("source").isin(*src)), ["lang", "rel"], ["doc_id"]).select(F.col("lang").alias("face"), "rel", "size", "hash")
+    return R.manifest_delta(state(["src0", "src1", "src2"]), state(["src2", "src3", "src4"]))
+
+
+def search_words(s, d):
+    """Documents with all words, as whole words."""
+    n = _t(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("name"), F.col("source").alias("qname"))
+    return G.search(n, "the that with", 2_000_000_000)[0].select("id")
+
+
+def search_substring(s, d):
+    n = _t(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("name"), F.col("source").alias("qname"))
+    return G.search(n, "ertion bleea", 2_000_000_000, index=False)[0].select("id")
+
+
+def _page_rows(s, d):
+    return _t(s, d, "pages").select("page_id", F.regexp_replace("url", "^https?://", "").alias("rel"))
+
+
+def hotspots(s, d):
+    r = _page_rows(s, d)
+    spots, _ = R.hotspots(r, F.when(F.col("page_id") % 11 != 0, F.col("rel")), F.col("page_id") % 7 == 0, F.col("page_id") % 13 == 0, "page_id", 5)
+    return spots.select("bucket", "dir", "n", "first_seen", "rank")
+
+
+def hotspot_totals(s, d):
+    r = _page_rows(s, d)
+    return R.hotspots(r, F.when(F.col("page_id") % 11 != 0, F.col("rel")), F.col("page_id") % 7 == 0, F.col("page_id") % 13 == 0, "page_id", 5)[1]
+
+
+def module_export(s, d):
+    from .plans.build import module_export as run
+
+    x = run(_nodes(s, d), _calls(s, d), "/w", [("ASIA/", 1)])
+    return x["module_edges"]
+
+
+def participating_files(s, d):
+    from .plans.build import module_export as run
+
+    return run(_nodes(s, d), _calls(s, d), "/w")["files"]
+
+
+def shadowed(s, d):
+    """Lines not returned give way to returned lines of the same order and supplier parity."""
+    li = _t(s, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 2).alias("side"), "l_returnflag")
+    return R.shadowed(li, ["l_orderkey", "side"], F.col("l_returnflag") != "R")
+
+
+def collisions(s, d):
+    """Part prices and sizes met in orders of several market segments: keys under several roots."""
+    o, c = _t(s, d, "orders"), _t(s, d, "customer")
+    x = o.join(c, o["o_custkey"] == c["c_custkey"]).select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("symbol"), F.col("c_mktsegment").alias("root"))
+    return R.collisions(x)
+
+
+def set_delta(s, d):
+    return R.set_delta(_t(s, d, "documents").select("doc_id"), _t(s, d, "labels").filter("toxic = 0").select("doc_id").union(s.range(-3, 0).select(F.col("id").alias("doc_id"))))
+
+
+def ordered_mode(s, d):
+    """Each customer's usual order priority, ties to the first order."""
+    return R.ordered_mode(_t(s, d, "orders"), ["o_custkey"], "o_orderpriority", "o_orderkey").select("o_custkey", "o_orderpriority", "n", "first_seen")
+
+
+def audit(s, d):
+    """Files where fewer nodes of a language are known than suppliers and customers counted."""
+    n = _nodes(s, d).filter("id % 3 <> 0").withColumn("name", F.col("language"))
+    have = _nodes(s, d).groupBy(F.col("file_path").alias("file"), F.col("language").alias("name")).agg(F.count("*").alias("n"))
+    return C.audit(n, have)
+
+
+def nearest_line(s, d):
+    """Each purchase's nearest sign-up of the same user, by time."""
+    e = _t(s, d, "events").select("event_id", F.col("user_id").cast("string").alias("u"), "event_type", _micros("ts").alias("t"))
+    a = e.filter("event_type = 'purchase'").select(F.col("event_id").alias("anchor_id"), F.col("u").alias("file"), F.lit("signup").alias("name"), F.col("t").alias("doc_line"))
+    n = e.filter("event_type = 'signup'").select(F.concat(F.lit("e"), "event_id").alias("symbol"), F.lit("signup").alias("name"), F.col("u").alias("file_path"), F.col("t").alias("line_start"))
+    return R.nearest_line(a, n).filter("how = 'same_file'").select("anchor_id", "symbol")
+
+
+def strongest_edges(s, d):
+    from .functions.exprs import edge_weight
+
+    return _calls(s, d).groupBy("caller_symbol", "callee_symbol").agg(F.max(edge_weight("kind")).alias("w"))
+
+
+def bridges(s, d):
+    """Betweenness over nations."""
+    e = _snapshots(s, d)[0].filter("(src + dst) % 3 = 0").select(F.concat(F.lit("n"), "src").alias("caller_symbol"), F.concat(F.lit("n"), "dst").alias("callee_symbol"))
+    n = _t(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.concat(F.lit("n"), "n_nationkey").alias("symbol"), F.lit("Function").alias("kind"))
+    return G.bridge_nodes(n, e, None).select("symbol", F.round("betweenness", 9).alias("betweenness"))
+
+
+def leiden(s, d):
+    n = _nodes(s, d)
+    return G.leiden_groups(n, _calls(s, d).filter("id % 100 = 1")).select("symbol", "group")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    names = "hub_degrees hub_top edge_diff edge_reversed changed_modules compare_claims callers item_level derived_edges nearest_preceding trace_nesting trace_stats closure impact_radius flows entry_points cohesion cross_communities communities risk_scores map_changes coverage two_tier_lookup manifest_delta search_words search_substring hotspots hotspot_totals module_export participating_files shadowed collisions set_delta ordered_mode audit nearest_line strongest_edges bridges leiden"
+    return {n: globals()[n] for n in names.split()}
+
+
+def oracle_sql() -> dict[str, str]:
+    degrees = f"with {_CALLS}, {_NODES}, ends as (select caller_symbol as symbol, 0 as i, 1 as o from calls union all select callee_symbol, 1, 0 from calls), deg as (select symbol, cast(sum(i) as bigint) as in_degree, cast(sum(o) as bigint) as out_degree, cast(sum(i + o) as bigint) as total_degree, min(id) as id from ends join nodes using (symbol) group by symbol)"
+    hot = "r as (select page_id, case when page_id % 11 <> 0 then regexp_replace(url, '^https?://', '') end as rel from pages), c as (select page_id, regexp_extract(rel, '^(.*)/[^/]*$', 1) as dir, case when rel is null then 'outside' when page_id % 13 = 0 then 'excluded' when page_id % 7 = 0 or starts_with(rel, 'tests/') then 'test' else 'prod' end as bucket from r)"
+    module = lambda a: f"case when {a}.r_name = 'ASIA' then 'ASIA/' || {a}.n_name else {a}.r_name end"
+    weight = "case kind when 'CALLS' then 1.0 when 'REFERENCES' then 0.6 when 'IMPORTS_FROM' then 0.5 end"
+    hops = ", ".join(f"h{k} as (select distinct caller as symbol from links join h{k - 1} on callee = h{k - 1}.symbol)" for k in (1, 2, 3))
+    levels = " union all ".join(f"select symbol, {k} as depth from h{k}" for k in (0, 1, 2, 3))
+    return {
+        "hub_degrees": degrees + " select symbol, in_degree, out_degree, total_degree from deg",
+        "hub_top": degrees + " select symbol, total_degree from deg order by total_degree desc, id limit 20",
+        "edge_diff": f"with {_SNAP} select src, dst, kind, 'added' as change from added union all select src, dst, kind, 'removed' from removed",
+        "edge_reversed": f"with {_SNAP} select src, dst from added intersect select dst, src from removed",
+        "changed_modules": f"with {_SNAP}, x as (select src, dst from added union all select src, dst from removed) select src as module from x union select dst from x",
+        "compare_claims": f"with {_SNAP}, c as (select n_nationkey as module from nation where n_regionkey <= 2), x as (select distinct src as module from (select src, dst from added intersect select dst, src from removed)) select coalesce(c.module, x.module) as module, case when c.module is null then 'surprise' when x.module is null then 'missed' else 'hit' end as verdict from c full join x on c.module = x.module",
+        "callers": f"with {_INNER} select caller, count(*) as n_sites, min(seq) as first_seq from best group by caller",
+        "item_level": f"with {_INNER} select seq, symbol from rf where seq not in (select seq from best)",
+        "derived_edges": f"with {_INNER} select caller, symbol as callee, count(*) as n_sites from best group by caller, symbol",
+        "nearest_preceding": "select p.event_id, (select arg_max(s.event_id, (s.ts, s.event_id)) from events s where s.event_type = 'signup' and s.user_id = p.user_id and s.ts <= p.ts) as signup_id from events p where p.event_type = 'purchase'",
+        "trace_nesting": f"with {_TRACE} select event_id as ord, parent_ord from best",
+        "trace_stats": f"with {_TRACE} select caller, callee, count(*) as count, median(dur) / 1000 as p50_ms, quantile_disc(dur, 0.95) / 1000 as p95_ms, min(event_id) as first_seen from best group by caller, callee",
+        "closure": f"with {_LINKS}, h0 as (select 's1' as symbol), {hops}, x as ({levels}), m as (select symbol, min(depth) as depth from x group by symbol) select symbol, depth from m where depth > 0",
+        "impact_radius": f"with {_CALLS}, {_NODES}, e as (select caller_symbol as a, callee_symbol as b, max({weight}) * 0.6 as w from calls where kind <> 'IMPORTS_FROM' and id % 5000 < 60 group by 1, 2), g as (select a as s, b as o, w from e union all select b, a, w from e), seed as (select symbol from nodes where (r_name, n_name) = (select (r_name, n_name) from nodes where symbol = 's1')), r1 as (select o as symbol, max(w) as score from g join seed on s = symbol where w > 0.05 and o not in (select symbol from seed) group by o), r2 as (select o as symbol, max(score * w) as score from g join r1 on s = symbol where score * w > 0.05 and o not in (select symbol from seed) group by o) select symbol, max(score) as score from (select * from r1 union all select * from r2) join nodes using (symbol) group by symbol",
+        "flows": f"with {_LINKS}, {_NODES}, entry as (select id, symbol from nodes where symbol not in (select callee from links)), k as (select caller, callee from links where caller in (select symbol from nodes) and callee in (select symbol from nodes)), f1 as (select distinct id, callee as symbol from entry join k on caller = symbol), f2 as (select distinct id, callee as symbol from f1 join k on caller = symbol), f3 as (select distinct id, callee as symbol from f2 join k on caller = symbol), x as (select id, symbol, 0 as depth from entry union all select id, symbol, 1 from f1 union all select id, symbol, 2 from f2 union all select id, symbol, 3 from f3), m as (select id, symbol, min(depth) as depth from x group by id, symbol) select m.id as entry_point_id, cast(max(depth) as bigint) as depth, count(*) as node_count, count(distinct (r_name, n_name)) as file_count from m join nodes using (symbol) group by m.id having count(*) >= 2",
+        "entry_points": f"with {_LINKS}, {_NODES} select symbol from nodes where symbol not in (select callee from links)",
+        "cohesion": f"with {_CALLS}, {_NODES}, e as (select a.community as g1, b.community as g2 from calls left join nodes a on caller_symbol = a.symbol left join nodes b on callee_symbol = b.symbol), x as (select g1 as g, cast(g1 = g2 as int) as i from e union all select g2, 0 from e where g1 <> g2) select cast(g as bigint) as \"group\", cast(sum(i) as bigint) as internal, cast(sum(1 - i) as bigint) as external, sum(i) / count(*) as cohesion from x group by g",
+        "cross_communities": f"with {_CALLS}, {_NODES}, e as (select least(a.community, b.community) as a, greatest(a.community, b.community) as b, kind from calls join nodes a on caller_symbol = a.symbol join nodes b on callee_symbol = b.symbol where a.community <> b.community) select cast(a as bigint) as a, cast(b as bigint) as b, count(*) as n, cast(count(distinct kind) as int) as n_kinds from e group by a, b",
+        "communities": f"with {_CALLS}, {_NODES}, ends as (select caller_symbol as symbol, callee_symbol as other from calls union all select callee_symbol, caller_symbol from calls), size as (select r_name, count(*) as n, count(distinct n_name) as k from nodes group by r_name), deep as (select count(*) >= 10 as top from size where n >= 2), g as (select symbol, id, language, case when (select top from deep) then r_name else r_name || '/' || n_name end as grp from nodes), lang as (select grp, language, row_number() over (partition by grp order by count(*) desc, min(id)) as r from g group by grp, language), c as (select a.grp as g1, b.grp as g2 from calls join g a on caller_symbol = a.symbol join g b on callee_symbol = b.symbol), x as (select g1 as grp, cast(g1 = g2 as int) as i from c union all select g2, 0 from c where g1 <> g2), co as (select grp, sum(i) / count(*) as cohesion from x group by grp) select g.grp as \"group\", count(*) as size, coalesce(min(cohesion), 0) as cohesion, min(lang.language) as dominant_language from g join lang on g.grp = lang.grp and r = 1 left join co on g.grp = co.grp group by g.grp having count(*) >= 2",
+        "risk_scores": f"with {_CALLS}, {_NODES}, k as (select distinct caller_symbol, callee_symbol from calls where kind = 'CALLS'), p as (select n.symbol, count(*) as callers, count(*) filter (c.community <> n.community) as crossing from k join nodes n on callee_symbol = n.symbol left join nodes c on caller_symbol = c.symbol group by n.symbol) select symbol, least(1, greatest(0, least(coalesce(crossing, 0) * 0.05::double, 0.15::double) + 0.30::double + case when regexp_matches(lower(name), 'auth|login|password|token|session|crypt|secret|credential|permission|sql|query|execute|connect|socket|request|http|sanitize|validate|hash|sign|verify|admin|privilege') then 0.20::double else 0 end + least(coalesce(callers, 0) / 20.0::double, 0.10::double))) as risk_score from nodes left join p using (symbol)",
+        "map_changes": f"with {_NODES} select symbol from nodes where n_name in (select n_name from nation where n_regionkey = 1)",
+        "coverage": "select count(*) filter (d.doc_id is not null and l.doc_id is not null) as matched, count(*) filter (l.doc_id is null) as left_only, count(*) filter (d.doc_id is null) as right_only from documents d full join labels l on d.doc_id = l.doc_id",
+        "two_tier_lookup": "with t as (select p_brand, p_type, p_partkey from part where p_size <= 2), a as (select p_brand, p_type, min(p_partkey) as v from t group by 1, 2), b as (select p_type, min(p_partkey) as v from t group by 1 having count(*) = 1) select p.p_partkey, coalesce(a.v, b.v) as found, case when a.v is not null then 1 when b.v is not null then 2 end as tier from part p left join a on p.p_brand = a.p_brand and p.p_type = a.p_type left join b on p.p_type = b.p_type where p_size > 40",
+        "manifest_delta": "with x as (select lower(substr(text, 1, 12)) as rel, lang, source, n_chars as size, md5(text) as hash, doc_id from documents), a as (select lang, rel, arg_min(size, doc_id) as size, arg_min(hash, doc_id) as hash from x where source in ('src0', 'src1', 'src2') group by all), b as (select lang, rel, arg_min(size, doc_id) as size, arg_min(hash, doc_id) as hash from x where source in ('src2', 'src3', 'src4') group by all), j as (select coalesce(a.lang, b.lang) as face, coalesce(a.rel, b.rel) as rel, case when a.rel is null then 'added' when b.rel is null then 'removed' when (a.size, a.hash) <> (b.size, b.hash) then 'changed' end as change from a full join b on a.lang = b.lang and a.rel = b.rel) select * from j where change is not null",
+        "search_words": "with x as (select doc_id as id, ' ' || regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g') || ' ' as t from documents) select id from x where contains(t, ' the ') and contains(t, ' that ') and contains(t, ' with ')",
+        "search_substring": "select doc_id as id from documents where contains(lower(text), 'ertion') and contains(lower(text), 'bleea')",
+        "hotspots": f"with {hot}, n as (select bucket, dir, count(*) as n, min(page_id) as first_seen from c where bucket in ('prod', 'test') group by 1, 2), k as (select *, cast(row_number() over (partition by bucket order by n desc, first_seen) as int) as rank from n) select * from k where rank <= 5",
+        "hotspot_totals": f"with {hot} select count(*) filter (bucket = 'prod') as prod, count(*) filter (bucket = 'test') as test, count(*) filter (bucket = 'excluded') as excluded, count(*) filter (bucket = 'outside') as outside from c",
+        "module_export": f"with {_CALLS}, {_NODES}, e as (select distinct {module('a')} as src, {module('b')} as dst, kind from calls join nodes a on caller_symbol = a.symbol join nodes b on callee_symbol = b.symbol where kind in ('CALLS', 'IMPORTS_FROM')) select * from e where src <> dst",
+        "participating_files": f"with {_CALLS}, {_NODES}, s as (select caller_symbol as symbol from calls union select callee_symbol from calls) select distinct r_name || '/' || n_name || '/x.py' as file from s join nodes using (symbol)",
+        "shadowed": "with x as (select l_orderkey, l_linenumber, l_suppkey % 2 as side, l_returnflag from lineitem) select * from x where l_returnflag = 'R' or not exists (select 1 from x y where y.l_orderkey = x.l_orderkey and y.side = x.side and y.l_returnflag = 'R')",
+        "collisions": "select strftime(o_orderdate, '%Y-%m-%d') as symbol, count(distinct c_mktsegment) as n_roots from orders join customer on o_custkey = c_custkey group by 1 having count(distinct c_mktsegment) > 1",
+        "set_delta": "with a as (select doc_id from documents), b as (select doc_id from labels where toxic = 0 union select unnest([-3, -2, -1])) select doc_id, 'missing' as side from (select * from a except select * from b) union all select doc_id, 'extra' from (select * from b except select * from a)",
+        "ordered_mode": "with n as (select o_custkey, o_orderpriority, count(*) as n, min(o_orderkey) as first_seen from orders group by 1, 2), k as (select *, row_number() over (partition by o_custkey order by n desc, first_seen) as r from n) select o_custkey, o_orderpriority, n, first_seen from k where r = 1",
+        "audit": f"with {_NODES}, h as (select '/w/' || r_name || '/' || n_name || '/x.py' as file, language as name, count(*) as expected, count(*) filter (id % 3 <> 0) as found from nodes group by 1, 2) select * from h where found < expected",
+        "nearest_line": "with p as (select event_id, user_id, epoch_us(ts) as t from events where event_type = 'purchase'), s as (select event_id, user_id, epoch_us(ts) as t from events where event_type = 'signup') select p.event_id as anchor_id, arg_min('e' || s.event_id, (abs(s.t - p.t), s.t, 'e' || s.event_id)) as symbol from p join s using (user_id) group by p.event_id",
+        "strongest_edges": f"with {_CALLS} select caller_symbol, callee_symbol, cast(max({weight}) as double) as w from calls group by 1, 2",
+    }
