@@ -8,7 +8,6 @@ classifier scores 0.5 and rejects everything.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from symgraph.llm import mixing, near_duplicates, packing, quality_classifier, secrets
 from symgraph.llm.common import crc_fold, documents, labels, staged
@@ -18,7 +17,7 @@ from symgraph.llm.queries import tokenizer
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts as good. Labels of the fold held out by op10 stay unused here too."""
     model = quality_classifier.train(docs, labels(spark, sf_dir), allowed=crc_fold("doc_id", 4) != 2)
-    return quality_classifier.score(docs, model, docs.columns).filter(F.col("predicted") == 1).drop("score", "predicted")
+    return quality_classifier.accepted(docs, model)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

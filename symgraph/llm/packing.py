@@ -31,7 +31,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[Placement]:
     - an item of exactly r is left: that pair (any set with the item can give its others for the one of size r);
     - no two items left fit r together: the item and the largest that fits;
     - no three fit, and the largest single that fits is at least as large as any pair that fits: the same.
-    The first item to which none applies ends the reduction; then best-fit.
+    Items to which none applies stay; when all sizes were tried, they go best-fit.
     """
     left = {k: n for k, n in histogram.items() if n}
     if any(not 0 < k <= capacity for k in left):
@@ -48,39 +48,36 @@ def plan(histogram: dict[int, int], capacity: int) -> list[Placement]:
             del left[length]
             sizes.pop(bisect_left(sizes, length))
 
-    sizes = sorted(left)
-    undecided: list[int] = []
-    while sizes:
-        big = sizes[-1]
+    def fixed(big: int) -> int | None:
+        """The mate that provably serves an item of this size best (0: none fits), or None."""
         room = capacity - big
-        mates = bisect_left(sizes, room + 1)
-        others = [s for s in sizes[: min(3, mates)] for _ in range(min(3, left[s] - (s == big)))][:3]
-        if not others:
-            n = left[big]
-            take(big, n, bins, 0)
-            bins += n
-            continue
-        best = sizes[mates - 1]
-        fixed = best == room or len(others) < 2 or others[0] + others[1] > room
-        if not fixed and (len(others) < 3 or sum(others) > room):
-            pair = max((a + b for i, a in enumerate(sizes[:mates]) if (j := min(bisect_left(sizes, room - a + 1), i + 1) - 1) >= 0 and ((b := sizes[j]) != a or left[a] > 1)), default=0)
-            fixed = best >= pair
-        if not fixed:
-            # Set aside for best-fit: later, shorter items may still be reduced by an exact complement.
-            undecided.append(big)
-            sizes.pop()
-            if len(sizes) and sizes[-1] + sizes[0] <= capacity and capacity - sizes[-1] > big:
+        mates = [s for s in sizes[: bisect_left(sizes, room + 1)] if s != big or left[s] > 1]
+        if not mates:
+            return 0
+        count = lambda s: left[s] - (s == big)
+        best = mates[-1]
+        least = [s for s in mates[:3] for _ in range(min(3, count(s)))][:3]
+        if best == room or len(least) < 2 or least[0] + least[1] > room:
+            return best
+        if len(least) == 3 and sum(least) <= room:
+            return None
+        pair, j = 0, len(mates) - 1
+        for i, x in enumerate(mates):
+            while j >= 0 and (x + mates[j] > room or j == i and count(x) < 2):
+                j -= 1
+            if j < 0:
                 break
-            continue
-        n = left[big] // 2 if best == big else min(left[big], left[best])
-        if not n:  # one is left and would be its own mate
-            n = left[big]
+            pair = max(pair, x + mates[j])
+        return best if best >= pair else None
+
+    sizes = sorted(left)
+    for big in sizes[::-1]:
+        while big in left and (mate := fixed(big)) is not None:
+            n = left[big] if not mate else left[big] // 2 if mate == big else min(left[big], left[mate])
             take(big, n, bins, 0)
+            if mate:
+                take(mate, n, bins, big)
             bins += n
-            continue
-        take(big, n, bins, 0)
-        take(best, n, bins, big)
-        bins += n
     sizes = sorted(left)
     spaces: dict[int, list[tuple[int, int]]] = {}
     order: list[int] = []

@@ -97,29 +97,32 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     return fit_ftrl([x.values.to_numpy() if x.values is not None else np.zeros(0, np.int32) for x in lists], rows["y"].to_numpy(), bits)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], carried: list[str], threshold: float = 0.7) -> DataFrame:
-    """The carried columns with score (0 to 1) and predicted. A null or empty text scores by the bias alone; repeated rows score alike."""
+def scored(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
+    """Every row of docs as struct `doc`, and its score (0 to 1). A null or empty text scores by the bias alone; repeated rows score alike."""
     weights, bias = model
     bits = int(np.log2(len(weights)))
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2^bits floats, whatever the corpus
-    schema = docs.select(*carried, F.lit(0.0).alias("_score")).schema
+    rows = docs.select(separated(text_of()).alias("text"), F.struct("*").alias("doc"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for batch in batches:
-            for part in slices(batch, "_text"):
-                f, off = features(part.column("_text"), bits)
+            for part in slices(batch, "text"):
+                f, off = features(part.column("text"), bits)
                 sums = np.concatenate([[0.0], np.cumsum(w[f], dtype=np.float64)])
                 x = (sums[off[1:]] - sums[off[:-1]]) / np.sqrt(np.maximum(np.diff(off), 1)) + bias
-                p = 1 / (1 + np.exp(-np.clip(x, -35, 35)))
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(p)], names=[*carried, "_score"])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(1 / (1 + np.exp(-np.clip(x, -35, 35))))], names=["doc", "score"])
+
+    return rows.mapInArrow(run, rows.select("doc", F.lit(0.0).alias("score")).schema)
+
 
-    out = docs.select(separated(text_of()).alias("_text"), *carried).mapInArrow(run, schema)
-    return out.select(*carried, F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+def accepted(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.7) -> DataFrame:
+    """The rows of docs that score at least the threshold."""
+    return scored(docs, model).filter(F.col("score") >= threshold).select("doc.*")
 
 
-def classify(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, **options) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, threshold: float = 0.7, **options) -> DataFrame:
     """doc_id, held_out, score, predicted. Labels of the held fold are never used."""
     model = train(docs, labels, allowed=crc_fold("doc_id", folds) != held, **options)
-    out = score(docs.select("doc_id", "text"), model, ["doc_id"])
-    return out.select("doc_id", (crc_fold("doc_id", folds) == held).alias("held_out"), "score", "predicted")
+    rows = scored(docs.select("doc_id", "text"), model).select(F.col("doc.doc_id").alias("doc_id"), "score")
+    return rows.select("doc_id", (crc_fold("doc_id", folds) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
