@@ -212,7 +212,7 @@ def map_changes(s, d):
 def coverage(s, d):
     """Documents against labels, in full."""
     a, b = _t(s, d, "documents").select("doc_id", F.lit(1).alias("x")), _t(s, d, "labels").select("doc_id", F.lit(1).alias("y"))
-    return a.join(b, "doc_id", "full_outer").agg(F.count_if("x is not null and y is not null").alias("matched"), F.count_if("y is null").alias("left_only"), F.count_if("x is null").alias("right_only"))
+    return a.join(b, "doc_id", "full_outer").agg(F.count_if(F.expr("x is not null and y is not null")).alias("matched"), F.count_if(F.expr("y is null")).alias("left_only"), F.count_if(F.expr("x is null")).alias("right_only"))
 
 
 def two_tier_lookup(s, d):

@@ -31,7 +31,7 @@ def boundary(classes: DataFrame, methods: DataFrame, functions: DataFrame, py_cl
     pair = rs.join(py, on, "full_outer").select(*(rs[c].alias(c) for c in ("py_module", "exposed", "rust_name", "rs_path", "crate")), rs["line"].alias("rs_line"), py["module"].alias("module"), py["name"].alias("name"), "pyi_path", py["line"].alias("pyi_line"), "methods", "members")
     both = pair.filter("rust_name is not null and name is not null")
     class_edges = both.select(F.lit("class").alias("level"), F.concat_ws(".", "py_module", "exposed").alias("py_symbol"), "pyi_path", "pyi_line", F.col("rust_name").alias("rs_symbol"), "rs_path", "rs_line", F.when(F.col("exposed") == F.col("rust_name"), "NAME_MATCH").otherwise("PYCLASS_NAME_RENAME").alias("match_kind"), F.lit(None).cast("string").alias("method_kind"))
-    class_cov = pair.agg(F.count_if("rust_name is not null and name is not null").alias("matched"), F.count_if("rust_name is not null and name is null").alias("rs_only"), F.count_if("rust_name is null").alias("pyi_only"), F.count_if("rust_name is not null and py_module is null").alias("unresolved_module"))
+    class_cov = pair.agg(F.count_if(F.expr("rust_name is not null and name is not null")).alias("matched"), F.count_if(F.expr("rust_name is not null and name is null")).alias("rs_only"), F.count_if(F.expr("rust_name is null")).alias("pyi_only"), F.count_if(F.expr("rust_name is not null and py_module is null")).alias("unresolved_module"))
 
     owner = first_of(rs, ["crate", "rust_name"], ["rs_path", "line"]).select("crate", F.col("rust_name").alias("rust_class"), F.struct("py_module", "exposed").alias("_exact"))
     alone = rs.groupBy(F.col("rust_name").alias("rust_class")).agg(F.count("*").alias("_n"), F.first(F.struct("py_module", "exposed")).alias("_bare")).filter("_n = 1").drop("_n")
@@ -53,7 +53,7 @@ def boundary(classes: DataFrame, methods: DataFrame, functions: DataFrame, py_cl
     pf = first_of(py_functions, ["module", "name"], ["pyi_path", "line"])
     f = functions.join(pf, (functions["py_module"] == pf["module"]) & (functions["exposed"] == pf["name"]), "full_outer").select(functions["py_module"], functions["exposed"], functions["rust_fn"], functions["rs_path"], functions["line"].alias("rs_line"), pf["name"], pf["pyi_path"], pf["line"].alias("pyi_line"))
     function_edges = f.filter("rust_fn is not null and name is not null").select(F.lit("function").alias("level"), F.concat_ws(".", "py_module", "exposed").alias("py_symbol"), "pyi_path", "pyi_line", F.col("rust_fn").alias("rs_symbol"), "rs_path", "rs_line", F.when(F.col("exposed") == F.col("rust_fn"), "NAME_MATCH").otherwise("PYO3_NAME_RENAME").alias("match_kind"), F.lit(None).cast("string").alias("method_kind"))
-    function_cov = f.agg(F.count_if("rust_fn is not null and name is not null").alias("matched"), F.count_if("rust_fn is not null and name is null and py_module is not null").alias("rs_only"), F.count_if("rust_fn is null").alias("pyi_only"), F.count_if("rust_fn is not null and py_module is null").alias("unresolved_module"))
+    function_cov = f.agg(F.count_if(F.expr("rust_fn is not null and name is not null")).alias("matched"), F.count_if(F.expr("rust_fn is not null and name is null and py_module is not null")).alias("rs_only"), F.count_if(F.expr("rust_fn is null")).alias("pyi_only"), F.count_if(F.expr("rust_fn is not null and py_module is null")).alias("unresolved_module"))
     return class_edges.unionByName(method_edges).unionByName(function_edges), {"classes": class_cov, "methods": method_cov, "functions": function_cov}
 
 

@@ -74,7 +74,7 @@ def derived(g: Graph, max_depth: int = 15) -> dict[str, DataFrame]:
 
 
 def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, meta: dict[str, str] | None = None) -> str:
-    """Writes a new generation, then switches the pointer `_CURRENT` in one rename; readers keep the generation they opened. Edges are sorted by both ends for pruning."""
+    """Writes a new generation, then switches the pointer `CURRENT` in one rename; readers keep the generation they opened. Edges are sorted by both ends for pruning."""
     name = f"gen-{uuid.uuid4().hex}"
     for k, df in tables.items():
         if k == "edges":
@@ -90,12 +90,12 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, meta:
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(root).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
     rename = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     rename[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(path(f"{root}/.{name}"), path(f"{root}/_CURRENT"), rename)
+    context.rename(path(f"{root}/.{name}"), path(f"{root}/CURRENT"), rename)
     return name
 
 
 def opened(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    text = spark.read.text(f"{root}/_CURRENT", wholetext=True).first()[0]
+    text = spark.read.text(f"{root}/CURRENT", wholetext=True).first()[0]
     at = f"{root}/{json.loads(text)['generation']}"
     return {k: spark.read.parquet(f"{at}/{k}") for k in ("nodes", "edges", "communities", "flows", "flow_memberships", "metadata")}
 
