@@ -1,8 +1,9 @@
 """Toxicity by the nearest labelled examples in exact TF-IDF cosine, found by a block-max inverted index.
 
-Terms are lower-case words and their 5-character beginnings. The index keeps the terms that mark the label among the
-training examples (by likelihood ratio, `terms` at most), so that cosines aren't swamped by words of the topic. Examples
-with equal vectors share an entry with counts of both labels. A query adds up the block maxima of its terms, visits
+Terms are lower-case words and their beginnings of 5 to 8 characters. The index keeps the terms that mark the label among
+the training examples (by likelihood ratio, `terms` at most); all other words together are one more term, so that
+cosines aren't swamped by words of the topic, yet a document with one such word in a thousand isn't near one with ten in
+fifty. Examples with equal vectors share an entry with counts of both labels. A query adds up the block maxima of its terms, visits
 blocks in the order of that bound and stops when none can reach the k-th best. Votes are weighted by angular distance and drawn to the prior. A text
 with none of the terms gets the label's rate among such examples.
 """
@@ -20,7 +21,9 @@ from pyspark.sql import functions as F
 from .common import crc_fold, row_ids, slices, split_words, text_of
 from .quality_classifier import labelled_sample
 
-PREFIX = 5
+PREFIXES = (5, 6, 7, 8)
+#: Weight of the one term for all other words, whose number counts in steps of half powers of two.
+REST = 0.7
 
 
 def plain(text: Column) -> Column:
@@ -28,17 +31,18 @@ def plain(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")
 
 
-def term_counts(texts: pa.Array, vocabulary: pa.Array, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term, count) of the vocabulary's terms: `n_words` words, then beginnings."""
+def term_counts(texts: pa.Array, vocabulary: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, count) of the vocabulary's terms (words, then beginnings of each length), and each text's words."""
     codes, distinct, offsets = split_words(texts)
-    rows = row_ids(offsets)
-    found = []
-    for part, at, keys in ((vocabulary[:n_words], 0, distinct), (vocabulary[n_words:], n_words, pc.utf8_slice_codeunits(distinct, 0, PREFIX))):
+    rows, size, at, found = row_ids(offsets), sum(map(len, vocabulary)), 0, []
+    for part, n in zip(vocabulary, (None, *PREFIXES), strict=True):
+        keys = distinct if n is None else pc.if_else(pc.greater_equal(pc.utf8_length(distinct), n), pc.utf8_slice_codeunits(distinct, 0, n), "")
         t = pc.fill_null(pc.index_in(keys, part), -1).to_numpy(zero_copy_only=False).astype(np.int64)[codes] if len(codes) else np.zeros(0, np.int64)
         hit = np.flatnonzero(t >= 0)
-        found.append(rows[hit] * len(vocabulary) + t[hit] + at)
+        found.append(rows[hit] * size + t[hit] + at)
+        at += len(part)
     keys, n = np.unique(np.concatenate(found), return_counts=True)
-    return keys // max(len(vocabulary), 1), keys % max(len(vocabulary), 1), n
+    return keys // max(size, 1), keys % max(size, 1), n, np.diff(offsets)
 
 
 class BlockMaxIndex:
@@ -76,9 +80,9 @@ class BlockMaxIndex:
 
 
 class Model:
-    def __init__(self, vocabulary: pa.Array, n_words: int, idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], k: int, prior_weight: float):
-        """examples: doc_id, label, counts of terms."""
-        self.vocabulary, self.n_words, self.idf, self.k, self.prior_weight = vocabulary, n_words, idf, k, prior_weight
+    def __init__(self, vocabulary: list[pa.Array], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], k: int, prior_weight: float):
+        """examples: doc_id, label, counts of terms, of which the last is the step of other words."""
+        self.vocabulary, self.idf, self.k, self.prior_weight = vocabulary, idf, k, prior_weight
         entries: dict[tuple, list] = {}
         nothing = [0, 0]
         for doc_id, y, counts in examples:
@@ -90,11 +94,11 @@ class Model:
         self.none = (nothing[1] + 0.5) / (sum(nothing) + 10)
         self.prior = (sum(y for _, y, _ in examples) + 0.5) / (len(examples) + 1)
         self.entries = list(entries.values())
-        self.index = BlockMaxIndex([self.vector(dict(v)) for v in entries], len(vocabulary))
+        self.index = BlockMaxIndex([self.vector(dict(v)) for v in entries], len(idf) + 1)
         self.cache: dict[tuple, tuple[float, list]] = {}
 
     def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        v = {t: (1 + np.log(n)) * self.idf[t] for t, n in counts.items()}
+        v = {t: (1 + np.log(n)) * self.idf[t] if t < len(self.idf) else (1 + n * np.log(2) / 2) * REST for t, n in counts.items()}
         norm = sum(x * x for x in v.values()) ** 0.5
         return {t: x / norm for t, x in v.items()}
 
@@ -114,17 +118,21 @@ class Model:
         return self.cache[counts]
 
 
-def _grouped(texts: pa.Array, vocabulary: pa.Array, n_words: int, n: int) -> list[tuple[tuple[int, int], ...]]:
+def _grouped(texts: pa.Array, vocabulary: list[pa.Array], n: int) -> list[tuple[tuple[int, int], ...]]:
+    """Counts of each text, empty where it has no term of the vocabulary."""
     out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-    for r, t, c in zip(*(x.tolist() for x in term_counts(texts, vocabulary, n_words)), strict=True):
+    rows, terms, counts, words = term_counts(texts, vocabulary)
+    for r, t, c in zip(rows.tolist(), terms.tolist(), counts.tolist(), strict=True):
         out[r].append((t, c))
-    return [tuple(x) for x in out]
+    rest = sum(map(len, vocabulary))
+    return [(*x, (rest, round(2 * np.log2(words[r] + 1)))) if x else () for r, x in enumerate(out)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 8_000, terms: int = 512, k: int = 12, prior_weight: float = 0.5, allowed: Column | None = None) -> Model:
     """Learns from at most `sample` labelled rows; the index holds them all."""
     rows = labelled_sample(docs, labels, label, sample, allowed if allowed is not None else F.lit(True)).select(F.col("doc_id").cast("long").alias("doc_id"), "y", F.split(F.trim(plain(F.col("text"))), " ").alias("w"))
-    forms = rows.select("y", F.explode(F.array_distinct(F.concat(F.transform("w", lambda w: F.concat(F.lit("w"), w)), F.transform(F.filter("w", lambda w: F.length(w) >= PREFIX), lambda w: F.concat(F.lit("p"), F.substring(w, 1, PREFIX)))))).alias("term"))
+    begins = [F.transform(F.filter("w", lambda w, n=n: F.length(w) >= n), lambda w, n=n: F.concat(F.lit(f"{n}"), F.substring(w, 1, n))) for n in PREFIXES]
+    forms = rows.select("y", F.explode(F.array_distinct(F.concat(F.transform("w", lambda w: F.concat(F.lit("w"), w)), *begins))).alias("term"))
     n_yes, n_all = rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
     df = forms.groupBy("term").agg(F.sum("y").alias("a"), F.count("*").alias("n"))
     # Likelihood ratio of a term's documents against the label's rate, where it is above that rate.
@@ -132,19 +140,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     p = (F.col("a") + 0.5) / (F.col("n") + 1)
     gain = F.col("a") * F.log(p / rate) + (F.col("n") - F.col("a")) * F.log((1 - p) / (1 - rate))
     best = df.filter((F.col("a") >= 2) & (p > 2.5 * rate) & (F.col("n") <= 0.5 * n_all) & (F.length("term") > 3)).withColumn("gain", gain).filter("gain > 4").orderBy(F.desc("gain"), "term").limit(terms).collect()
-    words, begins = sorted(r["term"][1:] for r in best if r["term"][0] == "w"), sorted(r["term"][1:] for r in best if r["term"][0] == "p")
     n_of = {r["term"]: r["n"] for r in best}
-    vocabulary = pa.array(words + begins, pa.string())
-    idf = np.array([np.log((n_all + 1) / (n_of[k] + 1)) + 1 for k in [*("w" + w for w in words), *("p" + b for b in begins)]])
-    n_words = len(words)
+    named = [sorted(t for t in n_of if t[0] == k) for k in ("w", *map(str, PREFIXES))]
+    vocabulary = [pa.array([t[1:] for t in ts], pa.string()) for ts in named]
+    idf = np.array([np.log((n_all + 1) / (n_of[t] + 1)) + 1 for ts in named for t in ts])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = _grouped(batch.column("text"), vocabulary, n_words, batch.num_rows)
+            found = _grouped(batch.column("text"), vocabulary, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([[t for t, _ in f] for f in found], pa.list_(pa.int32())), pa.array([[c for _, c in f] for f in found], pa.list_(pa.int32()))], names=["doc_id", "y", "t", "c"])
 
     got = sorted((r["doc_id"], r["y"], r["t"], r["c"]) for r in rows.select("doc_id", "y", F.array_join("w", " ").alias("text")).mapInArrow(run, "doc_id long, y int, t array<int>, c array<int>").collect())
-    return Model(vocabulary, n_words, idf, [(d, y, dict(zip(t, c, strict=True))) for d, y, t, c in got], k, prior_weight)
+    return Model(vocabulary, idf, [(d, y, dict(zip(t, c, strict=True))) for d, y, t, c in got], k, prior_weight)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -156,7 +163,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("share", pa.float64()), ("cosine", pa.float64())]))
         for batch in batches:
             for part in slices(batch, "text"):
-                got = [m.score(x) for x in _grouped(part.column("text"), m.vocabulary, m.n_words, part.num_rows)]
+                got = [m.score(x) for x in _grouped(part.column("text"), m.vocabulary, part.num_rows)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s for s, _ in got], pa.float64()), pa.array([[dict(zip(("doc_id", "share", "cosine"), e, strict=True)) for e in es] for _, es in got], kind)], names=["doc_id", "score", "evidence"])
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain(text_of()).alias("text")).mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id:bigint,share:double,cosine:double>>")
