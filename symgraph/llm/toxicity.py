@@ -4,7 +4,9 @@ Terms are lower-case words and their beginnings of 5 to 8 characters. The index
 the training examples (by likelihood ratio, `terms` at most); all other words together are one more term, so that
 cosines aren't swamped by words of the topic, yet a document with one such word in a thousand isn't near one with ten in
 fifty. Examples with equal vectors share an entry with counts of both labels. A query adds up the block maxima of its terms, visits
-blocks in the order of that bound and stops when none can reach the k-th best. Votes are weighted by angular distance and drawn to the prior. A text
+blocks in the order of that bound and stops when none can reach the k-th best. Votes are
+weighted by angular distance and drawn to the prior; their log odds are shifted so that 0.5 parts the examples best, each
+scored without itself. A text
 with none of the terms gets the label's rate among such examples.
 """
 
@@ -79,6 +81,23 @@ class BlockMaxIndex:
         return best
 
 
+def _moved(p: float, shift: float) -> float:
+    p = min(max(p, 1e-6), 1 - 1e-6)
+    return float(1 / (1 + np.exp(shift - np.log(p / (1 - p)))))
+
+
+def _cut(scored: list[tuple[float, int]]) -> float:
+    """The log odds at which the fewest examples fall on the wrong side, in the middle of the best stretch; 0 without both labels."""
+    if len({y for _, y in scored}) < 2:
+        return 0.0
+    p, y = np.array(sorted(scored)).T
+    odds = np.log(np.clip(p, 1e-6, 1 - 1e-6) / np.clip(1 - p, 1e-6, 1))
+    wrong = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([np.cumsum((1 - y)[::-1])[::-1], [0]])
+    edges = np.concatenate([[odds[0] - 0.1], (odds[1:] + odds[:-1]) / 2, [odds[-1] + 0.1]])
+    best = edges[wrong == wrong.min()]
+    return float(np.clip((best[0] + best[-1]) / 2, -2, 2))
+
+
 class Model:
     def __init__(self, vocabulary: list[pa.Array], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], k: int, prior_weight: float):
         """examples: doc_id, label, counts of terms, of which the last is the step of other words."""
@@ -96,6 +115,24 @@ class Model:
         self.entries = list(entries.values())
         self.index = BlockMaxIndex([self.vector(dict(v)) for v in entries], len(idf) + 1)
         self.cache: dict[tuple, tuple[float, list]] = {}
+        self.shift = 0.0
+        at = {v: e for e, v in enumerate(entries)}
+        left = [(self.votes(v, (at[v], y)), y) for _, y, c in examples if c for v in [tuple(sorted(c.items()))]]
+        self.shift = _cut(left)
+
+    def votes(self, counts: tuple[tuple[int, int], ...], own: tuple[int, int] | None = None) -> float:
+        """The weighted share of label 1 among the nearest; own: an entry and label to leave out once."""
+        return self._votes(self.index.nearest(self.vector(dict(counts)), self.k + (own is not None)), own)
+
+    def _votes(self, near: list[tuple[float, int]], own: tuple[int, int] | None = None) -> float:
+        yes, total = self.prior * self.prior_weight, self.prior_weight
+        for cosine, e in near:
+            n = self.entries[e][:2]
+            if own is not None and own[0] == e:
+                n[own[1]] -= 1
+            w = cosine / (0.05 + np.arccos(min(1.0, cosine)))
+            yes, total = yes + w * n[1], total + w * sum(n)
+        return float(yes / total)
 
     def vector(self, counts: dict[int, int]) -> dict[int, float]:
         v = {t: (1 + np.log(n)) * self.idf[t] if t < len(self.idf) else (1 + n * np.log(2) / 2) * REST for t, n in counts.items()}
@@ -109,12 +146,8 @@ class Model:
             if len(self.cache) > 50_000:
                 self.cache.clear()
             near = self.index.nearest(self.vector(dict(counts)), self.k)
-            yes, total = self.prior * self.prior_weight, self.prior_weight
-            for cosine, e in near:
-                no_n, yes_n, _ = self.entries[e]
-                w = cosine / (0.05 + np.arccos(min(1.0, cosine)))
-                yes, total = yes + w * yes_n, total + w * (no_n + yes_n)
-            self.cache[counts] = (float(yes / total), [(self.entries[e][2], self.entries[e][1] / sum(self.entries[e][:2]), c) for c, e in near[:3]])
+            p = self._votes(near)
+            self.cache[counts] = (_moved(p, self.shift), [(self.entries[e][2], self.entries[e][1] / sum(self.entries[e][:2]), c) for c, e in near[:3]])
         return self.cache[counts]
 
 
