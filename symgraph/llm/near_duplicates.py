@@ -7,8 +7,8 @@ aligned / (k-mers of both - aligned), which is at most the Jaccard index of five
 order agrees.
 
 Exact copies are one class from the start. In each bucket of equal sketches, members are compared with a leader, not
-with each other; rounds with other leaders follow for buckets that still hold several components, until a round finds
-nothing new. Links become classes by alternating large and small stars. Nothing is capped.
+with each other; rounds with four other leaders each follow for buckets that still hold several components, until a round
+finds nothing new. Links become classes by alternating large and small stars. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -162,7 +162,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary, similarity double")
 
 
-def classes(docs: DataFrame, sketches: int = 12, least: int = 2, similar: float = 0.8, rounds: int = 6) -> DataFrame:
+def classes(docs: DataFrame, sketches: int = 12, least: int = 2, similar: float = 0.8, rounds: int = 4) -> DataFrame:
     """Every row of docs: doc_id, key, class_id (smallest doc_id of its class), class_size, n_copies, n_links.
 
     Words are split at ASCII white space and compared in lower case. A null text is empty; empty texts are copies of each
@@ -185,7 +185,9 @@ def classes(docs: DataFrame, sketches: int = 12, least: int = 2, similar: float
         now = buckets if labels is None else buckets.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
         if labels is None:
             now = now.withColumn("label", F.col("key"))
-        lead = now.groupBy("band", "sig").agg(F.min(F.struct(F.xxhash64(F.lit(r), "key").alias("h"), "key", "label")).alias("lead"))
+        seeds = range(1) if r == 0 else range(4 * r, 4 * r + 4)
+        leads = F.array(*(F.min(F.struct(F.xxhash64(F.lit(x), "key").alias("h"), "key", "label")) for x in seeds))
+        lead = now.groupBy("band", "sig").agg(leads.alias("leads"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band", "sig", F.explode("leads").alias("lead"))
         pairs = now.join(lead, ["band", "sig"]).filter(F.col("label") != F.col("lead.label")).select(F.greatest("key", "lead.key").alias("a"), F.least("key", "lead.key").alias("b")).distinct()
         pairs = staged(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs, "pairs")
         found = staged(verified(pairs, texts, similar), "links")
