@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import crc_fold, row_ids, slices, split_words, staged, text_of
 
 END, UNKNOWN = 0, 1
+#: Longest lane in training; scoring has no such limit.
+SEGMENT = 512
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -67,11 +69,13 @@ class Network:
         cls, word = ids // self.each, ids % self.each
         rows = np.arange(len(ids))
         logits = h @ self.p["c"].T + self.p["cb"]
-        e = np.exp(logits - logits.max(1, keepdims=True))
-        e /= e.sum(1, keepdims=True)
-        out = np.log(e[rows, cls] + 1e-30)
+        logits -= logits.max(1, keepdims=True)
+        e = np.exp(logits)
+        total = e.sum(1)
+        out = logits[rows, cls] - np.log(total)
         dh = None
         if grads is not None:
+            e /= total[:, None]
             e[rows, cls] -= 1
             grads["c"] += e.T @ h
             grads["cb"] += e.sum(0)
@@ -82,10 +86,12 @@ class Network:
             i = order[bounds[k] : bounds[k + 1]]
             hk, at = h[i], np.arange(len(i))
             logits = hk @ self.p["w"][k].T + self.p["wb"][k]
-            e = np.exp(logits - logits.max(1, keepdims=True))
-            e /= e.sum(1, keepdims=True)
-            out[i] += np.log(e[at, word[i]] + 1e-30)
+            logits -= logits.max(1, keepdims=True)
+            e = np.exp(logits)
+            total = e.sum(1)
+            out[i] += logits[at, word[i]] - np.log(total)
             if grads is not None:
+                e /= total[:, None]
                 e[at, word[i]] -= 1
                 grads["w"][k] += e.T @ hk
                 grads["wb"][k] += e.sum(0)
@@ -144,13 +150,19 @@ def _lanes(ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def train_lanes(net: Network, ids: np.ndarray, offsets: np.ndarray, steps: int, rate: float, floor: int) -> None:
-    _, starts, active = _lanes(ids, offsets)
+    """Documents over SEGMENT tokens train as several lanes, or a few long ones would leave most lanes empty; a lane after a document's first starts from the token before it and a state of zeros."""
+    lens = np.diff(offsets)
+    parts = np.maximum(-(-lens // SEGMENT), 1)
+    no = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    cut = np.append(np.repeat(offsets[:-1], parts) + no * SEGMENT, offsets[-1])
+    _, starts, active = _lanes(ids, cut)
+    heads = np.isin(starts, offsets[:-1])
     h = np.zeros((len(starts), net.hidden), np.float32)
     for t0 in range(0, len(active), steps):
         xs, ys = [], []
         for t in range(t0, min(t0 + steps, len(active))):
             at = starts[: active[t]] + t
-            xs.append(ids[at - 1] if t else np.full(active[t], END))
+            xs.append(ids[at - 1] if t else np.where(heads[: active[t]], END, ids[at - 1]))
             ys.append(ids[at])
         now, _ = net.window(xs, ys, h[: len(xs[0])], rate, floor)
         h[: len(now)] = now
@@ -254,7 +266,7 @@ def fit(train: DataFrame, counts: Counts, n_docs: int, hidden: int, classes: int
     return net.load(mean.sort_by("i")["x"].to_numpy()) if mean.num_rows else net
 
 
-def lm_scores(docs: DataFrame, folds: int = 5, held: int = 1, hidden: int = 16, classes: int = 32, each: int = 64, steps: int = 16, rate: float = 0.1, start_docs: int = 400, frequent: int = 200_000) -> DataFrame:
+def lm_scores(docs: DataFrame, folds: int = 5, held: int = 1, hidden: int = 16, classes: int = 32, each: int = 32, steps: int = 32, rate: float = 0.1, start_docs: int = 400, frequent: int = 200_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; scores are log10 probabilities.
 
     The held fold trains nothing. A null or empty text is its end alone; repeated rows score alike (and train twice).
@@ -276,7 +288,7 @@ def lm_scores(docs: DataFrame, folds: int = 5, held: int = 1, hidden: int = 16,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, vocabulary, logs = shared.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 8_000_000):
                 ids, ends, codes, offsets, distinct, place = _lm_ids(part.column("text"), vocabulary, n_frequent)
                 n, row = part.num_rows, row_ids(offsets)
                 p = place[codes]
