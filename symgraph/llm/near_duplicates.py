@@ -7,8 +7,9 @@ aligned / (k-mers of both - aligned), which is at most the Jaccard index of five
 order agrees.
 
 Exact copies are one class from the start. In each bucket of equal sketches, members are compared with a leader, not
-with each other; rounds with four other leaders each follow for buckets that still hold several components, until a round
-finds nothing new. Links become classes by alternating large and small stars. Nothing is capped.
+with each other; rounds with leaders of four other components each follow for buckets that still hold several, while they
+find anything new. Buckets that hold several components after that are searched for all their pairs, block by block.
+Links become classes by alternating large and small stars. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -162,13 +163,81 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary, similarity double")
 
 
-def classes(docs: DataFrame, sketches: int = 12, least: int = 2, similar: float = 0.8, rounds: int = 4) -> DataFrame:
+def labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """buckets with the label of each key's component so far: the key itself without links."""
+    if labels is None:
+        return buckets.withColumn("label", F.col("key"))
+    return buckets.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+
+
+def shared_kmers(kmers: np.ndarray, offsets: np.ndarray, most: int = 4096) -> np.ndarray:
+    """For each two texts, how many labelled k-mers both have."""
+    n = len(offsets) - 1
+    _, code, count = np.unique(kmers, return_inverse=True, return_counts=True)
+    place = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[code]
+    row, place = row_ids(offsets)[place >= 0], place[place >= 0]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    out = np.zeros((n, n), np.float32)
+    for at in range(0, int(place[-1]) + 1 if len(place) else 0, most):
+        part = slice(*np.searchsorted(place, [at, at + most]))
+        has = np.zeros((n, most), np.float32)
+        has[row[part], place[part] - at] = 1
+        out += has @ has.T
+    return out
+
+
+def exhausted(now: DataFrame, texts: DataFrame, similar: float, block: int, chars: int) -> DataFrame:
+    """Links (a, b, similarity) from all pairs in buckets that still hold several components, one at most for each two
+    components tied in a task. Buckets are dealt by hash into blocks of about `block` texts or `chars` characters, and
+    every two blocks of a bucket meet in one group. A pair with several buckets is left to its first one.
+    """
+    several = now.join(texts.select("key", "chars"), "key").groupBy("band", "sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    # Two members have met in the first round, where one led the other.
+    several = several.filter("low <> high and n > 2").select("band", "sig", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("chars") / chars)).cast("int").alias("blocks"))
+    dealt = now.join(several, ["band", "sig"]).select("band", "sig", "key", "label", "blocks", F.pmod(F.xxhash64(F.lit(-1), "key"), "blocks").cast("int").alias("own"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    met = met.join(texts.select("key", "sigs", "text"), "key").select("band", "sig", "lo", "hi", "own", "key", "label", "sigs", "text")
+
+    def run(group: pa.Table) -> pa.Table:
+        n, band = group.num_rows, group["band"][0].as_py()
+        label = group["label"].combine_chunks().dictionary_encode().indices.to_numpy()
+        own = group["own"].to_numpy()
+        sigs = group["sigs"].combine_chunks().flatten().to_numpy().reshape(n, -1)
+        codes, distinct, offsets = split_words(group["text"])
+        kmers, off = labelled_kmers(_hashes(distinct)[codes], offsets)
+        size = np.diff(off)
+        open_ = np.triu(label[:, None] != label, 1)
+        if group["lo"][0].as_py() != group["hi"][0].as_py():
+            open_ &= own[:, None] != own
+        for s in range(band):
+            open_ &= sigs[:, s, None] != sigs[:, s]
+        open_ &= np.minimum(size[:, None], size) >= similar * np.maximum(size[:, None], size)
+        a = b = found = np.zeros(0, np.int64)
+        if open_.any():
+            both = shared_kmers(kmers, off)
+            # The alignment has at most the k-mers of both; the margin is for rounding.
+            a, b = np.nonzero(open_ & (both >= similar * (size[:, None] + size - both) - 1e-3))
+        root, hits = label.copy(), []
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            if root[i] != root[j]:
+                got = similarity(kmers[off[i] : off[i + 1]], kmers[off[j] : off[j + 1]], similar)
+                if got >= similar:
+                    hits.append((i, j, got))
+                    root[root == root[j]] = root[i]
+        keys = group["key"].to_pylist()
+        return pa.table({"a": pa.array([max(keys[i], keys[j]) for i, j, _ in hits], pa.binary()), "b": pa.array([min(keys[i], keys[j]) for i, j, _ in hits], pa.binary()), "similarity": pa.array([x for *_, x in hits], pa.float64())})
+
+    return met.groupBy("band", "sig", "lo", "hi").applyInArrow(run, "a binary, b binary, similarity double")
+
+
+def classes(docs: DataFrame, sketches: int = 12, least: int = 2, similar: float = 0.8, rounds: int = 4, block: int = 256, chars: int = 8_000_000) -> DataFrame:
     """Every row of docs: doc_id, key, class_id (smallest doc_id of its class), class_size, n_copies, n_links.
 
     Words are split at ASCII white space and compared in lower case. A null text is empty; empty texts are copies of each
     other and near nothing else. Repeated rows belong to one class; a null id never names a class if the class has
-    another. Extra columns are ignored. `rounds` bounds the search for leaders that tie components the first ones
-    missed; the last round runs only while the one before found links.
+    another. Extra columns are ignored. `rounds` bounds the rounds of leaders only, which make the search cheap where
+    texts are much alike; what they leave is searched in full, in blocks of about `block` texts or `chars` characters.
     """
     rows = sketch(docs, sketches, least)
     keys = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("sigs").alias("sigs"))
@@ -176,26 +245,28 @@ def classes(docs: DataFrame, sketches: int = 12, least: int = 2, similar: float
     buckets = staged(buckets, "buckets")
     shared = buckets.groupBy("band", "sig").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     buckets = staged(buckets.join(shared, ["band", "sig"]), "shared-buckets")
-    needed = buckets.select("key").distinct().join(keys.select("key", "doc_id"), "key")
+    needed = buckets.select("key").distinct().join(keys.select("key", "doc_id", "sigs"), "key")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), _normal(text_of()).alias("text")).withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
-    texts = texts.join(needed, (texts["key"] == needed["key"]) & texts["id"].eqNullSafe(needed["doc_id"])).select(texts["key"], "text")
+    texts = texts.join(needed, (texts["key"] == needed["key"]) & texts["id"].eqNullSafe(needed["doc_id"])).select(texts["key"], "sigs", F.length("text").alias("chars"), "text")
     texts = staged(texts.dropDuplicates(["key"]), "texts")
     links = tested = labels = None
     for r in range(rounds):
-        now = buckets if labels is None else buckets.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        if labels is None:
-            now = now.withColumn("label", F.col("key"))
+        now = labelled(buckets, labels)
         seeds = range(1) if r == 0 else range(4 * r, 4 * r + 4)
-        leads = F.array(*(F.min(F.struct(F.xxhash64(F.lit(x), "key").alias("h"), "key", "label")) for x in seeds))
+        leads = F.array(*(F.min(F.struct(F.xxhash64(F.lit(x), "label").alias("h"), F.xxhash64(F.lit(x), "key").alias("k"), "key", "label")) for x in seeds))
         lead = now.groupBy("band", "sig").agg(leads.alias("leads"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band", "sig", F.explode("leads").alias("lead"))
         pairs = now.join(lead, ["band", "sig"]).filter(F.col("label") != F.col("lead.label")).select(F.greatest("key", "lead.key").alias("a"), F.least("key", "lead.key").alias("b")).distinct()
         pairs = staged(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs, "pairs")
-        found = staged(verified(pairs, texts, similar), "links")
+        found = staged(verified(pairs, texts.select("key", "text"), similar), "links")
         tested = pairs if tested is None else tested.union(pairs)
         links = found if links is None else links.union(found)
         if not found.limit(1).count():
             break
         labels = components(links)
+    found = staged(exhausted(labelled(buckets, labels), texts, similar, block, chars), "links")
+    if found.limit(1).count():
+        links = links.union(found).dropDuplicates(["a", "b"])
+        labels = components(links)
     if labels is None:
         labels = links.select(F.col("a").alias("node"), F.col("b").alias("label"))
     n_links = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
