@@ -1,8 +1,9 @@
 """Language-model scores of whole texts by a gated recurrent network in numpy.
 
 The output softmax is factored into classes of words, so that a token costs the class and its words, not the vocabulary.
-The network knows the end, an unknown mark and the most frequent training words; an unknown word is priced by the mark
-times its share of the rest of the training counts, so scores are of the whole text and sum to one over all texts.
+The network knows the end, an unknown mark and the most frequent training words, as many as make up a share of all
+training tokens, so its vocabulary grows with the corpus; an unknown word is priced by the mark times its share of the
+rest of the training counts, so scores are of the whole text and sum to one over all texts.
 
 Counts cover all training words. Training covers all training documents: from one start (driver, a bounded sample) each
 task goes over its documents by truncated backpropagation, and parameters are averaged by tokens. Documents run side by
@@ -204,21 +205,23 @@ def _lm_ids(texts: pa.Array, vocabulary: pa.Array, frequent: int) -> tuple[np.nd
 
 
 class Counts:
-    """Training counts: the table of all words, and the frequent ones at hand."""
+    """Training counts: the table of all words, and the frequent ones at hand: about `most`, and more where `share` of the tokens needs more."""
 
-    def __init__(self, table: DataFrame, most: int):
+    def __init__(self, table: DataFrame, most: int, share: float):
         self.table = table
-        # Words of at least the count at which no more than `most` remain: a bounded list, found on about 1,000 classes of counts.
+        # Words of at least the count at which no more than `most` remain or `share` is reached, found on about 1,000 classes of counts.
         level = F.floor(F.log2("c") * 16).cast("int")
         self.words, self.tokens = table.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-        least, held = 1 << 30, 0
-        for lv, n in sorted(((r["level"], r["count"]) for r in table.groupBy(level.alias("level")).count().collect()), reverse=True):
-            if held + n > most:
+        least, held, covered = 1 << 30, 0, 0
+        for lv, n, c in sorted(map(tuple, table.groupBy(level.alias("level")).agg(F.count("*"), F.sum("c")).collect()), reverse=True):
+            if held + n > most and covered >= share * self.tokens:
                 break
-            least, held = lv, held + n
-        # The pipeline of the tables below is sorted on the driver: `most` rows at most.
+            least, held, covered = lv, held + n, covered + c
+        # Sorted on the driver.
         t = table.filter(level >= least).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
         self.vocabulary, self.c = t["word"].combine_chunks() if t.num_rows else pa.array([], pa.string()), t["c"].to_numpy().astype(np.int64)
+        #: So many of the most frequent words make up the share.
+        self.needed = min(int(np.searchsorted(np.cumsum(self.c), share * self.tokens)) + 1, len(self.c))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -233,6 +236,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(text_of().alias("text")).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def shape(needed: int, classes: int, each: int) -> tuple[int, int]:
+    """Classes and words in each, as even as may be and at least as given, for the words needed, the end and the unknown mark."""
+    classes = max(classes, int(np.ceil(np.sqrt(needed + 2))))
+    return classes, max(each, -(-(needed + 2) // classes))
+
+
 def fit(train: DataFrame, counts: Counts, n_docs: int, hidden: int, classes: int, each: int, steps: int, rate: float, start_docs: int) -> Network:
     frequent = min(len(counts.vocabulary), classes * each - 2)
     known = np.zeros(classes * each)
@@ -244,7 +253,7 @@ def fit(train: DataFrame, counts: Counts, n_docs: int, hidden: int, classes: int
     for at in range(0, len(start), 50):
         ids, offsets, *_ = _lm_ids(start[at : at + 50], words, frequent)
         train_lanes(net, ids, offsets, steps, rate, 500)
-    shared = train.sparkSession.sparkContext.broadcast((net, words))  # fixed by hidden, classes and each
+    shared = train.sparkSession.sparkContext.broadcast((net, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import copy
@@ -257,33 +266,39 @@ def fit(train: DataFrame, counts: Counts, n_docs: int, hidden: int, classes: int
                 train_lanes(own, ids, offsets, steps, rate / 2, 1500)
                 tokens += len(ids)
         if tokens:
-            flat = own.flat().astype(np.float64)
-            for at in range(0, len(flat), 20_000):
-                x = flat[at : at + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(x)), pa.int32()), pa.array(x * tokens), pa.array(np.full(len(x), tokens))], names=["i", "x", "n"])
+            flat = own.flat()
+            at = np.arange(0, len(flat), 1000)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.ListArray.from_arrays(pa.array(np.append(at, len(flat)), pa.int32()), pa.array(flat)), pa.array(np.full(len(at), tokens))], names=["i", "x", "n"])
+
+    def average(group: pa.Table) -> pa.Table:
+        n = group["n"].to_numpy().astype(np.float64)
+        x = group["x"].combine_chunks().flatten().to_numpy().reshape(len(n), -1)
+        return pa.table({"i": group["i"][:1], "x": pa.array([(n @ x / n.sum()).astype(np.float32)], pa.list_(pa.float32()))})
 
-    mean = train.select("text").mapInArrow(run, "i int, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toArrow()
-    return net.load(mean.sort_by("i")["x"].to_numpy()) if mean.num_rows else net
+    mean = train.select("text").mapInArrow(run, "i int, x array<float>, n long").groupBy("i").applyInArrow(average, "i int, x array<float>").toArrow()
+    return net.load(mean.sort_by("i")["x"].combine_chunks().flatten().to_numpy()) if mean.num_rows else net
 
 
-def lm_scores(docs: DataFrame, folds: int = 5, held: int = 1, hidden: int = 16, classes: int = 32, each: int = 32, steps: int = 32, rate: float = 0.1, start_docs: int = 400, frequent: int = 200_000) -> DataFrame:
+def lm_scores(docs: DataFrame, folds: int = 5, held: int = 1, hidden: int = 16, classes: int = 32, each: int = 32, steps: int = 32, rate: float = 0.1, start_docs: int = 400, frequent: int = 200_000, share: float = 0.8) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; scores are log10 probabilities.
 
     The held fold trains nothing. A null or empty text is its end alone; repeated rows score alike (and train twice).
     With no training rows, base_score is 0 and the network is the untrained one. Words beyond the `frequent` ones are
-    priced by a join with the counts of all training words.
+    priced by a join with the counts of all training words. The network's words make up `share` of the training tokens;
+    classes and each are the least it has.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_fold("doc_id", folds) == held).alias("held_out"), text_of().alias("text"))
     train = rows.filter(~F.col("held_out"))
     n_docs = train.count()
-    counts = Counts(staged(word_counts(train), "word-counts"), frequent)
+    counts = Counts(staged(word_counts(train), "word-counts"), frequent, share)
+    classes, each = shape(counts.needed, classes, each)
     net = fit(train, counts, n_docs, hidden, classes, each, steps, rate, start_docs)
     n_frequent = min(len(counts.vocabulary), classes * each - 2)
     n_train, distinct_words = counts.tokens + n_docs, counts.words + (n_docs > 0)
     floor = np.log10(n_train + 0.5 * (distinct_words + 1))
     rest = np.log10(counts.tokens - counts.c[:n_frequent].sum() + 0.5 * (counts.words - n_frequent + 1))
     end = np.log10(n_docs + 0.5)
-    shared = docs.sparkSession.sparkContext.broadcast((net, counts.vocabulary, np.log10(counts.c + 0.5)))  # `frequent` words at most
+    shared = docs.sparkSession.sparkContext.broadcast((net, counts.vocabulary, np.log10(counts.c + 0.5)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, vocabulary, logs = shared.value
@@ -299,7 +314,7 @@ def lm_scores(docs: DataFrame, folds: int = 5, held: int = 1, hidden: int = 16,
                 held_by = np.concatenate([[0], np.cumsum(np.bincount(keys // max(len(distinct), 1), minlength=n))])
                 words = pa.StructArray.from_arrays([distinct.take(pa.array(keys % max(len(distinct), 1))), pa.array(tf.astype(np.int64))], names=["word", "n"])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("uid"), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(ends)), pa.array(add((p >= 0) * 1.0).astype(np.int64)), pa.array(add(value)), pa.array(add(np.where(p >= n_frequent, value, 0.0))), pa.array(add((p < 0) | (p >= n_frequent)).astype(np.int64)), pa.array(score_lanes(net, ids, ends)), pa.ListArray.from_arrays(pa.array(held_by, pa.int32()), words)],
+                    [part.column("uid"), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(ends)), pa.array(add((p >= 0) * 1.0).astype(np.int64)), pa.array(add(value)), pa.array(add(np.where(p >= n_frequent, value, 0.0))), pa.array(add((p < 0) | (p >= n_frequent)).astype(np.int64)), pa.array(score_lanes(net, ids, ends, 60_000 * 32 // net.classes + 1)), pa.ListArray.from_arrays(pa.array(held_by, pa.int32()), words)],
                     names=["uid", "doc_id", "held_out", "n_tokens", "n_near", "near", "near_unknown", "n_unknown", "network", "far"],
                 )
 
