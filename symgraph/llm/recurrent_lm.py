@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 from .common import crc_fold, row_ids, slices, split_words, staged, text_of
 
 END, UNKNOWN = 0, 1
-#: Longest lane in training; scoring has no such limit.
-SEGMENT = 512
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -151,19 +149,14 @@ def _lanes(ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def train_lanes(net: Network, ids: np.ndarray, offsets: np.ndarray, steps: int, rate: float, floor: int) -> None:
-    """Documents over SEGMENT tokens train as several lanes, or a few long ones would leave most lanes empty; a lane after a document's first starts from the token before it and a state of zeros."""
-    lens = np.diff(offsets)
-    parts = np.maximum(-(-lens // SEGMENT), 1)
-    no = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-    cut = np.append(np.repeat(offsets[:-1], parts) + no * SEGMENT, offsets[-1])
-    _, starts, active = _lanes(ids, cut)
-    heads = np.isin(starts, offsets[:-1])
+    """One lane for each document; its state is carried through all windows."""
+    _, starts, active = _lanes(ids, offsets)
     h = np.zeros((len(starts), net.hidden), np.float32)
     for t0 in range(0, len(active), steps):
         xs, ys = [], []
         for t in range(t0, min(t0 + steps, len(active))):
             at = starts[: active[t]] + t
-            xs.append(ids[at - 1] if t else np.where(heads[: active[t]], END, ids[at - 1]))
+            xs.append(ids[at - 1] if t else np.full(active[t], END))
             ys.append(ids[at])
         now, _ = net.window(xs, ys, h[: len(xs[0])], rate, floor)
         h[: len(now)] = now

@@ -2,6 +2,8 @@
 
 import zlib
 
+import numpy as np
+
 from symgraph.llm import recurrent_lm as L
 
 
@@ -24,3 +26,18 @@ def test_order_of_less_frequent_words_counts(spark):
     got = {r["doc_id"]: r for r in L.lm_scores(spark.createDataFrame(docs, "doc_id long, text string")).filter("held_out").collect()}
     a, b = got[held[0]], got[held[1]]
     assert abs(a["base_score"] - b["base_score"]) < 1e-6 and abs(a["score"] - b["score"]) > 1e-3
+
+
+def test_training_carries_state_through_a_document():
+    class Net:
+        hidden, calls = 2, []
+
+        def window(self, xs, ys, h, rate, floor):
+            self.calls.append((h[:, 0].tolist(), [len(x) for x in xs], ys[0][:1].tolist()))
+            return h + 1, 0.0
+
+    net, n = Net(), 1300
+    L.train_lanes(net, np.arange(n + 40), np.array([0, n, n + 40]), 32, 0.1, 1)
+    assert [h for h, *_ in net.calls] == [[0, 0], [1, 1], *([k] for k in range(2, 41))]
+    assert [y for *_, y in net.calls] == [[32 * k] for k in range(41)]
+    assert sum(sum(x) for _, x, _ in net.calls) == n + 40
