@@ -39,6 +39,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged_with(df: DataFrame, name: str, *figures: Column) -> tuple[DataFrame, tuple]:
+    """df as written, and figures of its rows, observed by the job that writes it."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    out = staged(df.observe(seen, *(f.alias(f"f{i}") for i, f in enumerate(figures))), name)
+    got = seen.get
+    return out, tuple(got[f"f{i}"] for i in range(len(figures)))
+
+
 def crc_fold(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id as text, modulo n. A null id counts as an empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

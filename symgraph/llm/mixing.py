@@ -6,7 +6,8 @@ A tree then halves the exact block quotas of all sources, each left child's shar
 (multivariate hypergeometric), down to one leaf for each output shard; a leaf gets disjoint runs of each source's
 permuted blocks and is shuffled locally by `order_key`.
 
-DataFrame operations only. The driver sees one row for each source and holds sources x shards quotas.
+DataFrame operations only. The driver sees one row for each source and holds sources x shards quotas. Plans are made on
+narrow rows; texts move once, to their shard.
 """
 
 from __future__ import annotations
@@ -64,21 +65,24 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: floa
     return w.select("skey", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, carried: list[str], weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, blocks: int = 4096, shards: int = 16, seed: int = SEED) -> DataFrame:
-    """Every row of docs (as struct `doc` of the carried columns) with size, source_size, target, copies, taken, shards (of each copy) and order_key.
+def _column(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
 
-    Size is the number of words between ASCII white space; a null text has none, a null source is a source of its own
-    and the last, a null id hashes as such. Repeated rows hash alike and are taken alike, but within the last block
-    their order is arbitrary and without effect on what is returned for them together. An empty table gives no rows.
-    `most` may be at most 2.
-    """
+
+def _whole(names: list[str]) -> Column:
+    return F.struct(*(_column(c).alias(c) for c in names))
+
+
+def _placed(docs: DataFrame, blocks: int, seed: int) -> list[Column]:
+    h = F.xxhash64(F.lit(seed), docs["doc_id"], docs["source"])
+    return [_key(docs["source"]).alias("skey"), h.alias("h"), F.pmod(h, F.lit(blocks)).cast("int").alias("block")]
+
+
+def _plan(rows: DataFrame, weights: tuple[int, ...], share: float, most: float, shards: int, seed: int) -> DataFrame:
+    """For each block with rows: skey, block, source_size, target, whole, words, part and the shards of its first and second copy. At most `blocks` rows for each source."""
     if not 0 < share <= most <= 2:
         raise ValueError("0 < share <= most <= 2")
-    spark = docs.sparkSession
-    rows = docs.select(F.struct(*carried).alias("doc"), _key(F.col("source")).alias("skey"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id"), "source").alias("h"))
-    rows = rows.withColumn("block", F.pmod("h", F.lit(blocks)).cast("int"))
-    if "text" not in carried:
-        rows = staged(rows, "mix")  # narrow: texts are read and counted once
+    spark = rows.sparkSession
     held = rows.groupBy("skey", "block").agg(F.sum("size").alias("words"))
     held = staged(held, "mix-blocks")  # at most `blocks` rows for each source
     target = targets(held.groupBy("skey").agg(F.sum("words").alias("source_size")), weights, share, most)
@@ -94,19 +98,64 @@ def mix(docs: DataFrame, carried: list[str], weights: tuple[int, ...] = (5, 2, 1
     ends = [[k, np.cumsum([d[i] for d in dealt]).tolist()] for i, k in enumerate(quotas)]
     leaves = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps([{"skey": k, "ends": e} for k, e in ends])), "array<struct<skey:string,ends:array<bigint>>>")).alias("x")).select("x.*")
     leaf = lambda at: F.size(F.filter("ends", lambda e: e < at))  # noqa: E731  the at-th drawn block (from 1) of a source
-    plan = plan.join(leaves, "skey").select("skey", "block", "source_size", "target", "whole", "words", "part", F.when(F.col("whole") == 1, leaf(F.col("no"))).alias("shard_1"), F.when(F.col("drawn") == 1, leaf(F.col("whole") * F.col("n") + F.col("no"))).alias("shard_2"))
-    found = rows.join(plan, ["skey", "block"])
-    inside = Window.partitionBy("skey", "block").orderBy("h", "size", F.xxhash64("doc"))
-    # Only the last block of a source is cut, to the document whose middle the need lies nearest to.
+    return plan.join(leaves, "skey").select("skey", "block", "source_size", "target", "whole", "words", "part", F.when(F.col("whole") == 1, leaf(F.col("no"))).alias("shard_1"), F.when(F.col("drawn") == 1, leaf(F.col("whole") * F.col("n") + F.col("no"))).alias("shard_2"))
+
+
+def _last(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows of the blocks that are cut (one for each source at most), with `second`: whether their middle lies within what is needed."""
+    cut = (F.col("part") > 0) & (F.col("part") < F.col("words"))
+    inside = Window.partitionBy("skey", "block").orderBy("h", "x").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.join(plan.filter(cut), ["skey", "block"])
+    return found.withColumn("before", F.sum("size").over(inside) - F.col("size")).withColumn("second", (F.col("before") + F.col("size") / 2 <= F.col("part")).cast("int")).drop("before")
+
+
+def _shards() -> Column:
+    return F.array_compact(F.array("shard_1", F.when(F.col("second") == 1, F.col("shard_2"))))
+
+
+def mix(docs: DataFrame, carried: list[str], weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, blocks: int = 4096, shards: int = 16, seed: int = SEED) -> DataFrame:
+    """Every row of docs (as struct `doc` of the carried columns) with size, source_size, target, copies, taken, shards (of each copy) and order_key.
+
+    Size is the number of words between ASCII white space; a null text has none, a null source is a source of its own
+    and the last, a null id hashes as such. Repeated rows hash alike and are taken alike, but within the last block
+    their order is arbitrary and without effect on what is returned for them together. An empty table gives no rows.
+    `most` may be at most 2. Carry narrow columns: they are staged and joined with the plan.
+    """
+    rows = docs.select(_whole(carried).alias("doc"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"), F.xxhash64("text").alias("x"), *_placed(docs, blocks, seed))
+    rows = staged(rows, "mix")  # texts are read and counted once
+    plan = _plan(rows, weights, share, most, shards, seed)
     cut = (F.col("part") > 0) & (F.col("part") < F.col("words"))
-    last = found.filter(cut).withColumn("before", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).withColumn("second", (F.col("before") + F.col("size") / 2 <= F.col("part")).cast("int")).drop("before")
-    found = found.filter(~cut).withColumn("second", (F.col("part") > 0).cast("int")).unionByName(last)
+    found = rows.join(plan.filter(~cut), ["skey", "block"]).withColumn("second", (F.col("part") > 0).cast("int"))
+    found = found.unionByName(_last(rows, plan))
     copies = F.col("whole") + F.col("second")
-    return found.select("doc", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), F.array_compact(F.array("shard_1", F.when(F.col("second") == 1, F.col("shard_2")))).alias("shards"), F.xxhash64(F.lit(seed + 2), "h").alias("order_key"))
+    return found.select("doc", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), _shards().alias("shards"), F.xxhash64(F.lit(seed + 2), "h").alias("order_key"))
 
 
-def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of docs as often as they are taken, by shard and in shuffled order within one."""
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, blocks: int = 4096, shards: int = 16, seed: int = SEED, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The mix itself: the rows of docs as often as they are taken, by shard and in shuffled order within one.
+
+    An empty table gives none. The plan (a row for each block) is sent to all tasks if it has at most `broadcast_rows`
+    rows and joined by a shuffle beyond. Of a cut block it holds the last (hash, hash of the row) that is taken twice;
+    rows that are equal to the one at the cut are alike, so one of them stands for all.
+    """
     names = docs.columns
-    copies = mix(docs, names, **options).withColumn("shard", F.explode("shards"))
-    return copies.repartition("shard", F.pmod("order_key", F.lit(8))).sortWithinPartitions("shard", "order_key").select("doc.*")
+    x = F.xxhash64(*map(_column, names)).alias("x")
+    rows = staged(docs.select(F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"), x, *_placed(docs, blocks, seed)), "mix")
+    plan = _plan(rows, weights, share, most, shards, seed)
+    key = F.struct("h", "x")
+    same = _last(rows, plan).groupBy("skey", "block", "h", "x").agg(F.count("*").alias("n"), F.sum("second").alias("m"))
+    split = (F.col("m") > 0) & (F.col("m") < F.col("n"))
+    ends = same.groupBy("skey", "block").agg(F.max(F.when(F.col("m") == F.col("n"), key)).alias("upto"), F.max(F.when(split, F.struct("h", "x", "n", "m"))).alias("tie"))
+    plan = staged(plan.join(ends, ["skey", "block"], "left"), "mix-plan")
+    n, ties = plan.agg(F.count("*"), F.count("tie")).first()
+    found = docs.select(_whole(names).alias("doc"), x, *_placed(docs, blocks, seed)).join(F.broadcast(plan) if n <= broadcast_rows else plan, ["skey", "block"])
+    cut = (F.col("part") > 0) & (F.col("part") < F.col("words"))
+    tied = F.coalesce((F.col("tie.h") == F.col("h")) & (F.col("tie.x") == F.col("x")), F.lit(False))
+    wide = ["doc", "h", "shard_1", "shard_2", "second"]
+    out = found.withColumn("second", F.when(cut, F.coalesce((key <= F.col("upto")).cast("int"), F.lit(0))).otherwise((F.col("part") > 0).cast("int")))
+    if ties:
+        alike = found.filter(tied).groupBy("skey", "h", "x").agg(*(F.first(c).alias(c) for c in ("doc", "shard_1", "shard_2", "tie")))
+        alike = alike.withColumn("no", F.explode(F.sequence(F.lit(1), F.col("tie.n")))).withColumn("second", (F.col("no") <= F.col("tie.m")).cast("int"))
+        out = out.filter(~tied).select(*wide).unionByName(alike.select(*wide))
+    out = out.select("doc", F.explode(_shards()).alias("shard"), F.xxhash64(F.lit(seed + 2), "h").alias("order_key"))
+    return out.repartition("shard", F.pmod("order_key", F.lit(64))).sortWithinPartitions("shard", "order_key").select("doc.*")

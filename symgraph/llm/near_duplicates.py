@@ -7,9 +7,9 @@ aligned / (k-mers of both - aligned), which is at most the Jaccard index of five
 order agrees.
 
 Exact copies are one class from the start. In each bucket of equal sketches, members are compared with a leader, not
-with each other; rounds with leaders of four other components each follow for buckets that still hold several, while they
-find anything new. Buckets that hold several components after that are searched for all their pairs, block by block.
-Links become classes by alternating large and small stars. Nothing is capped.
+with each other, and then with leaders of four other components. Buckets that hold several components after that are
+searched for all their pairs, block by block, less those within the leader's component. Links become classes by
+alternating large and small stars. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -20,10 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_ids, slices, split_words, staged, text_of
+from .common import row_ids, slices, split_words, staged, staged_with, text_of
 
 K = 5
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -112,21 +113,57 @@ def _hashes(distinct: pa.Array) -> np.ndarray:
     return pd.util.hash_array(distinct.to_numpy(zero_copy_only=False).astype(object), categorize=False).astype(np.uint64) if len(distinct) else np.zeros(0, np.uint64)
 
 
+def forest(links: DataFrame) -> DataFrame:
+    """Links (a, b) with those of a batch replaced by (member, smallest member) of their components: at most as many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = pa.concat_arrays([batch.column("a"), batch.column("b")]).dictionary_encode()
+            names, at = both.dictionary, both.indices.to_numpy()
+            rank = np.empty(len(names), np.int64)
+            rank[pc.array_sort_indices(names).to_numpy()] = np.arange(len(names))
+            at, n = rank[at], len(at) // 2
+            root = list(range(len(names)))
+            for x, y in zip(at[:n].tolist(), at[n:].tolist(), strict=True):
+                while root[x] != x:
+                    root[x] = x = root[root[x]]
+                while root[y] != y:
+                    root[y] = y = root[root[y]]
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+            for x in range(len(root)):  # roots are smaller, so theirs are final
+                root[x] = root[root[x]]
+            names = names.take(pc.array_sort_indices(names))
+            top = np.array(root, np.int64)
+            child = np.flatnonzero(top != np.arange(len(top)))
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(child)), names.take(pa.array(top[child]))], names=["a", "b"])
+
+    kind = links.schema["a"].dataType.simpleString()
+    return links.select("a", "b").mapInArrow(run, f"a {kind}, b {kind}")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label: the smallest node it is linked with, from links (a, b); nodes without links don't appear."""
-    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
+    edges = forest(links.filter("a <> b")).distinct()
     state = None
     while True:
-        edges = staged(edges, "stars")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select("b", "b").distinct())
+        edges, now = staged_with(edges, "stars", F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
+        if now == state or not now[0]:
+            return staged(edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select("b", "b").distinct()), "labels")
         state = now
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        edges = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low).distinct()
+        edges = forest(large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low)).distinct()
+
+
+def tied(links: DataFrame) -> DataFrame:
+    """node, label from links (a, b): a node it is linked with, the smallest that a look-up or two find. Cheaper than components; nodes with equal labels are of one component, but not the other way round."""
+    near = staged(forest(links.filter("a <> b")).groupBy("a").agg(F.min("b").alias("b")), "near")
+    far = near.join(near.toDF("b", "c"), "b", "left").select("a", F.coalesce("c", "b").alias("label"))
+    roots = near.select("b").distinct().join(near.select("a"), F.col("a") == F.col("b"), "left_anti")
+    return staged(far.toDF("node", "label").union(roots.select("b", "b")), "labels")
 
 
 def sketch(docs: DataFrame, sketches: int, least: int) -> DataFrame:
@@ -189,14 +226,20 @@ def shared_kmers(kmers: np.ndarray, offsets: np.ndarray, most: int = 4096) -> np
 
 def exhausted(now: DataFrame, texts: DataFrame, similar: float, block: int, chars: int) -> DataFrame:
     """Links (a, b, similarity) from all pairs in buckets that still hold several components, one at most for each two
-    components tied in a task. Buckets are dealt by hash into blocks of about `block` texts or `chars` characters, and
-    every two blocks of a bucket meet in one group. A pair with several buckets is left to its first one.
+    components tied in a task. The members of one component (the leader's) and the others are dealt by hash into blocks
+    of about `block` texts or `chars` characters; every two blocks of a bucket meet in one group, but for two of the
+    leader's component. A pair with several buckets is left to its first one.
     """
-    several = now.join(texts.select("key", "chars"), "key").groupBy("band", "sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.sum("chars").alias("chars"))
-    # Two members have met in the first round, where one led the other.
-    several = several.filter("low <> high and n > 2").select("band", "sig", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("chars") / chars)).cast("int").alias("blocks"))
-    dealt = now.join(several, ["band", "sig"]).select("band", "sig", "key", "label", "blocks", F.pmod(F.xxhash64(F.lit(-1), "key"), "blocks").cast("int").alias("own"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    first = F.min(F.struct(F.xxhash64(F.lit(0), "label").alias("h"), "label"))["label"].alias("lead")
+    several = now.groupBy("band", "sig").agg(first, F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low <> high and n > 2")  # two members have met in the first round
+    open_ = now.join(several.select("band", "sig", "lead"), ["band", "sig"]).withColumn("side", (F.col("label") != F.col("lead")).cast("int"))
+    open_ = staged(open_.join(texts.select("key", "chars"), "key"), "open-buckets")
+    size = lambda side: F.greatest(F.ceil(F.count_if(F.col("side") == side) / block), F.ceil(F.sum(F.when(F.col("side") == side, F.col("chars"))) / chars), F.lit(0)).cast("int")
+    dealt = open_.join(open_.groupBy("band", "sig").agg(size(0).alias("same"), size(1).alias("rest")), ["band", "sig"])
+    own = F.when(F.col("side") == 0, F.pmod(F.xxhash64(F.lit(-1), "key"), "same")).otherwise(F.col("same") + F.pmod(F.xxhash64(F.lit(-1), "key"), "rest")).cast("int")
+    dealt = dealt.select("band", "sig", "key", "label", "same", "rest", "side", own.alias("own"))
+    others = F.when(F.col("side") == 0, F.sequence(F.col("same"), F.col("same") + F.col("rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("same") + F.col("rest") - 1))
+    met = dealt.withColumn("other", F.explode(others)).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
     met = met.join(texts.select("key", "sigs", "text"), "key").select("band", "sig", "lo", "hi", "own", "key", "label", "sigs", "text")
 
     def run(group: pa.Table) -> pa.Table:
@@ -231,53 +274,52 @@ def exhausted(now: DataFrame, texts: DataFrame, similar: float, block: int, char
     return met.groupBy("band", "sig", "lo", "hi").applyInArrow(run, "a binary, b binary, similarity double")
 
 
-def classes(docs: DataFrame, sketches: int = 12, least: int = 2, similar: float = 0.8, rounds: int = 4, block: int = 256, chars: int = 8_000_000) -> DataFrame:
-    """Every row of docs: doc_id, key, class_id (smallest doc_id of its class), class_size, n_copies, n_links.
+def classes(docs: DataFrame, sketches: int = 12, least: int = 2, similar: float = 0.8, rounds: int = 2, block: int = 256, chars: int = 8_000_000) -> DataFrame:
+    """Every row of docs: doc_id, key, class_id (smallest doc_id of its class), class_size, n_copies, n_verified.
 
     Words are split at ASCII white space and compared in lower case. A null text is empty; empty texts are copies of each
     other and near nothing else. Repeated rows belong to one class; a null id never names a class if the class has
-    another. Extra columns are ignored. `rounds` bounds the rounds of leaders only, which make the search cheap where
-    texts are much alike; what they leave is searched in full, in blocks of about `block` texts or `chars` characters.
+    another. Extra columns are ignored; an empty table gives no rows. n_verified counts the links by which the text was
+    found near others, not all texts near it. `rounds` bounds the rounds of leaders only, which make the search cheap
+    where texts are much alike; what they leave is searched in full, in blocks of about `block` texts or `chars`
+    characters.
     """
     rows = sketch(docs, sketches, least)
-    keys = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("sigs").alias("sigs"))
+    keys = staged(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("sigs").alias("sigs")), "keys")
     buckets = keys.select("key", F.posexplode("sigs").alias("band", "sig"))
-    buckets = staged(buckets, "buckets")
-    shared = buckets.groupBy("band", "sig").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    lead = F.min(F.struct(F.xxhash64(F.lit(0), "key").alias("h"), "key"))["key"].alias("lead")
+    shared = buckets.groupBy("band", "sig").agg(F.count("*").alias("n"), lead).filter("n > 1").drop("n")
     buckets = staged(buckets.join(shared, ["band", "sig"]), "shared-buckets")
     needed = buckets.select("key").distinct().join(keys.select("key", "doc_id", "sigs"), "key")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), _normal(text_of()).alias("text")).withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
     texts = texts.join(needed, (texts["key"] == needed["key"]) & texts["id"].eqNullSafe(needed["doc_id"])).select(texts["key"], "sigs", F.length("text").alias("chars"), "text")
     texts = staged(texts.dropDuplicates(["key"]), "texts")
-    links = tested = labels = None
+    links = labels = None
     for r in range(rounds):
         now = labelled(buckets, labels)
-        seeds = range(1) if r == 0 else range(4 * r, 4 * r + 4)
-        leads = F.array(*(F.min(F.struct(F.xxhash64(F.lit(x), "label").alias("h"), F.xxhash64(F.lit(x), "key").alias("k"), "key", "label")) for x in seeds))
-        lead = now.groupBy("band", "sig").agg(leads.alias("leads"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band", "sig", F.explode("leads").alias("lead"))
-        pairs = now.join(lead, ["band", "sig"]).filter(F.col("label") != F.col("lead.label")).select(F.greatest("key", "lead.key").alias("a"), F.least("key", "lead.key").alias("b")).distinct()
-        pairs = staged(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs, "pairs")
+        if r:
+            leads = F.array(*(F.min(F.struct(F.xxhash64(F.lit(x), "label").alias("h"), F.xxhash64(F.lit(x), "key").alias("k"), "key", "label")) for x in range(4 * r, 4 * r + 4)))
+            led = now.groupBy("band", "sig").agg(leads.alias("leads"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band", "sig", F.explode("leads").alias("l"))
+            pairs = now.join(led, ["band", "sig"]).filter(F.col("label") != F.col("l.label")).select("key", F.col("l.key").alias("lead"))
+        else:
+            pairs = now.filter("key <> lead").select("key", "lead")
+        pairs = pairs.select(F.greatest("key", "lead").alias("a"), F.least("key", "lead").alias("b")).distinct()
         found = staged(verified(pairs, texts.select("key", "text"), similar), "links")
-        tested = pairs if tested is None else tested.union(pairs)
         links = found if links is None else links.union(found)
-        if not found.limit(1).count():
-            break
-        labels = components(links)
-    found = staged(exhausted(labelled(buckets, labels), texts, similar, block, chars), "links")
-    if found.limit(1).count():
-        links = links.union(found).dropDuplicates(["a", "b"])
-        labels = components(links)
-    if labels is None:
-        labels = links.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        labels = tied(links)
+    now = staged(labelled(buckets.drop("lead"), labels), "labelled-buckets")
+    found = staged(exhausted(now, texts, similar, block, chars), "links")
+    labels = components(links.union(found))
+    links = links.union(found).dropDuplicates(["a", "b"])
     n_links = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
     joined = keys.select("key", "doc_id", "n").join(labels.withColumnRenamed("node", "key"), "key", "left").join(n_links, "key", "left").withColumn("label", F.coalesce("label", "key"))
     sizes = joined.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"))
-    by_key = joined.join(sizes, "label").select("key", "class_id", "class_size", F.col("n").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return rows.select("doc_id", "key").join(by_key, "key").select("doc_id", "key", "class_id", "class_size", "n_copies", "n_links")
+    by_key = joined.join(sizes, "label").select("key", "class_id", "class_size", F.col("n").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_verified"))
+    return rows.select("doc_id", "key").join(by_key, "key").select("doc_id", "key", "class_id", "class_size", "n_copies", "n_verified")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each class: of the smallest id, and of equal ids the first text by its hash; of rows that are equal in both, any one."""
+    """docs with one row of each class: of the smallest id, and of equal ids the first text by its hash; of rows that are equal in both, any one. An empty table gives none."""
     from pyspark.sql import Window
 
     found = classes(docs, **options)

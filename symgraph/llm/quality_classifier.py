@@ -51,17 +51,16 @@ def features(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return ((out * _MIX) >> np.uint64(64 - bits)).astype(np.int64), np.concatenate([[0], ends])
 
 
-def fit_ftrl(rows: list[np.ndarray], y: np.ndarray, bits: int, epochs: int = 5, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.05, l2: float = 0.5, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights and bias. rows: the hashed features of each example."""
+def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, bits: int, epochs: int = 5, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.05, l2: float = 0.5, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Weights and bias. rows: distinct hashed features of each example and their values."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     prior = (y.sum() + 1) / (len(y) + 2)
     bias, bias_n = float(np.log(prior / (1 - prior))), 0.0
-    sparse = [(*np.unique(r, return_counts=True), max(len(r), 1) ** 0.5) for r in rows]
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
-        for k in rng.permutation(len(sparse)):
-            i, c, root = sparse[k]
-            x, zi, ni = c / root, z[i], n[i]
+        for k in rng.permutation(len(rows)):
+            i, x = rows[k]
+            zi, ni = z[i], n[i]
             w = np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((beta + np.sqrt(ni)) / alpha + l2))
             p = 1 / (1 + np.exp(-np.clip(bias + w @ x, -35, 35)))
             g = p - y[k]
@@ -71,34 +70,59 @@ def fit_ftrl(rows: list[np.ndarray], y: np.ndarray, bits: int, epochs: int = 5,
             bias_n += g * g
             bias -= 0.05 * g / (1 + bias_n) ** 0.5
     w = np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha + l2))
-    return w.astype(np.float32), bias
+    return w.astype(np.float32), float(bias)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int, allowed: Column) -> DataFrame:
-    """doc_id, text, y of at most `sample` labelled ids, those of the smallest hash. Null labels and ids don't count; of several labels of an id the majority holds, ties to 1; rows of a repeated id all count."""
+    """doc_id, y, h, text of at most `sample` rows: those of the smallest hash of the id; h is the hash of the text.
+
+    Null labels and ids don't count; of several labels of an id the majority holds, ties to 1; of several rows with one
+    id the text with the smallest hash counts. An empty table or no labels give no rows.
+    """
     ids = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & allowed).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # at most `sample` ids
-    return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(ids), "doc_id")
+    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(ids), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "y", "t.h", "t.text")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 8_000, bits: int = 18, allowed: Column | None = None) -> tuple[np.ndarray, float]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weights and bias, learnt in one task from at most `sample` rows in the order of their texts' hashes; without rows all are 0.
+
+    Tasks hash the texts; only 2^bits weights come to the driver.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 f, off = features(part.column("text"), bits)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(f, pa.int32()))], names=["doc_id", "y", "f"])
-
-    found = labelled_sample(docs, labels, label, sample, allowed if allowed is not None else F.lit(True)).withColumn("text", separated(F.col("text")))
-    rows = found.select(F.col("doc_id").cast("long").alias("doc_id"), "y", "text").mapInArrow(run, "doc_id long, y int, f array<int>").toArrow().sort_by("doc_id")
-    if not rows.num_rows:
+                found = [np.unique(f[a:b], return_counts=True) for a, b in zip(off[:-1], off[1:], strict=True)]
+                at = pa.array(np.cumsum([0, *(len(i) for i, _ in found)]), pa.int32())
+                i = np.concatenate([i for i, _ in found]).astype(np.int32)
+                x = np.concatenate([c / max(c.sum(), 1) ** 0.5 for _, c in found]).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([part.column("h"), part.column("y"), pa.ListArray.from_arrays(at, pa.array(i)), pa.ListArray.from_arrays(at, pa.array(x))], names=["h", "y", "i", "x"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, y = [], []
+        for batch in batches:
+            i, x, off = batch.column("i").values.to_numpy(), batch.column("x").values.to_numpy(), batch.column("i").offsets.to_numpy()
+            rows += [(i[a:b], x[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]
+            y.append(batch.column("y").to_numpy())
+        if rows:
+            weights, bias = fit_ftrl(rows, np.concatenate(y), bits)
+            yield pa.RecordBatch.from_arrays([pa.array([weights], pa.list_(pa.float32())), pa.array([bias])], names=["w", "bias"])
+
+    found = labelled_sample(docs, labels, label, sample, allowed if allowed is not None else F.lit(True)).select("h", "y", separated(F.col("text")).alias("text"))
+    # One task for a bounded sample; the order makes the result independent of partitions.
+    ordered = found.mapInArrow(hashed, "h long, y int, i array<int>, x array<float>").repartition(1).sortWithinPartitions("h", "y")
+    got = ordered.mapInArrow(learn, "w array<float>, bias double").toArrow()
+    if not got.num_rows:
         return np.zeros(1 << bits, np.float32), 0.0
-    lists = rows["f"].combine_chunks()
-    return fit_ftrl([x.values.to_numpy() if x.values is not None else np.zeros(0, np.int32) for x in lists], rows["y"].to_numpy(), bits)
+    return got["w"].combine_chunks().flatten().to_numpy().astype(np.float32), got["bias"][0].as_py()
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """Every row of docs as struct `doc`, and its score (0 to 1). A null or empty text scores by the bias alone; repeated rows score alike."""
+    """Every row of docs as struct `doc`, and its score (0 to 1). A null or empty text scores by the bias alone; repeated rows score alike; an empty table gives no rows."""
     weights, bias = model
     bits = int(np.log2(len(weights)))
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2^bits floats, whatever the corpus
@@ -117,7 +141,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.7) -> DataFrame:
-    """The rows of docs that score at least the threshold."""
+    """The rows of docs that score at least the threshold; none of an empty table."""
     return scored(docs, model).filter(F.col("score") >= threshold).select("doc.*")
 
 

@@ -334,7 +334,7 @@ def test_held_out_accuracy(spark):
 def test_ftrl_learns():
     rng = np.random.default_rng(2)
     y = rng.integers(0, 2, 400)
-    rows = [np.concatenate([rng.integers(100, 1000, 20), np.full(3, 7 if t else 9)]) for t in y]
+    rows = [np.unique(np.concatenate([rng.integers(100, 1000, 20), np.full(3, 7 if t else 9)]), return_counts=True) for t in y]
     w, b = quality_classifier.fit_ftrl(rows, y, 10)
     assert w[7] > 0 > w[9]
 
