@@ -231,3 +231,92 @@ def rounded(x: Column | str, places: int) -> Column:
         return v.map(lambda a: a if a is None or a != a else float(f"{a:.{places}f}"))
 
     return run(col(x))
+
+
+def pct(part: Column | str, whole: Column | str) -> Column:
+    """Per cent to one place, half to even; 0 of nothing."""
+    share = col(part) / F.nullif(col(whole), F.lit(0)) * 100.0
+    return F.coalesce(F.bround(share * 10.0, 0) / 10.0, F.lit(0.0))
+
+
+def normalize_rel(path: Column | str) -> Column:
+    """Slashes only, without a leading `./`."""
+    return F.regexp_replace(F.replace(col(path), F.lit("\\"), F.lit("/")), r"^\./", "")
+
+
+def pyi_module(path: Column | str, package: str) -> Column:
+    """The dotted module of a stub below the last folder of the package's name, or null outside."""
+    inner = F.regexp_extract(col(path), rf"^(?:.*/)?({re.escape(package)}/.*)$", 1)
+    stem = F.regexp_replace(F.regexp_replace(inner, r"/__init__\.pyi$", ""), r"(\.pyi)+$", "")
+    return F.when(inner != "", F.replace(stem, F.lit("/"), F.lit(".")))
+
+
+def anchor_pattern(line: Column | str) -> Column:
+    """A pattern that finds a line whatever its outer white space: its trimmed text, all marks and spaces escaped."""
+    text = F.regexp_replace(F.regexp_replace(col(line), r"^\s+|\s+$", ""), r"([\\.+*?()|\[\]{}^$#&\-~ ])", r"\\$1")
+    return F.concat(F.lit(r"^[ \t]*"), text, F.lit(r"[ \t]*$"))
+
+
+def like_escape(text: Column | str, mark: str = "\\") -> Column:
+    """Marks that LIKE would read as wildcards, escaped."""
+    return F.regexp_replace(col(text), r"([\\%_])", re.escape(mark).replace("\\", "\\\\") + "$1" if mark != "\\" else r"\\$1")
+
+
+def utf16_column(prefix: Column | str) -> Column:
+    """UTF-16 units of what precedes a position in its line: characters beyond the basic plane count twice."""
+    return (F.length(col(prefix)) + F.regexp_count(col(prefix), F.lit(r"[\x{10000}-\x{10FFFF}]"))).cast("long")
+
+
+def civil_days(year: Column, month: Column, day: Column) -> Column:
+    """Days since 1970-01-01; a day beyond its month counts on."""
+    return F.unix_date(F.make_date(year, month, F.lit(1))) + day - 1
+
+
+def iso_epoch(text: Column | str) -> Column:
+    """Seconds since the epoch of an ISO date and time, with Z, an offset or (in the session's time zone) neither; null for anything else."""
+    t = col(text)
+    shape = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d*)?([Zz]|[+-]\d{2}(:?\d{2})?)?$"
+    n = lambda at, size: F.substring(t, at, size).try_cast("int")
+    valid = t.rlike(shape) & n(6, 2).between(1, 12) & n(9, 2).between(1, 31) & (n(12, 2) <= 23) & (n(15, 2) <= 59) & (n(18, 2) <= 59)
+    days = civil_days(n(1, 4), F.when(valid, n(6, 2)), n(9, 2)).cast("long")
+    wall = days * 86400 + n(12, 2) * 3600 + n(15, 2) * 60 + n(18, 2)
+    # The offset, if any, as +hhmm.
+    mark = F.rpad(F.replace(F.regexp_extract(t, r"([+-]\d{2}(:?\d{2})?)$", 1), F.lit(":"), F.lit("")), 5, "0")
+    offset = F.substring(mark, 2, 2).try_cast("int") * 3600 + F.substring(mark, 4, 2).try_cast("int") * 60
+    last = F.substring(t, 20, 100)
+    shifted = F.when(last.rlike("-"), wall + offset).otherwise(wall - offset)
+    local = F.unix_timestamp(F.to_utc_timestamp(F.timestamp_seconds(wall), F.current_timezone()))
+    return F.when(valid, F.when(last.rlike("[Zz]$"), wall).when(last.rlike("[+-]"), shifted).otherwise(local))
+
+
+def expired(day: Column | str, today: Column | str, days: int) -> Column:
+    """Whether a date lies more than `days` days before another."""
+    return F.date_diff(col(today), col(day)) > days
+
+
+def node_dict() -> Column:
+    """A node as it is shown: names without control marks, no ids of storage."""
+    return F.struct(
+        F.col("id"), F.col("kind"), sanitize_name("name").alias("name"), sanitize_name("qname").alias("qualified_name"), F.col("file_path"), F.col("line_start"), F.col("line_end"),
+        F.col("language"), sanitize_name("parent_name").alias("parent_name"), F.col("is_test"),
+    )
+
+
+def ts_key(title: Column | str) -> Column:
+    """A tour's title without its number in front: what stands between the first two dashes of a numbered title."""
+    t = col(title)
+    return F.when(t.rlike(r"^#?\d+\s-"), F.trim(F.coalesce(F.get(F.split(t, "-"), F.lit(1)), F.lit("")))).otherwise(t)
+
+
+def revive_crossrefs(text: Column | str, keys: dict[int, str]) -> Column:
+    """`[12 - name]` as a link `[name][key#1]` where the number has a key without marks of links; a few keys, given as literals."""
+    out = col(text)
+    for number, key in keys.items():
+        if "]" not in key and "#" not in key:
+            out = F.regexp_replace(out, rf"\[0?{number}\s*-\s*([^\]]+)\]", f"[$1][{re.escape(key)}#1]")
+    return out
+
+
+def sanitize_brackets(text: Column | str) -> Column:
+    """Single brackets that are no part of a link become full-width ones."""
+    return F.regexp_replace(col(text), r"(?<![\](\[])\[([^\]\[]+)\](?![\](])", "［$1］")

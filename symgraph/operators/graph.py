@@ -6,6 +6,8 @@ the driver.
 
 from __future__ import annotations
 
+import re
+from collections import deque
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
+from ..functions.exprs import col
 from .iteration import cut
 from .relational import ordered_mode
 
@@ -133,8 +136,9 @@ def impact_radius(nodes: DataFrame, edges: DataFrame, changed: DataFrame, max_de
         best = cut(best.join(new.select("symbol"), "symbol", "left_anti").union(new))
         frontier = new
     rows = best.join(seeds.select("symbol"), "symbol", "left_anti").join(nodes.filter(~E.is_verilog("extra")), "symbol")
+    rows = cut(rows)
     total = rows.count()
-    impacted = cut(rows.orderBy(F.desc("score"), "symbol").limit(max_nodes))
+    impacted = rows if total <= max_nodes else cut(rows.orderBy(F.desc("score"), "symbol").limit(max_nodes))
     among = seeds.select("symbol").union(impacted.select("symbol")).distinct()
     between = edges.join(among.toDF("caller_symbol"), "caller_symbol", "left_semi").join(among.toDF("callee_symbol"), "callee_symbol", "left_semi")
     return {"changed": seeds, "impacted": impacted, "files": impacted.select("file_path").distinct(), "edges": between.orderBy("id"), "total_impacted": total, "truncated": total > max_nodes, "note": None}
@@ -147,6 +151,14 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.filter("kind <> 'File'").join(d, "symbol").withColumn("total_degree", F.col("in_degree") + F.col("out_degree"))
 
 
+def strongest(edges: DataFrame, directed: bool = True) -> DataFrame:
+    """caller_symbol, callee_symbol, w: the largest weight of parallel edges; undirected, the smaller symbol comes first and loops go."""
+    e = edges.select("caller_symbol", "callee_symbol", E.edge_weight("kind").alias("w"))
+    if not directed:
+        e = e.filter("caller_symbol <> callee_symbol").select(F.least("caller_symbol", "callee_symbol").alias("caller_symbol"), F.greatest("caller_symbol", "callee_symbol").alias("callee_symbol"), "w")
+    return e.groupBy("caller_symbol", "callee_symbol").agg(F.max("w").alias("w"))
+
+
 def hub_nodes(nodes: DataFrame, edges: DataFrame, top: int = 10) -> DataFrame:
     return degrees(nodes, edges).orderBy(F.desc("total_degree"), "id").limit(top)
 
@@ -228,10 +240,15 @@ def directory_groups(nodes: DataFrame, min_size: int = 2, enough: int = 10) -> D
         common += 1
     stem = E.file_stem(F.element_at("parts", -1))
     key = lambda depth: F.when(F.size("dirs") > common, F.array_join(F.slice("dirs", common + 1, depth), "/")).otherwise(stem)
-    depth = 1
-    for depth in range(1, max((deepest or 0) - common, 1) + 1):
-        if n.groupBy(key(depth)).count().filter(F.col("count") >= min_size).count() >= enough:
-            break
+    # All depths at once, on directories; files beside the common prefix are grouped by their stems, which no depth changes.
+    deepest = max((deepest or 0) - common, 1)
+    below = F.explode(F.sequence(F.lit(1), F.lit(deepest))).alias("depth")
+    deep = dirs.filter(F.size("dirs") > common).select("dirs", "n", below).groupBy("depth", F.expr(f"array_join(slice(dirs, {common + 1}, depth), '/')").alias("group")).agg(F.sum("n").alias("n"))
+    level = n.filter(F.size("dirs") <= common).groupBy(stem.alias("group")).agg(F.count("*").alias("n")).withColumn("depth", below)
+    # A stem and a directory of one name are one group.
+    both = deep.select("depth", "group", "n").unionByName(level.select("depth", "group", "n")).groupBy("depth", "group").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_size)
+    counts = {r["depth"]: r["k"] for r in both.groupBy("depth").agg(F.count("*").alias("k")).collect()}  # as many rows as there are depths
+    depth = next((x for x in range(1, deepest + 1) if counts.get(x, 0) >= enough), deepest)
     grouped = n.withColumn("group", key(depth))
     kept = grouped.groupBy("group").agg(F.count("*").alias("_n"), F.min("id").alias("ord")).filter(F.col("_n") >= min_size).drop("_n")
     return grouped.join(kept, "group").select(*nodes.columns, "group", "ord")
@@ -279,6 +296,7 @@ def distinct_names(named: DataFrame, members: DataFrame) -> DataFrame:
 
 def communities(members: DataFrame, edges: DataFrame, text: str = "Directory-based community: ") -> DataFrame:
     """id, name, level, size, cohesion, dominant_language, description of grouped nodes (node columns, group, ord)."""
+    members = cut(members)  # read by every figure below
     language = ordered_mode(members, ["group"], "language", "id").select("group", F.col("language").alias("dominant_language"))
     base = members.groupBy("group").agg(F.count("*").alias("size"), F.min("ord").alias("ord")).join(community_names(members), "group").join(language, "group", "left").join(cohesion(members, edges).select("group", "cohesion"), "group")
     out = distinct_names(base, members)
@@ -310,10 +328,10 @@ def leiden_groups(nodes: DataFrame, edges: DataFrame, seed: int = 42, most_edges
 def _moves(adj: list[dict[int, float]], degree: np.ndarray, label: np.ndarray, gamma: float, total: float, rng: np.random.Generator, within: np.ndarray | None = None) -> bool:
     sums = np.bincount(label, degree, len(label))
     moved = False
-    queue = list(rng.permutation(len(adj)))
+    queue = deque(rng.permutation(len(adj)).tolist())
     waiting = set(queue)
     while queue:
-        v = queue.pop(0)
+        v = queue.popleft()
         waiting.discard(v)
         links: dict[int, float] = {}
         for u, w in adj[v].items():
@@ -437,6 +455,21 @@ def detect_changes(nodes: DataFrame, edges: DataFrame, flows: DataFrame, files:
     return {"changed_functions": scored, "affected_flows": affected_flows(flows, files), "test_gaps": gaps, "review_priorities": scored.orderBy(F.desc("risk_score"), "id").limit(10), "functions_truncated": truncated}
 
 
+def token_table(nodes: DataFrame, column: str = "name") -> DataFrame:
+    """token, id: each word of a name once, in lower case. Published with a graph, it finds rare words without reading names."""
+    words = F.split(F.trim(F.regexp_replace(F.lower(col(column)), r"[^\p{L}\p{N}]+", " ")), " ")
+    return nodes.select("id", F.explode(F.array_distinct(words)).alias("token")).filter("token <> ''")
+
+
+def search_tokens(tokens: DataFrame, nodes: DataFrame, query: str, limit: int = 20) -> DataFrame:
+    """Nodes that hold all words of a query, by the token table (token, id): one scan pruned by token, one aggregation, one semi-join by id."""
+    words = sorted({w for part in query.split() for w in re.sub(r"[^\w]|_", " ", part.lower()).split()})
+    if not words:
+        return nodes.limit(0)
+    ids = tokens.filter(F.col("token").isin(words)).groupBy("id").agg(F.count("*").alias("_n")).filter(F.col("_n") == len(words)).select("id")
+    return nodes.join(ids, "id", "left_semi").orderBy("id").limit(limit)
+
+
 def search(nodes: DataFrame, query: str, limit: int = 20, columns: Sequence[str] = ("name", "qname"), index: bool = True) -> tuple[DataFrame, str]:
     """Nodes whose name has all words of the query as token phrases, else those with all as substrings of a column; and the method used."""
     words = query.split()
@@ -444,10 +477,10 @@ def search(nodes: DataFrame, query: str, limit: int = 20, columns: Sequence[str]
         return nodes.limit(0), "empty"
     fold = lambda c: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     if index:
-        hit = nodes
+        folded = nodes.withColumn("_folded", fold(F.col(columns[0])))
         for w in words:
-            hit = hit.filter(F.contains(fold(F.col(columns[0])), fold(F.lit(w))) & (F.length(F.trim(fold(F.lit(w)))) > 0))
-        found = hit.orderBy("id").limit(limit)
+            folded = folded.filter(F.contains("_folded", fold(F.lit(w))) & (F.length(F.trim(fold(F.lit(w)))) > 0))
+        found = cut(folded.drop("_folded").orderBy("id").limit(limit))
         if found.limit(1).count():
             return found, "tokens"
     hit = nodes

@@ -15,11 +15,11 @@ def bucketed(df: DataFrame, start: str, end: str, width: int) -> DataFrame:
     return df.withColumn("bucket", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.greatest(start, end) / width))))
 
 
-def innermost(refs: DataFrame, spans: DataFrame, keys: Sequence[str] = ("rel_path",), at: str = "line", start: str = "start_line", end: str = "end_line", order: str = "seq", ref_key: str = "seq", bucket: int | None = None) -> DataFrame:
+def innermost(refs: DataFrame, spans: DataFrame, keys: Sequence[str] = ("rel_path",), at: str = "line", start: str = "start_line", end: str = "end_line", order: str = "seq", ref_key: str = "seq", bucket: int | None = 256) -> DataFrame:
     """refs with `span`, the narrowest span that contains `at` (inclusive; ties to the lower order), or null.
 
     An equi join on the keys with the range as residual, and the minimum taken by aggregation, so partial results combine
-    before the second shuffle. With `bucket`, long partitions are cut further by line.
+    before the second shuffle. Long partitions are cut further into slots of `bucket` lines; None leaves them whole.
     """
     s = spans if bucket is None else bucketed(spans, start, end, bucket)
     r = refs if bucket is None else refs.withColumn("bucket", F.floor(F.col(at) / bucket))
@@ -94,18 +94,18 @@ def references(occurrences: DataFrame, defs: DataFrame) -> DataFrame:
     return occurrences.filter(~F.col("is_def")).join(defs.select("symbol").distinct(), "symbol", "left_semi")
 
 
-def callers(refs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+def callers(refs: DataFrame, spans: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     """(caller, def_path, sites, n_sites, first_seq) and the references that no span contains."""
-    hit = innermost(refs, spans)
+    hit = innermost(refs, spans, **options)
     grouped = hit.filter("span is not null").groupBy(F.col("span.symbol").alias("caller")).agg(F.min_by("rel_path", "seq").alias("def_path"), F.transform(F.sort_array(F.collect_list(F.struct("seq", "rel_path", "line"))), lambda s: F.struct(s["rel_path"], s["line"])).alias("sites"), F.count("*").alias("n_sites"), F.min("seq").alias("first_seq"))
     return grouped, hit.filter("span is null").select("seq", "symbol", "rel_path", "line")
 
 
-def derive_edges(occurrences: DataFrame, spans: DataFrame) -> DataFrame:
+def derive_edges(occurrences: DataFrame, spans: DataFrame, **options) -> DataFrame:
     """(caller, callee, n_sites) of references to symbols that are defined, by innermost span."""
     defs = occurrences.filter("is_def").select("symbol").distinct()
     refs = occurrences.filter("not is_def").join(defs, "symbol", "left_semi")
-    return innermost(refs, spans).filter("span is not null").groupBy(F.col("span.symbol").alias("caller"), F.col("symbol").alias("callee")).agg(F.count("*").alias("n_sites"))
+    return innermost(refs, spans, **options).filter("span is not null").groupBy(F.col("span.symbol").alias("caller"), F.col("symbol").alias("callee")).agg(F.count("*").alias("n_sites"))
 
 
 # --- sets
@@ -216,3 +216,17 @@ def like_symbols(rows: DataFrame, column: str, query: str, separator: str = ".")
     """Symbols equal to the query or with it as a part between separators; case of ASCII letters doesn't count."""
     c, q, s = F.lower(col(column)), query.lower(), separator
     return rows.filter((c == q) | c.endswith(s + q) | c.startswith(q + s) | c.contains(s + q + s))
+
+
+def with_examples(rows: DataFrame, keys: Sequence[str], value: str, most: int = 5) -> DataFrame:
+    """keys, n (complete) and the `most` smallest values: ranked, so that no list grows with its group."""
+    n = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    few = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(value))).filter(F.col("_r") <= most)
+    return n.join(few.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("examples")), list(keys))
+
+
+def other_files(nodes: DataFrame, file: str, looked: int = 6, shown: int = 4) -> DataFrame:
+    """name, shown, more: for each name the first other files that hold it, `shown` of `looked` at most, and whether there are more than are shown."""
+    f = nodes.filter(F.col("file_path") != file).select("name", "file_path").distinct()
+    r = f.withColumn("_r", F.row_number().over(Window.partitionBy("name").orderBy("file_path"))).filter(F.col("_r") <= looked)
+    return r.groupBy("name").agg(F.sort_array(F.collect_list(F.when(F.col("_r") <= shown, F.col("file_path")))).alias("shown"), (F.count("*") > shown).alias("more"))

@@ -70,7 +70,7 @@ def derived(g: Graph, max_depth: int = 15) -> dict[str, DataFrame]:
     home = members.select("id", "group").join(found.select("group", F.col("id").alias("_c")), "group").select("id", "_c")
     nodes = g.nodes.join(home, "id", "left").withColumn("community_id", F.col("_c")).drop("_c")
     flows = cut(G.trace_flows(g.nodes, g.edges, max_depth))
-    return {"nodes": nodes, "edges": g.edges, "communities": found.drop("group"), "flows": flows, "flow_memberships": G.flow_memberships(flows)}
+    return {"nodes": nodes, "edges": g.edges, "communities": found.drop("group"), "flows": flows, "flow_memberships": G.flow_memberships(flows), "tokens": G.token_table(g.nodes)}
 
 
 def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, meta: dict[str, str] | None = None) -> str:
@@ -79,6 +79,8 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, meta:
     for k, df in tables.items():
         if k == "edges":
             df = df.repartition("caller_symbol").sortWithinPartitions("caller_symbol", "callee_symbol")
+        if k == "tokens":
+            df = df.repartitionByRange("token").sortWithinPartitions("token", "id")
         df.write.parquet(f"{root}/{name}/{k}")
     spark.createDataFrame([(k, v) for k, v in (meta or {}).items()], "key string, value string").write.parquet(f"{root}/{name}/metadata")
     jvm = spark.sparkContext._jvm
@@ -97,7 +99,7 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, meta:
 def opened(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     text = spark.read.text(f"{root}/CURRENT", wholetext=True).first()[0]
     at = f"{root}/{json.loads(text)['generation']}"
-    return {k: spark.read.parquet(f"{at}/{k}") for k in ("nodes", "edges", "communities", "flows", "flow_memberships", "metadata")}
+    return {k: spark.read.parquet(f"{at}/{k}") for k in ("nodes", "edges", "communities", "flows", "flow_memberships", "tokens", "metadata")}
 
 
 def module_export(nodes: DataFrame, edges: DataFrame, root: str, rules=(), excluded=(), kinds=("CALLS", "IMPORTS_FROM", "INHERITS")) -> dict[str, DataFrame]:
@@ -110,3 +112,10 @@ def module_export(nodes: DataFrame, edges: DataFrame, root: str, rules=(), exclu
     return {"files": e.select(F.explode(F.array("a", "b")).alias("file")).distinct(), "module_edges": m}
 
 
+
+
+def containment(occ: DataFrame, spans: DataFrame) -> DataFrame:
+    """One row: function definitions, those with a span, and their share (null without definitions)."""
+    d = occ.filter("is_def").filter(E.ingest_kind("symbol", "rel_path") == "Function").select("symbol", "rel_path").distinct()
+    has = spans.select("symbol", "rel_path").distinct().withColumn("_s", F.lit(True))
+    return d.join(has, ["symbol", "rel_path"], "left").agg(F.count("*").alias("functions"), F.count("_s").alias("spanned")).withColumn("ratio", F.col("spanned") / F.nullif("functions", F.lit(0)))

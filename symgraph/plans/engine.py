@@ -11,6 +11,7 @@ from ..functions import exprs as E
 from ..operators import graph as G
 from ..operators import reconcile as C
 from ..operators import relational as R
+from ..operators import transition as T
 from . import build, freshness
 
 TASKS = (("review", ("detect_changes", "affected_flows", "review_context")), ("debug", ("search", "callers", "flows")), ("refactor", ("impact_radius", "closure", "bridge")), ("onboard", ("architecture_overview", "communities", "hub")))
@@ -25,6 +26,31 @@ class Engine:
     def open(cls, spark: SparkSession, root: str, **inputs) -> Engine:
         return cls(spark, build.opened(spark, root), **inputs)
 
+    @classmethod
+    def build(cls, spark: SparkSession, root: str, occurrences: DataFrame, spans: DataFrame | None = None, marks: DataFrame | None = None, source_root: str = "", meta: dict[str, str] | None = None) -> Engine:
+        """Builds and publishes a new generation below root and opens it."""
+        g = build.build_graph(occurrences, spans, marks, source_root)
+        build.publish(spark, build.derived(g), root, meta)
+        return cls.open(spark, root, occurrences=occurrences, spans=spans)
+
+    def project(self, extra: DataFrame, extra_spans: DataFrame, targets: DataFrame) -> DataFrame:
+        """Claims on the graph with further occurrences put over it."""
+        return C.overlay(self.occurrences, self.spans, extra, extra_spans, targets)
+
+    def snapshot(self, root: str, rules: Sequence[tuple[str, int]] = ()) -> dict[str, DataFrame]:
+        """files and module_edges of the graph below root."""
+        return build.module_export(self.nodes, self.edges, root, rules)
+
+    def delta_tour(self, before: dict[str, DataFrame], after: dict[str, DataFrame], lines: DataFrame) -> DataFrame:
+        """Steps through what changed between two snapshots."""
+        d = T.transition(before, after)
+        return C.delta_steps({"changed": d["modules"]}, d["files"], lines)
+
+    def freshness(self, current: DataFrame | None, manifest: DataFrame | None) -> freshness.Verdict:
+        """How far answers may be trusted, by the stamp of the opened generation."""
+        stamp = {r["key"]: r["value"] for r in self.tables["metadata"].collect()} if "metadata" in self.tables else None
+        return freshness.verdict(stamp, manifest, current)
+
     def _paths(self, files: Sequence[str]) -> DataFrame:
         return self.spark.createDataFrame([(f,) for f in files], "path string")
 

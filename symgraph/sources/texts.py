@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import is_excluded, language_of
+from ..functions.exprs import extension, is_excluded, language_of
 
 SKIPPED = ("__pycache__", "node_modules", "venv")
 
@@ -232,13 +232,16 @@ def duplicate_methods(functions: DataFrame) -> DataFrame:
     return d.groupBy("rel_path", "type").agg(F.sort_array(F.collect_set("name")).alias("names"))
 
 
-def text_lines(files: DataFrame) -> DataFrame:
-    """(path, line_no, text)."""
-    return files.select(F.col("rel").alias("path"), F.posexplode(F.split("text", "\n")).alias("line_no", "text")).withColumn("line_no", F.col("line_no") + 1)
+def text_lines(files: DataFrame, extensions: Sequence[str] = ("py", "yaml", "yml", "json", "toml"), excluded: Sequence[str] = ()) -> DataFrame:
+    """(path, line_no, text) of files of the kinds that a text scan reads, below no excluded prefix."""
+    rows = files.filter(extension("rel").isin(*extensions) & ~is_excluded("rel", excluded))
+    return rows.select(F.col("rel").alias("path"), F.posexplode(F.split("text", "\n")).alias("line_no", "text")).withColumn("line_no", F.col("line_no") + 1)
 
 
 def chain_frames(blocks: DataFrame) -> DataFrame:
-    """(block_id, ord, depth, text) of call trees drawn with box characters (block_id, text); depth by four columns of indent."""
-    b = blocks.select("block_id", F.posexplode(F.split("text", "\n")).alias("ord", "line")).filter(F.trim("line") != "")
-    lead = F.regexp_extract("line", r"^([\s│├└─]*)", 1)
-    return b.select("block_id", "ord", F.floor(F.length(lead) / 4).cast("int").alias("depth"), F.trim(F.regexp_replace("line", r"^[\s│├└─]*", "")).alias("text"))
+    """(block_id, ord, depth, text) of call trees drawn with box characters (block_id, text); a line is below the nearest line above it that is indented less."""
+    from ..operators.resolve import tree_depths
+
+    b = blocks.select("block_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.trim("line") != "")
+    b = b.withColumn("indent", F.length(F.regexp_extract("line", r"^([\s│├└─]*)", 1)))
+    return tree_depths(b, "block_id").select("block_id", F.col("pos").alias("ord"), F.col("depth").cast("int").alias("depth"), F.trim(F.regexp_replace("line", r"^[\s│├└─]*", "")).alias("text"))
