@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .operators import graph as G
 from .operators import reconcile as C
 from .operators import relational as R
+from .operators.iteration import cut
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -58,16 +59,15 @@ def hub_top(s, d):
 
 
 def _snapshots(s, d):
+    """Calls of orders before and from mid-1995 on: customers and suppliers by number."""
     o, li = _t(s, d, "orders"), _t(s, d, "lineitem")
-    c, p = _t(s, d, "customer"), _t(s, d, "supplier")
-    e = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(c, F.col("o_custkey") == c["c_custkey"]).join(p, F.col("l_suppkey") == p["s_suppkey"]).filter("l_quantity >= 45 and l_linenumber <= 2")
-    e = e.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst"), F.col("l_returnflag").alias("kind"), "o_orderdate")
-    cutoff = F.lit("1998-01-01").cast("timestamp")
+    e = li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_returnflag").alias("kind"), "o_orderdate")
+    cutoff = F.lit("1995-06-01").cast("timestamp")
     return e.filter(F.col("o_orderdate") < cutoff).drop("o_orderdate"), e.filter(F.col("o_orderdate") >= cutoff).drop("o_orderdate")
 
 
-_SNAP = """e as (select c_nationkey as src, s_nationkey as dst, l_returnflag as kind, o_orderdate from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey where l_quantity >= 45 and l_linenumber <= 2),
- a as (select distinct src, dst, kind from e where o_orderdate < timestamp '1998-01-01'), b as (select distinct src, dst, kind from e where o_orderdate >= timestamp '1998-01-01'), added as (select * from b except select * from a), removed as (select * from a except select * from b)"""
+_SNAP = """e as (select o_custkey as src, l_suppkey as dst, l_returnflag as kind, o_orderdate from lineitem join orders on l_orderkey = o_orderkey),
+ a as (select distinct src, dst, kind from e where o_orderdate < timestamp '1995-06-01'), b as (select distinct src, dst, kind from e where o_orderdate >= timestamp '1995-06-01'), added as (select * from b except select * from a), removed as (select * from a except select * from b)"""
 
 
 def edge_diff(s, d):
@@ -97,26 +97,32 @@ def _intervals(s, d):
 
 
 def callers(s, d):
-    """References by the innermost interval that holds them."""
+    """References by the innermost interval that holds them, with all their sites."""
     refs, spans = _intervals(s, d)
-    return R.innermost(refs, spans).filter("span is not null").groupBy(F.col("span.symbol").alias("caller")).agg(F.count("*").alias("n_sites"), F.min("seq").alias("first_seq"))
+    found = R.callers(refs, spans, bucket=_SLOT)[0]
+    return found.select("caller", "n_sites", "first_seq", F.array_join(F.transform("sites", lambda x: x["line"]), ",").alias("lines"))
 
 
 def item_level(s, d):
     refs, spans = _intervals(s, d)
-    return R.innermost(refs, spans, bucket=3_600_000_000).filter("span is null").select("seq", "symbol")
+    return R.callers(refs, spans, bucket=_SLOT)[1].select("seq", "symbol")
 
 
 def derived_edges(s, d):
+    """Edges from references to defined symbols by innermost span; only some event types are defined."""
     refs, spans = _intervals(s, d)
-    return R.innermost(refs, spans).filter("span is not null").groupBy(F.col("span.symbol").alias("caller"), F.col("symbol").alias("callee")).agg(F.count("*").alias("n_sites"))
+    defined = s.createDataFrame([(t,) for t in ("purchase", "error", "none")], "symbol string")
+    occ = refs.withColumn("is_def", F.lit(False)).unionByName(defined.select(F.lit(-1).cast("long").alias("seq"), "symbol", F.lit(-1).cast("long").alias("rel_path"), F.lit(-1).cast("long").alias("line"), F.lit(True).alias("is_def")))
+    return R.derive_edges(occ, spans, bucket=_SLOT).select("caller", "callee", "n_sites")
 
 
+#: Slots of long partitions, in microseconds: an hour.
+_SLOT = 3_600_000_000
 _INNER = """ev as (select event_id, user_id, event_type, value, epoch_us(ts) as t from events),
  sp as (select event_id as seq, 'f' || event_id as symbol, user_id, t as a, t + cast(floor(value * 60000000) as bigint) as b from ev where event_type in ('view', 'click')),
  rf as (select event_id as seq, event_type as symbol, user_id, t from ev where event_type not in ('view', 'click')),
- hit as (select rf.seq, rf.symbol, sp.symbol as caller, row_number() over (partition by rf.seq order by b - a, sp.seq) as n from rf join sp on rf.user_id = sp.user_id and t between a and b),
- best as (select seq, symbol, caller from hit where n = 1)"""
+ hit as (select rf.seq, rf.symbol, rf.t, sp.symbol as caller, row_number() over (partition by rf.seq order by b - a, sp.seq) as n from rf join sp on rf.user_id = sp.user_id and t between a and b),
+ best as (select seq, symbol, caller, t from hit where n = 1)"""
 
 
 def nearest_preceding(s, d):
@@ -146,40 +152,86 @@ _TRACE = """ev as (select user_id, event_id, event_type, epoch_us(ts) as t, cast
 
 
 def _links(s, d):
-    """Sparse calls both ways: first lines of large orders, and suppliers of a part calling its customers."""
-    o, li = _t(s, d, "orders"), _t(s, d, "lineitem")
-    e = li.join(o, li["l_orderkey"] == o["o_orderkey"]).filter("l_linenumber = 1 and l_quantity >= 48")
-    a = e.select(F.concat(F.lit("c"), "o_custkey").alias("caller"), F.concat(F.lit("s"), "l_suppkey").alias("callee"))
-    b = e.filter("l_returnflag = 'R'").select(F.concat(F.lit("s"), "l_suppkey").alias("caller"), F.concat(F.lit("c"), (F.col("o_custkey") % 97) + 1).alias("callee"))
-    return a.union(b)
+    """All calls of customers on suppliers, and of suppliers on the customers they took goods back from."""
+    e = _calls(s, d)
+    a = e.select(F.col("caller_symbol").alias("caller"), F.col("callee_symbol").alias("callee"))
+    return a.union(e.filter("kind = 'CALLS'").select(F.col("callee_symbol").alias("caller"), F.col("caller_symbol").alias("callee")))
+
+
+_LINKS = f"{_CALLS}, links as (select distinct caller_symbol as caller, callee_symbol as callee from calls union select callee_symbol, caller_symbol from calls where kind = 'CALLS')"
+
+
+def _flow_graph(s, d):
+    """Nodes and edges with depth: customers call suppliers, each supplier the next one of its nation, and parts, which are no nodes; some are tested, some names are sensitive."""
+    n = _nodes(s, d).withColumn("name", F.when(F.col("id") % 10 == 1, F.concat(F.lit("auth_"), "name")).otherwise(F.col("name")))
+    sup = _t(s, d, "supplier").select("s_suppkey", "s_nationkey")
+    after = sup.withColumn("next", F.lead("s_suppkey").over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))).filter("next is not null")
+    chain = after.select((F.col("s_suppkey") + 10**12).alias("id"), F.lit("CALLS").alias("kind"), F.concat(F.lit("s"), "s_suppkey").alias("caller_symbol"), F.concat(F.lit("s"), "next").alias("callee_symbol"))
+    tested = sup.filter("s_suppkey % 3 = 0").select((F.col("s_suppkey") + 2 * 10**12).alias("id"), F.lit("TESTED_BY").alias("kind"), F.concat(F.lit("s"), "s_suppkey").alias("caller_symbol"), F.concat(F.lit("t"), F.col("s_suppkey") % 7).alias("callee_symbol"))
+    out = _t(s, d, "lineitem").filter("l_returnflag = 'R'").groupBy("l_suppkey", "l_partkey").agg(F.min(F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id")).select((F.col("id") + 3 * 10**12).alias("id"), F.lit("CALLS").alias("kind"), F.concat(F.lit("s"), "l_suppkey").alias("caller_symbol"), F.concat(F.lit("p"), "l_partkey").alias("callee_symbol"))
+    return n, _calls(s, d).unionByName(chain).unionByName(tested).unionByName(out)
 
 
-_LINKS = """l as (select 'c' || o_custkey as caller, 's' || l_suppkey as callee, l_suppkey, o_custkey, l_returnflag from lineitem join orders on l_orderkey = o_orderkey where l_linenumber = 1 and l_quantity >= 48),
- links as (select distinct caller, callee from (select caller, callee from l union all select 's' || l_suppkey, 'c' || (o_custkey % 97 + 1) from l where l_returnflag = 'R'))"""
+_FLOW = f"""{_CALLS}, {_NODES}, chain as (select 's' || s_suppkey as caller, 's' || lead(s_suppkey) over (partition by s_nationkey order by s_suppkey) as callee from supplier),
+ k as (select distinct caller_symbol as caller, callee_symbol as callee from calls where kind = 'CALLS' union select caller, callee from chain where callee is not null),
+ ext as (select 's' || l_suppkey as symbol, count(distinct l_partkey) as n from lineitem where l_returnflag = 'R' group by 1),
+ tst as (select 's' || s_suppkey as symbol, 't' || s_suppkey % 7 as test from supplier where s_suppkey % 3 = 0),
+ named as (select *, case when id % 10 = 1 then 'auth_' || name else name end as nm from nodes)"""
 
 
 def closure(s, d):
-    """Who reaches supplier 1, with the number of hops."""
-    return G.closure(_links(s, d), s.createDataFrame([("s1",)], "symbol string"), 3)[0]
+    """Who reaches supplier 1 in three hops, with the number of hops and of re-entries into what was known."""
+    found, again = G.closure(_links(s, d), s.createDataFrame([("s1",)], "symbol string"), 3)
+    return found.withColumn("again", F.lit(again).cast("long"))
 
 
-def impact_radius(s, d):
-    """Best impact scores within two hops of one region's first supplier nation, edges weighted by kind."""
+def closure_levels(s, d):
+    """New symbols of each level, and how many files they lie in."""
+    found, _ = G.closure(_links(s, d), s.createDataFrame([("s1",)], "symbol string"), 4)
+    n = _nodes(s, d).select("symbol", F.col("file_path").alias("rel_path"))
+    return G.closure_levels(found, n, 4).select("depth", "n_new", F.coalesce(F.size("by_file"), F.lit(0)).alias("n_files"))
+
+
+def _impact(s, d, most: int):
     nodes = _nodes(s, d)
-    edges = _calls(s, d).filter("kind <> 'IMPORTS_FROM' and id % 5000 < 60").select("id", "kind", "caller_symbol", "callee_symbol")
     first = nodes.filter("symbol = 's1'").select(F.col("file_path").alias("path"))
-    return G.impact_radius(nodes, edges, first, 2, 10_000_000)["impacted"].select("symbol", "score")
+    return G.impact_radius(nodes, _calls(s, d), first, 2, most)
+
+
+def impact_radius(s, d):
+    """Best impact scores within two hops of the file of supplier 1, edges weighted by kind; the 500 highest."""
+    x = _impact(s, d, 500)
+    return x["impacted"].select("symbol", "score", F.lit(x["total_impacted"]).cast("long").alias("total"), F.lit(x["truncated"]).alias("truncated"))
+
+
+def impact_files(s, d):
+    """Files of all that is impacted."""
+    return _impact(s, d, 1_000_000_000)["files"]
 
 
 def flows(s, d):
-    """Flows from customers that nothing calls, with criticality."""
-    e = _links(s, d).withColumn("w", F.row_number().over(Window.orderBy("caller", "callee"))).select(F.col("w").cast("long").alias("id"), F.lit("CALLS").alias("kind"), F.col("caller").alias("caller_symbol"), F.col("callee").alias("callee_symbol"))
-    return G.trace_flows(_nodes(s, d), e, 3).select("entry_point_id", "depth", "node_count", "file_count")
+    """Flows from what nothing calls, up to 15 calls deep, with criticality."""
+    n, e = _flow_graph(s, d)
+    return G.trace_flows(n, e, 15).select("entry_point_id", "depth", "node_count", "file_count", "criticality", F.size("path").alias("n_path"))
 
 
 def entry_points(s, d):
-    e = _links(s, d).select(F.lit(1).alias("id"), F.lit("CALLS").alias("kind"), F.col("caller").alias("caller_symbol"), F.col("callee").alias("callee_symbol"))
-    return G.entry_points(_nodes(s, d), e).select("symbol")
+    n, e = _flow_graph(s, d)
+    return G.entry_points(n, e).select("symbol")
+
+
+def affected_flows(s, d):
+    """Flows through the files of one region."""
+    n, e = _flow_graph(s, d)
+    f = G.trace_flows(n, e, 15)
+    changed = n.filter("file_path like '/w/ASIA/%'").select(F.col("file_path").alias("path"))
+    return G.affected_flows(f, changed).select("entry_point_id", "node_count")
+
+
+def memberships(s, d):
+    """How many flows each node lies in."""
+    n, e = _flow_graph(s, d)
+    return G.flow_memberships(G.trace_flows(n, e, 15)).groupBy("node_id").agg(F.count("*").alias("flows"))
 
 
 def cohesion(s, d):
@@ -197,10 +249,33 @@ def communities(s, d):
     return G.communities(G.directory_groups(n), _calls(s, d)).select("group", "size", "cohesion", "dominant_language")
 
 
+def _churn(s, d):
+    return _nodes(s, d).select("file_path").distinct().withColumn("commits", (F.length("file_path") % 7).cast("long"))
+
+
 def risk_scores(s, d):
-    n, e = _nodes(s, d), _calls(s, d)
-    flows = s.createDataFrame([], "entry_point_id long, criticality double, path array<long>")
-    return G.risk_scores(n, n, e, flows).select("symbol", "risk_score")
+    """Risk of all nodes from flows, callers, tests, names and churn."""
+    n, e = _flow_graph(s, d)
+    return G.risk_scores(n, n, e, cut(G.trace_flows(n, e, 15)), _churn(s, d)).select("symbol", "risk_score")
+
+
+def test_counts(s, d):
+    """Tests of each node and of those that it calls."""
+    n, e = _flow_graph(s, d)
+    return G.test_counts(n, e)
+
+
+def changed_functions(s, d):
+    """What changes in one region's files touch: risks of the first 500 nodes."""
+    n, e = _flow_graph(s, d)
+    files = n.filter("file_path like '/w/EUROPE/%'").select(F.col("file_path").alias("path"))
+    return G.detect_changes(n, e, cut(G.trace_flows(n, e, 15)), files, churn=_churn(s, d))["changed_functions"].select("symbol", "risk_score")
+
+
+def test_gaps(s, d):
+    n, e = _flow_graph(s, d)
+    files = n.filter("file_path like '/w/EUROPE/%'").select(F.col("file_path").alias("path"))
+    return G.detect_changes(n, e, cut(G.trace_flows(n, e, 15)), files)["test_gaps"].select("symbol")
 
 
 def map_changes(s, d):
@@ -209,12 +284,6 @@ def map_changes(s, d):
     return G.map_changes(_nodes(s, d), r).select("symbol")
 
 
-def coverage(s, d):
-    """Documents against labels, in full."""
-    a, b = _t(s, d, "documents").select("doc_id", F.lit(1).alias("x")), _t(s, d, "labels").select("doc_id", F.lit(1).alias("y"))
-    return a.join(b, "doc_id", "full_outer").agg(F.count_if(F.expr("x is not null and y is not null")).alias("matched"), F.count_if(F.expr("y is null")).alias("left_only"), F.count_if(F.expr("x is null")).alias("right_only"))
-
-
 def two_tier_lookup(s, d):
     """Parts looked up by (brand, type), else by type where it is unique among small parts."""
     p = _t(s, d, "part")
@@ -224,9 +293,9 @@ def two_tier_lookup(s, d):
 
 
 def manifest_delta(s, d):
-    """Documents of two sources as two states of a manifest keyed by the first words."""
-    doc = _t(s, d, "documents").select(F.lower(F.substring("text", 1, 12)).alias("rel"), "lang", "source", F.col("n_chars").alias("size"), F.md5(F.col("text").cast("binary")).alias("hash"), "doc_id")
-    state = lambda src: R.first_of(doc.filter(F.col("source").isin(*src)), ["lang", "rel"], ["doc_id"]).select(F.col("lang").alias("face"), "rel", "size", "hash")
+    """Documents of three sources against those of three others, keyed by the hash of the whole text."""
+    doc = _t(s, d, "documents").select(F.md5(F.col("text").cast("binary")).alias("rel"), F.col("lang").alias("face"), "source", (F.col("n_chars") + F.length("source")).alias("size"), F.md5(F.col("source").cast("binary")).alias("hash"), "doc_id")
+    state = lambda src: R.first_of(doc.filter(F.col("source").isin(*src)), ["face", "rel"], ["doc_id"]).select("face", "rel", "size", "hash")
     return R.manifest_delta(state(["src0", "src1", "src2"]), state(["src2", "src3", "src4"]))
 
 
@@ -236,6 +305,12 @@ def search_words(s, d):
     return G.search(n, "the that with", 2_000_000_000)[0].select("id")
 
 
+def search_tokens(s, d):
+    """Documents with all words, by the table of tokens."""
+    n = _t(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("name"))
+    return G.search_tokens(G.token_table(n), n, "the that with", 1_000_000).select("id")
+
+
 def search_substring(s, d):
     n = _t(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("name"), F.col("source").alias("qname"))
     return G.search(n, "ertion bleea", 2_000_000_000, index=False)[0].select("id")
@@ -307,25 +382,34 @@ def nearest_line(s, d):
 
 
 def strongest_edges(s, d):
-    from .functions.exprs import edge_weight
-
-    return _calls(s, d).groupBy("caller_symbol", "callee_symbol").agg(F.max(edge_weight("kind")).alias("w"))
+    return G.strongest(_calls(s, d)).select("caller_symbol", "callee_symbol", "w")
 
 
 def bridges(s, d):
-    """Betweenness over nations."""
-    e = _snapshots(s, d)[0].filter("(src + dst) % 3 = 0").select(F.concat(F.lit("n"), "src").alias("caller_symbol"), F.concat(F.lit("n"), "dst").alias("callee_symbol"))
-    n = _t(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.concat(F.lit("n"), "n_nationkey").alias("symbol"), F.lit("Function").alias("kind"))
+    """Betweenness over all nodes of a ring of nations' suppliers and their calls."""
+    n, e = _flow_graph(s, d)
     return G.bridge_nodes(n, e, None).select("symbol", F.round("betweenness", 9).alias("betweenness"))
 
 
 def leiden(s, d):
+    return G.leiden_groups(_nodes(s, d), _calls(s, d)).select("symbol", "group")
+
+
+def modularity(s, d):
+    """Modularity of the nations as groups."""
+    m = _nodes(s, d).select("symbol", F.col("community_id").alias("group"))
+    return G.modularity(m, _calls(s, d)).select(F.round("modularity", 9).alias("modularity"))
+
+
+def warnings(s, d):
+    """Pairs of communities with more than ten edges, the 20 largest."""
     n = _nodes(s, d)
-    return G.leiden_groups(n, _calls(s, d).filter("id % 100 = 1")).select("symbol", "group")
+    named = _t(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.when(F.col("n_nationkey") % 5 == 0, F.concat(F.lit("test-"), "n_name")).otherwise(F.col("n_name")).alias("name"))
+    return G.coupling_warnings(G.cross_edges(n, _calls(s, d)), named).select("name_a", "name_b", "n")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = "hub_degrees hub_top edge_diff edge_reversed changed_modules compare_claims callers item_level derived_edges nearest_preceding trace_nesting trace_stats closure impact_radius flows entry_points cohesion cross_communities communities risk_scores map_changes coverage two_tier_lookup manifest_delta search_words search_substring hotspots hotspot_totals module_export participating_files shadowed collisions set_delta ordered_mode audit nearest_line strongest_edges bridges leiden"
+    names = "closure_levels impact_files affected_flows memberships test_counts changed_functions test_gaps modularity warnings hub_degrees hub_top edge_diff edge_reversed changed_modules compare_claims callers item_level derived_edges nearest_preceding trace_nesting trace_stats closure impact_radius flows entry_points cohesion cross_communities communities risk_scores map_changes two_tier_lookup manifest_delta search_words search_tokens search_substring hotspots hotspot_totals module_export participating_files shadowed collisions set_delta ordered_mode audit nearest_line strongest_edges bridges leiden"
     return {n: globals()[n] for n in names.split()}
 
 
@@ -334,6 +418,8 @@ def oracle_sql() -> dict[str, str]:
     hot = "r as (select page_id, case when page_id % 11 <> 0 then regexp_replace(url, '^https?://', '') end as rel from pages), c as (select page_id, regexp_extract(rel, '^(.*)/[^/]*$', 1) as dir, case when rel is null then 'outside' when page_id % 13 = 0 then 'excluded' when page_id % 7 = 0 or starts_with(rel, 'tests/') then 'test' else 'prod' end as bucket from r)"
     module = lambda a: f"case when {a}.r_name = 'ASIA' then 'ASIA/' || {a}.n_name else {a}.r_name end"
     weight = "case kind when 'CALLS' then 1.0 when 'REFERENCES' then 0.6 when 'IMPORTS_FROM' then 0.5 end"
+    hops4 = ", ".join(f"h{k} as (select distinct caller as symbol from links join h{k - 1} on callee = h{k - 1}.symbol)" for k in (1, 2, 3, 4))
+    levels4 = " union all ".join(f"select symbol, {k} as depth from h{k}" for k in (0, 1, 2, 3, 4))
     hops = ", ".join(f"h{k} as (select distinct caller as symbol from links join h{k - 1} on callee = h{k - 1}.symbol)" for k in (1, 2, 3))
     levels = " union all ".join(f"select symbol, {k} as depth from h{k}" for k in (0, 1, 2, 3))
     return {
@@ -343,25 +429,34 @@ def oracle_sql() -> dict[str, str]:
         "edge_reversed": f"with {_SNAP} select src, dst from added intersect select dst, src from removed",
         "changed_modules": f"with {_SNAP}, x as (select src, dst from added union all select src, dst from removed) select src as module from x union select dst from x",
         "compare_claims": f"with {_SNAP}, c as (select n_nationkey as module from nation where n_regionkey <= 2), x as (select distinct src as module from (select src, dst from added intersect select dst, src from removed)) select coalesce(c.module, x.module) as module, case when c.module is null then 'surprise' when x.module is null then 'missed' else 'hit' end as verdict from c full join x on c.module = x.module",
-        "callers": f"with {_INNER} select caller, count(*) as n_sites, min(seq) as first_seq from best group by caller",
+        "callers": f"with {_INNER} select caller, count(*) as n_sites, min(seq) as first_seq, string_agg(t, ',' order by seq) as lines from best group by caller",
         "item_level": f"with {_INNER} select seq, symbol from rf where seq not in (select seq from best)",
-        "derived_edges": f"with {_INNER} select caller, symbol as callee, count(*) as n_sites from best group by caller, symbol",
+        "derived_edges": f"with {_INNER} select caller, symbol as callee, count(*) as n_sites from best where symbol in ('purchase', 'error') group by caller, symbol",
         "nearest_preceding": "select p.event_id, (select arg_max(s.event_id, (s.ts, s.event_id)) from events s where s.event_type = 'signup' and s.user_id = p.user_id and s.ts <= p.ts) as signup_id from events p where p.event_type = 'purchase'",
         "trace_nesting": f"with {_TRACE} select event_id as ord, parent_ord from best",
         "trace_stats": f"with {_TRACE} select caller, callee, count(*) as count, median(dur) / 1000 as p50_ms, quantile_disc(dur, 0.95) / 1000 as p95_ms, min(event_id) as first_seen from best group by caller, callee",
-        "closure": f"with {_LINKS}, h0 as (select 's1' as symbol), {hops}, x as ({levels}), m as (select symbol, min(depth) as depth from x group by symbol) select symbol, depth from m where depth > 0",
-        "impact_radius": f"with {_CALLS}, {_NODES}, e as (select caller_symbol as a, callee_symbol as b, max({weight}) * 0.6 as w from calls where kind <> 'IMPORTS_FROM' and id % 5000 < 60 group by 1, 2), g as (select a as s, b as o, w from e union all select b, a, w from e), seed as (select symbol from nodes where (r_name, n_name) = (select (r_name, n_name) from nodes where symbol = 's1')), r1 as (select o as symbol, max(w) as score from g join seed on s = symbol where w > 0.05 and o not in (select symbol from seed) group by o), r2 as (select o as symbol, max(score * w) as score from g join r1 on s = symbol where score * w > 0.05 and o not in (select symbol from seed) group by o) select symbol, max(score) as score from (select * from r1 union all select * from r2) join nodes using (symbol) group by symbol",
-        "flows": f"with {_LINKS}, {_NODES}, entry as (select id, symbol from nodes where symbol not in (select callee from links)), k as (select caller, callee from links where caller in (select symbol from nodes) and callee in (select symbol from nodes)), f1 as (select distinct id, callee as symbol from entry join k on caller = symbol), f2 as (select distinct id, callee as symbol from f1 join k on caller = symbol), f3 as (select distinct id, callee as symbol from f2 join k on caller = symbol), x as (select id, symbol, 0 as depth from entry union all select id, symbol, 1 from f1 union all select id, symbol, 2 from f2 union all select id, symbol, 3 from f3), m as (select id, symbol, min(depth) as depth from x group by id, symbol) select m.id as entry_point_id, cast(max(depth) as bigint) as depth, count(*) as node_count, count(distinct (r_name, n_name)) as file_count from m join nodes using (symbol) group by m.id having count(*) >= 2",
-        "entry_points": f"with {_LINKS}, {_NODES} select symbol from nodes where symbol not in (select callee from links)",
+        "closure": f"with {_LINKS}, h0 as (select 's1' as symbol), {hops}, x as ({levels}), m as (select symbol, min(depth) as depth from x group by symbol), e as (select depth, count(*) as n from (select distinct m.symbol, m.depth, l.caller from m join links l on l.callee = m.symbol where m.depth < 3) group by depth) select symbol, depth, (select sum(n) from e)::bigint - (select count(*) from m where depth > 0) as again from m where depth > 0",
+        "closure_levels": f"with {_LINKS}, {_NODES}, h0 as (select 's1' as symbol), {hops4}, x as ({levels4}), m as (select symbol, min(depth) as depth from x group by symbol) select k::int as depth, count(m.symbol) as n_new, count(distinct case when m.symbol is not null then (r_name, n_name) end)::int as n_files from range(1, 5) t(k) left join m on m.depth = k left join nodes using (symbol) group by k",
+        "impact_radius": f"with {_CALLS}, {_NODES}, e as (select caller_symbol as a, callee_symbol as b, max({weight})::double * 0.6::double as w from calls group by 1, 2), g as (select a as s, b as o, w from e union all select b, a, w from e), seed as (select symbol from nodes where (r_name, n_name) = (select (r_name, n_name) from nodes where symbol = 's1')), r1 as (select o as symbol, max(w) as score from g join seed on s = symbol where w > 0.05 and o not in (select symbol from seed) group by o), r2 as (select o as symbol, max(score * w) as score from g join r1 on s = symbol where score * w > 0.05 and o not in (select symbol from seed) group by o), best as (select symbol, max(score) as score from (select * from r1 union all select * from r2) join nodes using (symbol) group by symbol) select symbol, score, (select count(*) from best) as total, (select count(*) > 500 from best) as truncated from best order by score desc, symbol limit 500",
+        "impact_files": f"with {_CALLS}, {_NODES}, e as (select caller_symbol as a, callee_symbol as b, max({weight})::double * 0.6::double as w from calls group by 1, 2), g as (select a as s, b as o, w from e union all select b, a, w from e), seed as (select symbol from nodes where (r_name, n_name) = (select (r_name, n_name) from nodes where symbol = 's1')), r1 as (select o as symbol, max(w) as score from g join seed on s = symbol where w > 0.05 and o not in (select symbol from seed) group by o), r2 as (select o as symbol, max(score * w) as score from g join r1 on s = symbol where score * w > 0.05 and o not in (select symbol from seed) group by o), best as (select symbol, max(score) as score from (select * from r1 union all select * from r2) join nodes using (symbol) group by symbol) select distinct '/w/' || r_name || '/' || n_name || '/x.py' as file_path from best join nodes using (symbol)",
+        "flows": f"with {_FLOW}, entry as (select id, symbol from nodes where symbol not in (select callee from k)), tour as (with recursive f(id, symbol, depth) as (select id, symbol, 0 from entry union select f.id, k.callee, f.depth + 1 from f join k on k.caller = f.symbol where f.depth < 15) select id, symbol, min(depth) as depth from f group by 1, 2), flow as (select m.id, max(depth)::bigint as depth, count(*) as node_count, count(distinct (r_name, n_name)) as file_count, sum(coalesce(ext.n, 0)) as external, avg(case when nm like 'auth_%' then 1.0::double else 0 end) as secure, avg(case when m.symbol in (select symbol from tst) then 1.0::double else 0 end) as tested from tour m join named on m.symbol = named.symbol left join ext on m.symbol = ext.symbol group by m.id having count(*) >= 2), fl as (select *, 0.30::double * least((file_count - 1) / 4.0::double, 1) + 0.20::double * least(external / 5.0::double, 1) + 0.25::double * secure + 0.15::double * (1 - tested) + 0.10::double * least(depth / 10.0::double, 1) as criticality from flow) select id as entry_point_id, depth, node_count, file_count, criticality, node_count::int as n_path from fl",
+        "affected_flows": f"with {_FLOW}, entry as (select id, symbol from nodes where symbol not in (select callee from k)), tour as (with recursive f(id, symbol, depth) as (select id, symbol, 0 from entry union select f.id, k.callee, f.depth + 1 from f join k on k.caller = f.symbol where f.depth < 15) select id, symbol, min(depth) as depth from f group by 1, 2), flow as (select m.id, max(depth)::bigint as depth, count(*) as node_count, count(distinct (r_name, n_name)) as file_count, sum(coalesce(ext.n, 0)) as external, avg(case when nm like 'auth_%' then 1.0::double else 0 end) as secure, avg(case when m.symbol in (select symbol from tst) then 1.0::double else 0 end) as tested from tour m join named on m.symbol = named.symbol left join ext on m.symbol = ext.symbol group by m.id having count(*) >= 2), fl as (select *, 0.30::double * least((file_count - 1) / 4.0::double, 1) + 0.20::double * least(external / 5.0::double, 1) + 0.25::double * secure + 0.15::double * (1 - tested) + 0.10::double * least(depth / 10.0::double, 1) as criticality from flow) select id as entry_point_id, node_count from fl where id in (select tour.id from tour join nodes using (symbol) where r_name = 'ASIA')",
+        "memberships": f"with {_FLOW}, entry as (select id, symbol from nodes where symbol not in (select callee from k)), tour as (with recursive f(id, symbol, depth) as (select id, symbol, 0 from entry union select f.id, k.callee, f.depth + 1 from f join k on k.caller = f.symbol where f.depth < 15) select id, symbol, min(depth) as depth from f group by 1, 2), flow as (select m.id, max(depth)::bigint as depth, count(*) as node_count, count(distinct (r_name, n_name)) as file_count, sum(coalesce(ext.n, 0)) as external, avg(case when nm like 'auth_%' then 1.0::double else 0 end) as secure, avg(case when m.symbol in (select symbol from tst) then 1.0::double else 0 end) as tested from tour m join named on m.symbol = named.symbol left join ext on m.symbol = ext.symbol group by m.id having count(*) >= 2), fl as (select *, 0.30::double * least((file_count - 1) / 4.0::double, 1) + 0.20::double * least(external / 5.0::double, 1) + 0.25::double * secure + 0.15::double * (1 - tested) + 0.10::double * least(depth / 10.0::double, 1) as criticality from flow), z as (select tour.id, tour.symbol from tour join fl using (id)) select nodes.id as node_id, count(*) as flows from z join nodes using (symbol) group by 1",
+        "entry_points": f"with {_FLOW} select symbol from nodes where symbol not in (select callee from k)",
         "cohesion": f"with {_CALLS}, {_NODES}, e as (select a.community as g1, b.community as g2 from calls left join nodes a on caller_symbol = a.symbol left join nodes b on callee_symbol = b.symbol), x as (select g1 as g, cast(g1 = g2 as int) as i from e union all select g2, 0 from e where g1 <> g2) select cast(g as bigint) as \"group\", cast(sum(i) as bigint) as internal, cast(sum(1 - i) as bigint) as external, sum(i) / count(*) as cohesion from x group by g",
         "cross_communities": f"with {_CALLS}, {_NODES}, e as (select least(a.community, b.community) as a, greatest(a.community, b.community) as b, kind from calls join nodes a on caller_symbol = a.symbol join nodes b on callee_symbol = b.symbol where a.community <> b.community) select cast(a as bigint) as a, cast(b as bigint) as b, count(*) as n, cast(count(distinct kind) as int) as n_kinds from e group by a, b",
         "communities": f"with {_CALLS}, {_NODES}, ends as (select caller_symbol as symbol, callee_symbol as other from calls union all select callee_symbol, caller_symbol from calls), size as (select r_name, count(*) as n, count(distinct n_name) as k from nodes group by r_name), deep as (select count(*) >= 10 as top from size where n >= 2), g as (select symbol, id, language, case when (select top from deep) then r_name else r_name || '/' || n_name end as grp from nodes), lang as (select grp, language, row_number() over (partition by grp order by count(*) desc, min(id)) as r from g group by grp, language), c as (select a.grp as g1, b.grp as g2 from calls join g a on caller_symbol = a.symbol join g b on callee_symbol = b.symbol), x as (select g1 as grp, cast(g1 = g2 as int) as i from c union all select g2, 0 from c where g1 <> g2), co as (select grp, sum(i) / count(*) as cohesion from x group by grp) select g.grp as \"group\", count(*) as size, coalesce(min(cohesion), 0) as cohesion, min(lang.language) as dominant_language from g join lang on g.grp = lang.grp and r = 1 left join co on g.grp = co.grp group by g.grp having count(*) >= 2",
-        "risk_scores": f"with {_CALLS}, {_NODES}, k as (select distinct caller_symbol, callee_symbol from calls where kind = 'CALLS'), p as (select n.symbol, count(*) as callers, count(*) filter (c.community <> n.community) as crossing from k join nodes n on callee_symbol = n.symbol left join nodes c on caller_symbol = c.symbol group by n.symbol) select symbol, least(1, greatest(0, least(coalesce(crossing, 0) * 0.05::double, 0.15::double) + 0.30::double + case when regexp_matches(lower(name), 'auth|login|password|token|session|crypt|secret|credential|permission|sql|query|execute|connect|socket|request|http|sanitize|validate|hash|sign|verify|admin|privilege') then 0.20::double else 0 end + least(coalesce(callers, 0) / 20.0::double, 0.10::double))) as risk_score from nodes left join p using (symbol)",
+        "risk_scores": f"with {_FLOW}, entry as (select id, symbol from nodes where symbol not in (select callee from k)), tour as (with recursive f(id, symbol, depth) as (select id, symbol, 0 from entry union select f.id, k.callee, f.depth + 1 from f join k on k.caller = f.symbol where f.depth < 15) select id, symbol, min(depth) as depth from f group by 1, 2), flow as (select m.id, max(depth)::bigint as depth, count(*) as node_count, count(distinct (r_name, n_name)) as file_count, sum(coalesce(ext.n, 0)) as external, avg(case when nm like 'auth_%' then 1.0::double else 0 end) as secure, avg(case when m.symbol in (select symbol from tst) then 1.0::double else 0 end) as tested from tour m join named on m.symbol = named.symbol left join ext on m.symbol = ext.symbol group by m.id having count(*) >= 2), fl as (select *, 0.30::double * least((file_count - 1) / 4.0::double, 1) + 0.20::double * least(external / 5.0::double, 1) + 0.25::double * secure + 0.15::double * (1 - tested) + 0.10::double * least(depth / 10.0::double, 1) as criticality from flow), callers as (select distinct caller_symbol, callee_symbol from calls where kind = 'CALLS' union select caller, callee from chain where callee is not null), p as (select n.symbol, count(*) as callers, count(*) filter (c.community <> n.community) as crossing from callers x join nodes n on x.callee_symbol = n.symbol left join nodes c on x.caller_symbol = c.symbol group by n.symbol), share as (select tour.symbol, least(sum(criticality), 0.25::double) as flow from tour join fl using (id) group by 1), o as (select caller as symbol, callee, min(eid) as eid from (select caller_symbol as caller, callee_symbol as callee, id as eid from calls where kind = 'CALLS' union all select caller, callee, 1000000000000 + substr(caller, 2)::bigint from chain where callee is not null union all select 's' || l_suppkey, 'p' || l_partkey, 3000000000000 + l_orderkey * 100 + l_linenumber from lineitem where l_returnflag = 'R') group by 1, 2), o50 as (select * from (select *, row_number() over (partition by symbol order by eid) as r from o) where r <= 50), tests as (select symbol, count(distinct test) as tests from (select symbol, test from tst union all select o50.symbol, tst.test from o50 join tst on o50.callee = tst.symbol) group by 1) select named.symbol, least(1, greatest(0, coalesce(flow, 0) + least(coalesce(crossing, 0) * 0.05::double, 0.15::double) + 0.30::double - least(coalesce(tests, 0) / 5.0::double, 1) * 0.25::double + case when nm like 'auth_%' then 0.20::double else 0 end + least(coalesce(callers, 0) / 20.0::double, 0.10::double) + least(length('/w/' || r_name || '/' || n_name || '/x.py') % 7 / 10.0::double, 1) * 0.15::double)) as risk_score from named left join share on named.symbol = share.symbol left join p on named.symbol = p.symbol left join tests on named.symbol = tests.symbol",
+        "test_counts": f"with {_FLOW}, entry as (select id, symbol from nodes where symbol not in (select callee from k)), tour as (with recursive f(id, symbol, depth) as (select id, symbol, 0 from entry union select f.id, k.callee, f.depth + 1 from f join k on k.caller = f.symbol where f.depth < 15) select id, symbol, min(depth) as depth from f group by 1, 2), flow as (select m.id, max(depth)::bigint as depth, count(*) as node_count, count(distinct (r_name, n_name)) as file_count, sum(coalesce(ext.n, 0)) as external, avg(case when nm like 'auth_%' then 1.0::double else 0 end) as secure, avg(case when m.symbol in (select symbol from tst) then 1.0::double else 0 end) as tested from tour m join named on m.symbol = named.symbol left join ext on m.symbol = ext.symbol group by m.id having count(*) >= 2), fl as (select *, 0.30::double * least((file_count - 1) / 4.0::double, 1) + 0.20::double * least(external / 5.0::double, 1) + 0.25::double * secure + 0.15::double * (1 - tested) + 0.10::double * least(depth / 10.0::double, 1) as criticality from flow), callers as (select distinct caller_symbol, callee_symbol from calls where kind = 'CALLS' union select caller, callee from chain where callee is not null), p as (select n.symbol, count(*) as callers, count(*) filter (c.community <> n.community) as crossing from callers x join nodes n on x.callee_symbol = n.symbol left join nodes c on x.caller_symbol = c.symbol group by n.symbol), share as (select tour.symbol, least(sum(criticality), 0.25::double) as flow from tour join fl using (id) group by 1), o as (select caller as symbol, callee, min(eid) as eid from (select caller_symbol as caller, callee_symbol as callee, id as eid from calls where kind = 'CALLS' union all select caller, callee, 1000000000000 + substr(caller, 2)::bigint from chain where callee is not null union all select 's' || l_suppkey, 'p' || l_partkey, 3000000000000 + l_orderkey * 100 + l_linenumber from lineitem where l_returnflag = 'R') group by 1, 2), o50 as (select * from (select *, row_number() over (partition by symbol order by eid) as r from o) where r <= 50), tests as (select symbol, count(distinct test) as tests from (select symbol, test from tst union all select o50.symbol, tst.test from o50 join tst on o50.callee = tst.symbol) group by 1) select named.symbol, tests from named join tests on named.symbol = tests.symbol",
+        "changed_functions": f"with {_FLOW}, entry as (select id, symbol from nodes where symbol not in (select callee from k)), tour as (with recursive f(id, symbol, depth) as (select id, symbol, 0 from entry union select f.id, k.callee, f.depth + 1 from f join k on k.caller = f.symbol where f.depth < 15) select id, symbol, min(depth) as depth from f group by 1, 2), flow as (select m.id, max(depth)::bigint as depth, count(*) as node_count, count(distinct (r_name, n_name)) as file_count, sum(coalesce(ext.n, 0)) as external, avg(case when nm like 'auth_%' then 1.0::double else 0 end) as secure, avg(case when m.symbol in (select symbol from tst) then 1.0::double else 0 end) as tested from tour m join named on m.symbol = named.symbol left join ext on m.symbol = ext.symbol group by m.id having count(*) >= 2), fl as (select *, 0.30::double * least((file_count - 1) / 4.0::double, 1) + 0.20::double * least(external / 5.0::double, 1) + 0.25::double * secure + 0.15::double * (1 - tested) + 0.10::double * least(depth / 10.0::double, 1) as criticality from flow), callers as (select distinct caller_symbol, callee_symbol from calls where kind = 'CALLS' union select caller, callee from chain where callee is not null), p as (select n.symbol, count(*) as callers, count(*) filter (c.community <> n.community) as crossing from callers x join nodes n on x.callee_symbol = n.symbol left join nodes c on x.caller_symbol = c.symbol group by n.symbol), share as (select tour.symbol, least(sum(criticality), 0.25::double) as flow from tour join fl using (id) group by 1), o as (select caller as symbol, callee, min(eid) as eid from (select caller_symbol as caller, callee_symbol as callee, id as eid from calls where kind = 'CALLS' union all select caller, callee, 1000000000000 + substr(caller, 2)::bigint from chain where callee is not null union all select 's' || l_suppkey, 'p' || l_partkey, 3000000000000 + l_orderkey * 100 + l_linenumber from lineitem where l_returnflag = 'R') group by 1, 2), o50 as (select * from (select *, row_number() over (partition by symbol order by eid) as r from o) where r <= 50), tests as (select symbol, count(distinct test) as tests from (select symbol, test from tst union all select o50.symbol, tst.test from o50 join tst on o50.callee = tst.symbol) group by 1) select named.symbol, least(1, greatest(0, coalesce(flow, 0) + least(coalesce(crossing, 0) * 0.05::double, 0.15::double) + 0.30::double - least(coalesce(tests, 0) / 5.0::double, 1) * 0.25::double + case when nm like 'auth_%' then 0.20::double else 0 end + least(coalesce(callers, 0) / 20.0::double, 0.10::double) + least(length('/w/' || r_name || '/' || n_name || '/x.py') % 7 / 10.0::double, 1) * 0.15::double)) as risk_score from named left join share on named.symbol = share.symbol left join p on named.symbol = p.symbol left join tests on named.symbol = tests.symbol where r_name = 'EUROPE' order by named.id limit 500",
+        "test_gaps": f"with {_FLOW}, first as (select * from nodes where r_name = 'EUROPE' order by id limit 500) select symbol from first where symbol not in (select symbol from tst)",
         "map_changes": f"with {_NODES} select symbol from nodes where n_name in (select n_name from nation where n_regionkey = 1)",
-        "coverage": "select count(*) filter (d.doc_id is not null and l.doc_id is not null) as matched, count(*) filter (l.doc_id is null) as left_only, count(*) filter (d.doc_id is null) as right_only from documents d full join labels l on d.doc_id = l.doc_id",
         "two_tier_lookup": "with t as (select p_brand, p_type, p_partkey from part where p_size <= 2), a as (select p_brand, p_type, min(p_partkey) as v from t group by 1, 2), b as (select p_type, min(p_partkey) as v from t group by 1 having count(*) = 1) select p.p_partkey, coalesce(a.v, b.v) as found, case when a.v is not null then 1 when b.v is not null then 2 end as tier from part p left join a on p.p_brand = a.p_brand and p.p_type = a.p_type left join b on p.p_type = b.p_type where p_size > 40",
-        "manifest_delta": "with x as (select lower(substr(text, 1, 12)) as rel, lang, source, n_chars as size, md5(text) as hash, doc_id from documents), a as (select lang, rel, arg_min(size, doc_id) as size, arg_min(hash, doc_id) as hash from x where source in ('src0', 'src1', 'src2') group by all), b as (select lang, rel, arg_min(size, doc_id) as size, arg_min(hash, doc_id) as hash from x where source in ('src2', 'src3', 'src4') group by all), j as (select coalesce(a.lang, b.lang) as face, coalesce(a.rel, b.rel) as rel, case when a.rel is null then 'added' when b.rel is null then 'removed' when (a.size, a.hash) <> (b.size, b.hash) then 'changed' end as change from a full join b on a.lang = b.lang and a.rel = b.rel) select * from j where change is not null",
+        "manifest_delta": "with x as (select md5(text) as rel, lang as face, source, n_chars + length(source) as size, md5(source) as hash, doc_id from documents), a as (select face, rel, arg_min(size, doc_id) as size, arg_min(hash, doc_id) as hash from x where source in ('src0', 'src1', 'src2') group by all), b as (select face, rel, arg_min(size, doc_id) as size, arg_min(hash, doc_id) as hash from x where source in ('src2', 'src3', 'src4') group by all), j as (select coalesce(a.face, b.face) as face, coalesce(a.rel, b.rel) as rel, case when a.rel is null then 'added' when b.rel is null then 'removed' when (a.size, a.hash) <> (b.size, b.hash) then 'changed' end as change from a full join b on a.face = b.face and a.rel = b.rel) select * from j where change is not null",
+        "modularity": f"with {_CALLS}, {_NODES}, e as (select least(caller_symbol, callee_symbol) as a, greatest(caller_symbol, callee_symbol) as b, max({weight})::double as w from calls where caller_symbol <> callee_symbol group by 1, 2), x as (select n.community as g, w, n.community = m.community as i from e join nodes n on a = n.symbol join nodes m on b = m.symbol union all select m.community, w, n.community = m.community from e join nodes n on a = n.symbol join nodes m on b = m.symbol), p as (select g, sum(case when i then w / 2 else 0 end) as i, sum(w) as d from x group by g), t as (select sum(d) as m2 from p) select round(sum(i / (m2 / 2) - (d / m2) ** 2), 9) as modularity from p, t",
+        "warnings": f"with {_CALLS}, {_NODES}, e as (select least(a.community, b.community) as x, greatest(a.community, b.community) as y, calls.id from calls join nodes a on caller_symbol = a.symbol join nodes b on callee_symbol = b.symbol where a.community <> b.community), p as (select x, y, count(*) as n, min(id) as f from e group by 1, 2 having count(*) > 10) select a.n_name as name_a, b.n_name as name_b, n from p join nation a on x = a.n_nationkey join nation b on y = b.n_nationkey where x % 5 <> 0 and y % 5 <> 0 order by n desc, f limit 20",
         "search_words": "with x as (select doc_id as id, ' ' || regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g') || ' ' as t from documents) select id from x where contains(t, ' the ') and contains(t, ' that ') and contains(t, ' with ')",
+        "search_tokens": "with x as (select doc_id as id, ' ' || regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g') || ' ' as t from documents) select id from x where contains(t, ' the ') and contains(t, ' that ') and contains(t, ' with ')",
         "search_substring": "select doc_id as id from documents where contains(lower(text), 'ertion') and contains(lower(text), 'bleea')",
         "hotspots": f"with {hot}, n as (select bucket, dir, count(*) as n, min(page_id) as first_seen from c where bucket in ('prod', 'test') group by 1, 2), k as (select *, cast(row_number() over (partition by bucket order by n desc, first_seen) as int) as rank from n) select * from k where rank <= 5",
         "hotspot_totals": f"with {hot} select count(*) filter (bucket = 'prod') as prod, count(*) filter (bucket = 'test') as test, count(*) filter (bucket = 'excluded') as excluded, count(*) filter (bucket = 'outside') as outside from c",
