@@ -203,6 +203,14 @@ def resolved_paths(s, d):
     return V.resolve_paths(t, files, ["src/"]).select("token_id", "file", "how")
 
 
+def nearest_definitions(s, d):
+    """Anchors by the nearest definition of the name in the file, else in the only file that has it."""
+    c = _t(s, d, "customer").select("c_custkey", "c_nationkey")
+    n = c.filter("c_custkey % 3 <> 0").select(F.expr("'d' || c_custkey").alias("symbol"), F.expr("'n' || c_custkey % 37").alias("name"), F.expr("'/r/f' || case when c_custkey % 37 < 9 then 0 else c_nationkey % 5 end || '.py'").alias("file_path"), F.col("c_custkey").alias("line_start"))
+    a = c.select(F.col("c_custkey").alias("anchor_id"), F.expr("'f' || c_nationkey % 5 || '.py'").alias("file"), F.expr("'n' || c_custkey % 41").alias("name"), (F.col("c_custkey") + 7).alias("doc_line"))
+    return R.nearest_line(a, n).select("anchor_id", "symbol", "how")
+
+
 def majority_dirs(s, d):
     c = _t(s, d, "customer").select((F.col("c_custkey") % 40).alias("doc"), F.expr("'d' || c_nationkey % 6 || '/f.py'").alias("path"), F.col("c_custkey").alias("ord"))
     return V.majority_directory(c)
@@ -457,6 +465,9 @@ def oracle_sql() -> dict[str, str]:
         "collapse_outcomes": "with g as (select p_partkey % 5 as v, p_partkey % 11 = 0 as absent, p_size % 7 <> 0 as whole from part) select case when absent then 'not-in-graph' when v = 4 or (whole and v in (0, 1, 2)) then 'filled' else 'ambiguous' end as outcome, count(*) as n from g group by 1",
         "resolved_paths": "with c as (select c_custkey as token_id, c_custkey % 40 as doc, c_custkey % 5 as v, c_nationkey as n, n_regionkey as r from customer join nation on c_nationkey = n_nationkey), votes as (select doc, r, count(*) as n from c where v in (0, 1, 2) group by 1, 2), no as (select token_id, doc, v from c where v = 3) "
         "select token_id, case when v in (0, 1, 2) then 'src/r' || r || '/n' || n || '.py' end as file, " + v("'direct'", "'prefixed'", "'suffix'", "null", "'none'") + " as how from c where v <> 3 union all select token_id, null, 'ambiguous' from no",
+        "nearest_definitions": "with n as (select 'd' || c_custkey as symbol, 'n' || c_custkey % 37 as name, 'f' || case when c_custkey % 37 < 9 then 0 else c_nationkey % 5 end || '.py' as f, c_custkey as l from customer where c_custkey % 3 <> 0), a as (select c_custkey as id, 'f' || c_nationkey % 5 || '.py' as f, 'n' || c_custkey % 41 as name, c_custkey + 7 as l from customer), one as (select name from n group by 1 having count(distinct f) = 1), "
+        "x as (select a.id, n.symbol, row_number() over (partition by a.id order by abs(n.l - a.l), n.l, n.symbol) as r from a join n on a.name = n.name and a.f = n.f), y as (select a.id, n.symbol, row_number() over (partition by a.id order by abs(n.l - a.l), n.l, n.symbol) as r from a join n on a.name = n.name where a.name in (select name from one) and a.id not in (select id from x)) "
+        "select a.id as anchor_id, coalesce(x.symbol, y.symbol) as symbol, case when x.id is not null then 'same_file' when y.id is not null then 'only_file' else 'none' end as how from a left join x on a.id = x.id and x.r = 1 left join y on a.id = y.id and y.r = 1",
         "majority_dirs": "with x as (select c_custkey % 40 as doc, 'd' || c_nationkey % 6 as dir, count(*) as n, min(c_custkey) as f from customer group by 1, 2), y as (select *, row_number() over (partition by doc order by n desc, f) as r from x) select doc, dir, n from y where r = 1",
         "tree_depths": "with x as (select l_orderkey as block, l_linenumber::bigint as pos, min(l_partkey) % 4 as indent from lineitem group by 1, 2) select a.block, a.pos, (select count(*) from x b where b.block = a.block and b.pos < a.pos and not exists (select 1 from x c where c.block = a.block and c.pos > b.pos and c.pos <= a.pos and c.indent <= b.indent)) as depth from x a",
         "transition_files": f"with {_TRANSITION} select * from fc",

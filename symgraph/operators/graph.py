@@ -188,6 +188,16 @@ def _brandes(sources: np.ndarray, start: np.ndarray, to: np.ndarray, n: int) ->
     return total
 
 
+def _sampled(n: int, k: int) -> np.ndarray:
+    """k of n in an order that a fixed linear congruence shuffles, the same on every machine."""
+    state, order = 0x2545F4914F6CDD1D, np.arange(n)
+    for i in range(n - 1, 0, -1):
+        state = (state * 6364136223846793005 + 1442695040888963407) & 0xFFFFFFFFFFFFFFFF
+        j = (state >> 33) % (i + 1)
+        order[i], order[j] = order[j], order[i]
+    return order[:k]
+
+
 def bridge_nodes(nodes: DataFrame, edges: DataFrame, top: int | None = 10, exact_nodes: int = 5_000, samples: int = 500, rescale: bool = False, most_edges: int = 20_000_000) -> DataFrame:
     """Nodes by betweenness (directed, unweighted, parallel edges once), normalised by (n-1)(n-2).
 
@@ -208,7 +218,7 @@ def bridge_nodes(nodes: DataFrame, edges: DataFrame, top: int | None = 10, exact
     n = len(names)
     order = np.argsort(src, kind="stable")
     start, to = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=n))]), dst[order]
-    sources = np.arange(n) if n <= exact_nodes else np.random.default_rng(42).permutation(n)[:samples]
+    sources = np.arange(n) if n <= exact_nodes else _sampled(n, samples)
     shared = spark.sparkContext.broadcast((start, to))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -189,9 +189,16 @@ def hotspots(rows: DataFrame, rel: Column, is_test: Column, excluded: Column, or
 
 def nearest_line(anchors: DataFrame, nodes: DataFrame, key: str = "anchor_id") -> DataFrame:
     """anchors (file, name, doc_line) with the nearest definition of that name in the file, else across files where just one file has it."""
+    last = lambda c: F.substring_index(c, "/", -1)
     n = nodes.select("symbol", "name", "file_path", "line_start")
-    near = anchors.join(n, (anchors["name"] == n["name"]) & ((n["file_path"] == anchors["file"]) | n["file_path"].endswith(F.concat(F.lit("/"), anchors["file"])))).groupBy(key).agg(F.min_by(F.struct("symbol", "file_path", "line_start"), F.struct(F.abs(F.col("line_start") - F.col("doc_line")), "line_start", "symbol")).alias("hit"))
-    away = anchors.join(near, key, "left_anti").join(n.withColumnRenamed("name", "_name"), F.col("_name") == F.col("name")).groupBy(key).agg(F.count_distinct("file_path").alias("files"), F.min_by(F.struct("symbol", "file_path", "line_start"), F.struct(F.abs(F.col("line_start") - F.col("doc_line")), "line_start", "symbol")).alias("hit")).filter("files = 1").drop("files")
+    best = F.min_by(F.struct("symbol", "file_path", "line_start"), F.struct(F.abs(F.col("line_start") - F.col("doc_line")), "line_start", "symbol")).alias("hit")
+    # Files that match end alike, so the last part of the path is a key beside the name.
+    keyed = n.withColumn("_base", last("file_path")).withColumnRenamed("name", "_name")
+    here = anchors.withColumn("_own", last("file")).join(keyed, (F.col("name") == F.col("_name")) & (F.col("_own") == F.col("_base")) & ((F.col("file_path") == F.col("file")) | F.col("file_path").endswith(F.concat(F.lit("/"), "file"))))
+    near = here.groupBy(key).agg(best)
+    # Across files only names that one file has are looked up.
+    single = n.groupBy("name").agg(F.min("file_path").alias("_f"), F.max("file_path").alias("_l")).filter("_f = _l").select(F.col("name").alias("_name"))
+    away = anchors.join(near, key, "left_anti").join(n.withColumnRenamed("name", "_name").join(single, "_name"), F.col("_name") == F.col("name")).groupBy(key).agg(best)
     found = near.withColumn("how", F.lit("same_file")).unionByName(away.withColumn("how", F.lit("only_file")))
     return anchors.join(found, key, "left").select(*anchors.columns, "hit.symbol", "hit.file_path", "hit.line_start", F.coalesce("how", F.lit("none")).alias("how"))
 
