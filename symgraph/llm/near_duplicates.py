@@ -274,7 +274,7 @@ def exhausted(now: DataFrame, texts: DataFrame, similar: float, block: int, char
     return met.groupBy("band", "sig", "lo", "hi").applyInArrow(run, "a binary, b binary, similarity double")
 
 
-def classes(docs: DataFrame, sketches: int = 12, least: int = 2, similar: float = 0.8, rounds: int = 2, block: int = 256, chars: int = 8_000_000) -> DataFrame:
+def classes(docs: DataFrame, sketches: int = 12, least: int = 2, similar: float = 0.8, rounds: int = 2, block: int = 1024, chars: int = 8_000_000) -> DataFrame:
     """Every row of docs: doc_id, key, class_id (smallest doc_id of its class), class_size, n_copies, n_verified.
 
     Words are split at ASCII white space and compared in lower case. A null text is empty; empty texts are copies of each
@@ -306,10 +306,11 @@ def classes(docs: DataFrame, sketches: int = 12, least: int = 2, similar: float
         pairs = pairs.select(F.greatest("key", "lead").alias("a"), F.least("key", "lead").alias("b")).distinct()
         found = staged(verified(pairs, texts.select("key", "text"), similar), "links")
         links = found if links is None else links.union(found)
-        labels = tied(links)
+        labels = tied(links) if r + 1 < rounds else components(links)
     now = staged(labelled(buckets.drop("lead"), labels), "labelled-buckets")
-    found = staged(exhausted(now, texts, similar, block, chars), "links")
-    labels = components(links.union(found))
+    found, (n,) = staged_with(exhausted(now, texts, similar, block, chars), "links", F.count(F.lit(1)))
+    if n:
+        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(found.select("a", "b")))
     links = links.union(found).dropDuplicates(["a", "b"])
     n_links = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
     joined = keys.select("key", "doc_id", "n").join(labels.withColumnRenamed("node", "key"), "key", "left").join(n_links, "key", "left").withColumn("label", F.coalesce("label", "key"))
