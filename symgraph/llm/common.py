@@ -59,6 +59,15 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def column(name: str) -> Column:
+    """A column by its name as it is, dots and back quotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole(names: list[str]) -> Column:
+    return F.struct(*(column(c).alias(c) for c in names))
+
+
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Words between ASCII white space of each text: codes into the distinct words, the distinct words, and each text's offsets."""
     if isinstance(texts, pa.ChunkedArray):

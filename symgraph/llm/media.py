@@ -95,43 +95,48 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cuts each text's container by its recipe: a private row, and a row for each shared chunk that this text gives."""
     z = zstandard.ZstdDecompressor()
     for batch in batches:
-        keys, private, gives = [], [], []
-        for key, blob, lengths, shared, given in zip(*(batch.column(c).to_pylist() for c in ("text_key", "blob", "lengths", "shared", "given")), strict=True):
-            data = container(z.decompress(blob))
-            ends = np.cumsum(lengths).tolist()
-            chunks = [data[a:b] for a, b in zip([0, *ends], ends)]
-            skip = set(shared or ())
-            keys.append(key)
-            private.append(b"".join(c for i, c in enumerate(chunks) if i not in skip))
-            gives.append([chunks[i] for i in given or ()])
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(private, pa.binary()), pa.array(gives, pa.list_(pa.binary()))], names=["text_key", "private", "gives"])
+        for part in slices(batch, "blob", 1_000_000):
+            keys, private, gives = [], [], []
+            for key, blob, lengths, shared, given in zip(*(part.column(c).to_pylist() for c in ("text_key", "blob", "lengths", "shared", "given")), strict=True):
+                data = container(z.decompress(blob))
+                ends = np.cumsum(lengths).tolist()
+                chunks = [data[a:b] for a, b in zip([0, *ends], ends)]
+                skip = set(shared or ())
+                keys.append(key)
+                private.append(b"".join(c for i, c in enumerate(chunks) if i not in skip))
+                gives.append([chunks[i] for i in given or ()])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(private, pa.binary()), pa.array(gives, pa.list_(pa.binary()))], names=["text_key", "private", "gives"])
+
+
+def _media(key: bytes, private: bytes, digests: list[bytes], lengths: list[int], fetched: list[dict] | None) -> tuple:
+    """The container by its recipe, each chunk checked, and its figures."""
+    got = {x["i"]: x["bytes"] for x in fetched or ()}
+    at, parts = 0, []
+    for i, (digest, n) in enumerate(zip(digests, lengths, strict=True)):
+        if i in got:
+            chunk = got[i]
+        else:
+            chunk = private[at : at + n]
+            at += n
+        if hashlib.sha256(chunk).digest() != digest:
+            raise ValueError(f"chunk {i} of {key.hex()} is damaged")
+        parts.append(chunk)
+    media = b"".join(parts)
+    if media[:8] != MAGIC:
+        raise ValueError(f"{key.hex()} is no container")
+    _, n_bytes = struct.unpack_from("<QQ", media, 8)
+    payload = media[24:]
+    samples = np.bincount(np.frombuffer(payload, np.uint8) >> 4, minlength=16)
+    return key, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), ",".join(map(str, samples)), len(parts)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["text_key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks"]
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
     for batch in batches:
-        out = []
-        for key, private, digests, lengths, fetched in zip(*(batch.column(c).to_pylist() for c in ("text_key", "private", "digests", "lengths", "fetched")), strict=True):
-            got = {x["i"]: x["bytes"] for x in fetched or ()}
-            at, parts = 0, []
-            for i, (digest, n) in enumerate(zip(digests, lengths, strict=True)):
-                if i in got:
-                    chunk = got[i]
-                else:
-                    chunk = private[at : at + n]
-                    at += n
-                if hashlib.sha256(chunk).digest() != digest:
-                    raise ValueError(f"chunk {i} of {key.hex()} is damaged")
-                parts.append(chunk)
-            media = b"".join(parts)
-            if media[:8] != MAGIC:
-                raise ValueError(f"{key.hex()} is no container")
-            _, n_bytes = struct.unpack_from("<QQ", media, 8)
-            payload = media[24:]
-            samples = np.bincount(np.frombuffer(payload, np.uint8) >> 4, minlength=16)
-            out.append((key, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), ",".join(map(str, samples)), len(parts)))
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+        for part in slices(batch, "private"):
+            out = [_media(*row) for row in zip(*(part.column(c).to_pylist() for c in ("text_key", "private", "digests", "lengths", "fetched")), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
 
 
 def media_columns(docs: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -151,13 +156,13 @@ def media_columns(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     shared = staged(refs.join(owners, "digest").select("text_key", "i", "digest", ((F.col("owner.text_key") == F.col("text_key")) & (F.col("owner.i") == F.col("i"))).alias("gives")), "shared-chunks")
     marks = shared.groupBy("text_key").agg(F.collect_list("i").alias("shared"), F.sort_array(F.collect_list(F.when(F.col("gives"), F.col("i")))).alias("given"))
     plan = texts.select("text_key", "lengths").join(marks, "text_key", "left")
-    store = _texts(docs).join(plan.hint("shuffle_hash"), "text_key").dropDuplicates(["text_key"]).select("text_key", "blob", "lengths", "shared", "given")
+    store = _texts(docs).join(plan, "text_key").dropDuplicates(["text_key"]).select("text_key", "blob", "lengths", "shared", "given")
     name = f"media_{uuid.uuid4().hex}"
     store.mapInArrow(_store, "text_key binary, private binary, gives array<binary>").write.option("compression", "zstd").bucketBy(buckets, "text_key").saveAsTable(name)
     stored = spark.table(name)
     # Chunks are addressed by digest, which the reader checks.
     gives = stored.filter(F.size("gives") > 0).select(F.explode("gives").alias("bytes")).withColumn("digest", F.unhex(F.sha2("bytes", 256)))
     fetched = shared.select("text_key", "i", "digest").join(gives, "digest").groupBy("text_key").agg(F.collect_list(F.struct("i", "bytes")).alias("fetched"))
-    whole = stored.select("text_key", "private").join(texts.hint("shuffle_hash"), "text_key").join(fetched.hint("shuffle_hash"), "text_key", "left").select("text_key", "private", "digests", "lengths", "fetched")
+    whole = stored.select("text_key", "private").join(texts, "text_key").join(fetched, "text_key", "left").select("text_key", "private", "digests", "lengths", "fetched")
     values = whole.mapInArrow(_read, "text_key binary, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long")
     return rows.select("doc_id", "text_key").join(values, "text_key").drop("text_key")

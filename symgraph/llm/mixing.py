@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, staged, text_of
+from .common import WORD, column, staged, text_of, whole
 
 SEED = 20_011
 
@@ -65,14 +65,6 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: floa
     return w.select("skey", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def _column(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
-def _whole(names: list[str]) -> Column:
-    return F.struct(*(_column(c).alias(c) for c in names))
-
-
 def _placed(docs: DataFrame, blocks: int, seed: int) -> list[Column]:
     h = F.xxhash64(F.lit(seed), docs["doc_id"], docs["source"])
     return [_key(docs["source"]).alias("skey"), h.alias("h"), F.pmod(h, F.lit(blocks)).cast("int").alias("block")]
@@ -121,7 +113,7 @@ def mix(docs: DataFrame, carried: list[str], weights: tuple[int, ...] = (5, 2, 1
     their order is arbitrary and without effect on what is returned for them together. An empty table gives no rows.
     `most` may be at most 2. Carry narrow columns: they are staged and joined with the plan.
     """
-    rows = docs.select(_whole(carried).alias("doc"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"), F.xxhash64("text").alias("x"), *_placed(docs, blocks, seed))
+    rows = docs.select(whole(carried).alias("doc"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"), F.xxhash64("text").alias("x"), *_placed(docs, blocks, seed))
     rows = staged(rows, "mix")  # texts are read and counted once
     plan = _plan(rows, weights, share, most, shards, seed)
     cut = (F.col("part") > 0) & (F.col("part") < F.col("words"))
@@ -139,7 +131,7 @@ def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: flo
     rows that are equal to the one at the cut are alike, so one of them stands for all.
     """
     names = docs.columns
-    x = F.xxhash64(*map(_column, names)).alias("x")
+    x = F.xxhash64(*map(column, names)).alias("x")
     rows = staged(docs.select(F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"), x, *_placed(docs, blocks, seed)), "mix")
     plan = _plan(rows, weights, share, most, shards, seed)
     key = F.struct("h", "x")
@@ -148,7 +140,7 @@ def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: flo
     ends = same.groupBy("skey", "block").agg(F.max(F.when(F.col("m") == F.col("n"), key)).alias("upto"), F.max(F.when(split, F.struct("h", "x", "n", "m"))).alias("tie"))
     plan = staged(plan.join(ends, ["skey", "block"], "left"), "mix-plan")
     n, ties = plan.agg(F.count("*"), F.count("tie")).first()
-    found = docs.select(_whole(names).alias("doc"), x, *_placed(docs, blocks, seed)).join(F.broadcast(plan) if n <= broadcast_rows else plan, ["skey", "block"])
+    found = docs.select(whole(names).alias("doc"), x, *_placed(docs, blocks, seed)).join(F.broadcast(plan) if n <= broadcast_rows else plan, ["skey", "block"])
     cut = (F.col("part") > 0) & (F.col("part") < F.col("words"))
     tied = F.coalesce((F.col("tie.h") == F.col("h")) & (F.col("tie.x") == F.col("x")), F.lit(False))
     wide = ["doc", "h", "shard_1", "shard_2", "second"]

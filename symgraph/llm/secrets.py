@@ -1,8 +1,9 @@
 """Secret scans: patterns find candidates, corpus-wide ownership tells live-looking ones from copied examples.
 
 DataFrame operations only. Candidate values are hashed and counted by distinct repositories (documents) and owners
-(sources); a value with more than `max_owners` owners is a widely copied example. Base spans always stay; a further
-kind, `owned`, holds long mixed tokens that no base span touches and that are specific to few owners.
+(sources); a value with more than `max_owners` owners, or in more than `max_repositories` repositories be they of one
+owner, is a widely copied example. Base spans always stay; a further kind, `owned`, holds long mixed tokens that no base
+span touches and that are owner-specific.
 """
 
 from __future__ import annotations
@@ -10,13 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_of
+from .common import staged, text_of, whole
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 #: 20 characters or more with a letter and two digits.
-OWNED = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,200}[0-9][A-Za-z+/_=-]{0,200}[0-9])(?=[0-9+/_=-]{0,200}[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
+OWNED = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9][A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "owned")
 _SPAN = "struct<start:int,kind:int,end:int,value:bigint>"
 
@@ -44,7 +45,7 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
-def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", max_owners: int = 2, carried: list[str] | None = None) -> DataFrame:
+def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", max_owners: int = 2, max_repositories: int = 50, carried: list[str] | None = None) -> DataFrame:
     """Every row of docs (struct `doc` of the carried columns): base and spans (arrays of start, kind, end, value), n_live, n_example.
 
     A null text is empty; an empty one has no spans. A null owner or repository counts as one of its own. Repeated rows
@@ -54,14 +55,14 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", max
     """
     text = text_of()
     base = F.concat(_spans(text, ASSIGN, 0, 2, 8), _spans(text, ACCESS, 1), _spans(text, HEX, 2))
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*(carried or ["doc_id"])).alias("doc"), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), base.alias("base"), _spans(text, OWNED, 3).alias("more"))
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), whole(carried or ["doc_id"]).alias("doc"), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), base.alias("base"), _spans(text, OWNED, 3).alias("more"))
     free = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     rows = staged(rows.withColumn("more", free), "secrets")
     spans = rows.filter((F.size("base") > 0) | (F.size("more") > 0)).select("uid", F.struct(F.col("owner").isNull(), "owner").alias("owner"), F.struct(F.col("repository").isNull(), "repository").alias("repository"), F.explode(F.concat("base", "more")).alias("s"))
     spans = spans.withColumn("value", F.col("s.value"))
     owned = spans.select("value", "owner").distinct().groupBy("value").agg(F.count("*").alias("n_owners"))
     repos = spans.select("value", "repository").distinct().groupBy("value").agg(F.count("*").alias("n_repositories"))
-    judged = spans.join(owned, "value").join(repos, "value").withColumn("live", F.col("n_owners") <= max_owners)
+    judged = spans.join(owned, "value").join(repos, "value").withColumn("live", (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories))
     per_doc = judged.groupBy("uid").agg(
         F.collect_list(F.when(F.col("live") & (F.col("s.kind") == 3), F.col("s"))).alias("added"),
         F.collect_list(F.when(F.col("live"), F.col("s"))).alias("live"),
@@ -81,7 +82,7 @@ def digests(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
     """docs with each live-looking span (and what overlaps it) replaced by the mark; everything else stays as it is.
 
-    Texts travel only for documents that have such spans.
+    A null text stays null; an empty table gives no rows.
     """
     names = docs.columns
     found = scan(docs, carried=names, **options)
@@ -98,4 +99,4 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
     cut = F.aggregate(merged, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark)).alias("out")))
     tail = F.substring(text, cut["at"] + 1, F.length(text))
     clean = F.when(F.size("live") == 0, text).otherwise(F.concat(cut["out"], tail))
-    return found.withColumn("clean", clean).select(*(F.col("clean").alias(c) if c == "text" else F.col("doc")[c].alias(c) for c in names))
+    return found.withColumn("clean", clean).select(*(F.col("clean").alias(c) if c == "text" else F.col("doc").getField(c).alias(c) for c in names))
