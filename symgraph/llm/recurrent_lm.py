@@ -5,13 +5,19 @@ The network knows the end, an unknown mark and the most frequent training words,
 training tokens, so its vocabulary grows with the corpus; an unknown word is priced by the mark times its share of the
 rest of the training counts, so scores are of the whole text and sum to one over all texts.
 
-Counts cover all training words. Training covers all training documents: from one start (driver, a bounded sample) each
-task goes over its documents by truncated backpropagation, and parameters are averaged by tokens. Documents run side by
-side as lanes, longest first; state is carried from window to window to the end of each.
+Counts cover all training words. Training covers all training documents: they are dealt by a hash of their content over
+replicas of about `replica_tokens` tokens each, whatever the partitions of the input; from one start (driver, a bounded
+sample) each replica goes over its documents by truncated backpropagation, and parameters are averaged by tokens.
+Documents follow each other in lanes of about equal length; state is carried from window to window to the end of each
+document and starts anew with the next.
 """
 
 from __future__ import annotations
 
+import ctypes
+import glob
+import heapq
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,23 +31,40 @@ from .common import crc_fold, row_ids, slices, split_words, staged, text_of
 END, UNKNOWN = 0, 1
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def one_thread() -> None:
+    """A task has one core: idle threads of the matrix library would spin on the others."""
+    for path in glob.glob(os.path.join(os.path.dirname(np.__file__), "..", "numpy.libs", "*openblas*")):
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break
+
+
+def class_bounds(counts: np.ndarray) -> np.ndarray:
+    """First words of the classes and the number of words. A class holds about 1 / sqrt(p) words of probability p, which
+    makes the expected cost of a token, its classes and the words of its class, least."""
+    p = np.sqrt(counts / counts.sum())
+    return np.append(np.flatnonzero(np.diff(np.floor(np.cumsum(p) - p / 2), prepend=-1)), len(counts))
 
 
 class Network:
-    """GRU of `hidden` units over words of `classes` x `each`; float32."""
+    """GRU of `hidden` units over as many words as counts; float32. Words come in the order of their counts."""
 
-    def __init__(self, hidden: int, classes: int, each: int, counts: np.ndarray | None = None, seed: int = 3):
+    def __init__(self, hidden: int, counts: np.ndarray, seed: int = 3):
         rng = np.random.default_rng(seed)
-        self.hidden, self.classes, self.each = hidden, classes, each
-        v = classes * each
-        c = (np.ones(v) if counts is None else counts + 0.5).reshape(classes, each)
+        self.hidden, v = hidden, len(counts)
+        c = counts + 0.5
+        self.bounds = class_bounds(c)
+        self.classes = len(self.bounds) - 1
+        self.cls = np.repeat(np.arange(self.classes), np.diff(self.bounds))
+        total = np.add.reduceat(c, self.bounds[:-1])
         draw = lambda *s, scale: (rng.standard_normal(s) * scale).astype(np.float32)
         self.p = {
             "x": draw(v, 3 * hidden, scale=0.3), "u": draw(hidden, 3 * hidden, scale=hidden**-0.5),
-            "c": draw(classes, hidden, scale=0.05), "cb": np.log(c.sum(1) / c.sum()).astype(np.float32),
-            "w": draw(classes, each, hidden, scale=0.05), "wb": np.log(c / c.sum(1, keepdims=True)).astype(np.float32),
+            # The last column is the bias: states are followed by a 1.
+            "c": np.concatenate([draw(self.classes, hidden, scale=0.05), np.log(total / total.sum()).astype(np.float32)[:, None]], 1),
+            "w": np.concatenate([draw(v, hidden, scale=0.05), np.log(c / total[self.cls]).astype(np.float32)[:, None]], 1),
         }
         self.g = {k: np.full_like(a, 1e-4) for k, a in self.p.items()}  # Adagrad
 
@@ -55,88 +78,142 @@ class Network:
             at += a.size
         return self
 
-    def step(self, ids: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    def step(self, a: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The next states from the words' rows of `x` (overwritten: the gates, the candidate) and the states; also the candidate's recurrent part."""
         n = self.hidden
-        a, u = self.p["x"][ids], h @ self.p["u"]
-        zr = _sigmoid(a[:, : 2 * n] + u[:, : 2 * n])
-        z, r = zr[:, :n], zr[:, n:]
-        new = np.tanh(a[:, 2 * n :] + r * u[:, 2 * n :])
-        return new + z * (h - new), z, r, new, u[:, 2 * n :]
+        u = h @ self.p["u"]
+        gates, new = a[:, : 2 * n], a[:, 2 * n :]
+        gates += u[:, : 2 * n]
+        gates *= 0.5
+        np.tanh(gates, out=gates)
+        gates *= 0.5
+        gates += 0.5  # the sigmoid
+        un = u[:, 2 * n :]
+        new += a[:, n : 2 * n] * un
+        np.tanh(new, out=new)
+        out = h - new
+        out *= a[:, :n]
+        out += new
+        return out, un
+
+    def _softmax(self, h: np.ndarray, table: np.ndarray, small: bool, grad: np.ndarray | None, dh: np.ndarray | None, block: int = 1024) -> np.ndarray:
+        """The log of the sum of exp(table @ h) for each row of h; with grad, adds what the sum gives to the gradients of the loss."""
+        out = np.empty(len(h), h.dtype)
+        turned = np.ascontiguousarray(table.T)
+        sums = table if grad is None else np.concatenate([table[:, :-1], np.ones((len(table), 1), table.dtype)], 1)
+        for at in range(0, len(h), block):
+            part = h[at : at + block]
+            e = part @ turned
+            top = 0
+            if not small:
+                top = e.max(1)
+                e -= top[:, None]
+            np.exp(e, out=e)
+            if grad is None:
+                total = e @ np.ones(e.shape[1], e.dtype)
+            else:
+                both = e @ sums
+                total = both[:, -1:]
+                grad += e.T @ (part / total)
+                dh[at : at + block] += both[:, :-1] / total
+                total = total[:, 0]
+            out[at : at + block] = np.log(total) + top
+        return out
 
     def output(self, h: np.ndarray, ids: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probabilities of ids after states h; with grads, also adds those of the loss and returns dh."""
-        cls, word = ids // self.each, ids % self.each
-        rows = np.arange(len(ids))
-        logits = h @ self.p["c"].T + self.p["cb"]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1)
-        out = logits[rows, cls] - np.log(total)
+        n, c, w = self.hidden, self.p["c"], self.p["w"]
+        order = np.argsort(ids, kind="stable")  # by class, then word
+        goal = ids[order]
+        cls = self.cls[goal]
+        h1 = np.ones((len(ids), n + 1), h.dtype)
+        h1[:, :n] = h[order]
+        # States lie within -1 and 1, so this bounds every logit; exp needs no shift below it.
+        small = bool(max(np.abs(c).sum(1).max(), np.abs(w).sum(1).max()) < 80)
+        chosen = c[cls]
+        chosen += w[goal]
+        logp = np.einsum("ij,ij->i", h1, chosen)
         dh = None
         if grads is not None:
-            e /= total[:, None]
-            e[rows, cls] -= 1
-            grads["c"] += e.T @ h
-            grads["cb"] += e.sum(0)
-            dh = e @ self.p["c"]
-        order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for k in np.flatnonzero(np.diff(bounds)):
-            i = order[bounds[k] : bounds[k + 1]]
-            hk, at = h[i], np.arange(len(i))
-            logits = hk @ self.p["w"][k].T + self.p["wb"][k]
-            logits -= logits.max(1, keepdims=True)
-            e = np.exp(logits)
-            total = e.sum(1)
-            out[i] += logits[at, word[i]] - np.log(total)
-            if grads is not None:
-                e /= total[:, None]
-                e[at, word[i]] -= 1
-                grads["w"][k] += e.T @ hk
-                grads["wb"][k] += e.sum(0)
-                dh[i] += e @ self.p["w"][k]
-        return out, dh
-
-    def window(self, xs: list[np.ndarray], ys: list[np.ndarray], h: np.ndarray, rate: float, floor: int) -> tuple[np.ndarray, float]:
-        """Truncated backpropagation over one window of lanes (shrinking), and an Adagrad step. Returns the state and the summed log probability."""
+            dh = -chosen[:, :n]
+            first = np.flatnonzero(np.diff(goal, prepend=-1))
+            grads["w"][goal[first]] -= np.add.reduceat(h1, first)
+            first = np.flatnonzero(np.diff(cls, prepend=-1))
+            grads["c"][cls[first]] -= np.add.reduceat(h1, first)
+        logp -= self._softmax(h1, c, small, None if grads is None else grads["c"], dh)
+        at = np.searchsorted(cls, np.arange(self.classes + 1))
+        for k in np.flatnonzero(np.diff(at)):
+            i, words = slice(at[k], at[k + 1]), slice(self.bounds[k], self.bounds[k + 1])
+            logp[i] -= self._softmax(h1[i], w[words], small, None if grads is None else grads["w"][words], None if dh is None else dh[i])
+        out = np.empty_like(logp)
+        out[order] = logp
+        if dh is None:
+            return out, None
+        back = np.empty_like(dh)
+        back[order] = dh
+        return out, back
+
+    def window(self, xs: list[np.ndarray], ys: list[np.ndarray], h: np.ndarray, rate: float, floor: int, news: list[np.ndarray] | None = None) -> tuple[np.ndarray, float]:
+        """Truncated backpropagation over one window of lanes (shrinking), and an Adagrad step; news: lanes whose state starts anew at each step. Returns the state and the summed log probability."""
         grads = {k: np.zeros_like(a) for k, a in self.p.items() if k != "x"}
-        states, saved = [h], []
-        for x in xs:
-            new, *rest = self.step(x, states[-1][: len(x)])
-            states.append(new)
-            saved.append(rest)
-        sizes = [len(y) for y in ys]
-        logp, dout = self.output(np.concatenate(states[1:]), np.concatenate(ys), grads)
-        at = np.cumsum([0, *sizes])
-        n = self.hidden
-        dh = np.zeros((0, n), np.float32)
-        dxs = []
+        n, ids = self.hidden, np.concatenate(xs)
+        at = np.cumsum([0, *(len(x) for x in xs)]).tolist()
+        a = self.p["x"][ids]
+        before, un, state = np.empty((len(ids), n), a.dtype), np.empty((len(ids), n), a.dtype), np.empty((len(ids), n), a.dtype)
+        last, now = h.copy(), h
+        for t in range(len(xs)):
+            i = slice(at[t], at[t + 1])
+            before[i] = now[: at[t + 1] - at[t]]
+            if news is not None and len(news[t]):
+                before[i][news[t]] = 0
+            now, un[i] = self.step(a[i], before[i])
+            state[i] = now
+            last[: len(now)] = now
+        logp, dout = self.output(state, np.concatenate(ys), grads)
+        # Copies in one piece: rows of 48 with gaps cost more than the copy.
+        z, r, new = (np.ascontiguousarray(a[:, i * n : (i + 1) * n]) for i in range(3))
+        rest = 1 - z
+        fz = before - new
+        fz *= z
+        fz *= rest
+        fn = new * new
+        np.subtract(1, fn, out=fn)
+        fn *= rest
+        fr = 1 - r
+        fr *= r
+        fr *= un
+        du, dx = np.empty_like(a), np.empty_like(fn)
+        dh = np.zeros((0, n), a.dtype)
+        back = np.ascontiguousarray(self.p["u"].T)
         for t in range(len(xs) - 1, -1, -1):
-            z, r, new, un = saved[t]
-            before = states[t][: sizes[t]]
-            d = dout[at[t] : at[t + 1]].copy()
+            i = slice(at[t], at[t + 1])
+            d, g, dn = dout[i], du[i], dx[i]
             d[: len(dh)] += dh
-            dn = d * (1 - z) * (1 - new * new)
-            dz = d * (before - new) * z * (1 - z)
-            dr = dn * un * r * (1 - r)
-            du = np.concatenate([dz, dr, dn * r], 1)
-            grads["u"] += before.T @ du
-            dxs.append(np.concatenate([dz, dr, dn], 1))
-            dh = d * z + du @ self.p["u"].T
-        scale = np.float32(1 / max(len(logp), floor))
+            np.multiply(d, fn[i], out=dn)
+            np.multiply(d, fz[i], out=g[:, :n])
+            np.multiply(dn, fr[i], out=g[:, n : 2 * n])
+            np.multiply(dn, r[i], out=g[:, 2 * n :])
+            dh = g @ back
+            d *= z[i]
+            dh += d
+            if news is not None and len(news[t]):
+                dh[news[t]] = 0
+        grads["u"] += before.T @ du
+        du[:, 2 * n :] = dx
+        scale = a.dtype.type(1 / max(len(logp), floor))
         for k, g in grads.items():
             g *= scale
             self.g[k] += g * g
-            self.p[k] -= rate * g / np.sqrt(self.g[k])
-        ids = np.concatenate(xs[::-1])
+            g *= rate
+            g /= np.sqrt(self.g[k])
+            self.p[k] -= g
         order = np.argsort(ids, kind="stable")
-        seen, first = np.unique(ids[order], return_index=True)
-        g = np.add.reduceat(np.concatenate(dxs)[order], first) * scale
+        sorted_ids = ids[order]
+        first = np.flatnonzero(np.diff(sorted_ids, prepend=-1))
+        seen = sorted_ids[first]
+        g = np.add.reduceat(du[order], first) * scale
         self.g["x"][seen] += g * g
         self.p["x"][seen] -= rate * g / np.sqrt(self.g["x"][seen])
-        last = h.copy()
-        for s in states[1:]:
-            last[: len(s)] = s
         return last, float(logp.sum())
 
 
@@ -148,17 +225,49 @@ def _lanes(ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return order, offsets[:-1][order], active
 
 
-def train_lanes(net: Network, ids: np.ndarray, offsets: np.ndarray, steps: int, rate: float, floor: int) -> None:
-    """One lane for each document; its state is carried through all windows."""
-    _, starts, active = _lanes(ids, offsets)
-    h = np.zeros((len(starts), net.hidden), np.float32)
+def dealt_lanes(offsets: np.ndarray, least: int, most: int = 1 << 30) -> list[list[int]]:
+    """Documents dealt over lanes of about equal length, the longest lane first; as many lanes as fill it and `least` steps, `most` at most."""
+    n = np.diff(offsets)
+    lanes = max(1, min(len(n), most, int(n.sum()) // max(int(n.max(initial=1)), least)))
+    held: list[list[int]] = [[] for _ in range(lanes)]
+    heap = [(0, k) for k in range(lanes)]
+    for d in np.argsort(-n, kind="stable").tolist():
+        size, k = heapq.heappop(heap)
+        held[k].append(d)
+        heapq.heappush(heap, (size + int(n[d]), k))
+    sizes = [sum(int(n[d]) for d in ds) for ds in held]
+    return [held[k] for k in sorted(range(lanes), key=lambda k: -sizes[k])]
+
+
+def train_lanes(net: Network, ids: np.ndarray, offsets: np.ndarray, steps: int, rate: float, floor: int, least: int = 1024, tokens: int = 16_384) -> None:
+    """Goes over all documents, one after the other in each lane; a document's state is carried through all its windows.
+
+    A window has `steps` steps or, with few lanes, as many as make up about `tokens` tokens, 256 at most.
+    """
+    if len(offsets) < 2:
+        return
+    lanes = dealt_lanes(offsets, least, max(tokens // steps, 1))
+    n = np.diff(offsets)
+    at = [np.concatenate([np.arange(offsets[d], offsets[d + 1]) for d in ds]) for ds in lanes]
+    sizes = np.array([len(x) for x in at])
+    active = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
+    begins: dict[int, list[int]] = {}
+    for k, ds in enumerate(lanes):
+        for t in np.cumsum([0, *(int(n[d]) for d in ds[:-1])]).tolist():
+            begins.setdefault(t, []).append(k)
+    table = np.zeros((sizes[0], len(lanes)), np.int64)
+    for k, x in enumerate(at):
+        table[: len(x), k] = ids[x]
+    steps = min(max(steps, tokens // len(lanes)), max(steps, 256))
+    h = np.zeros((len(lanes), net.hidden), np.float32)
+    none = np.zeros(0, np.int64)
     for t0 in range(0, len(active), steps):
-        xs, ys = [], []
-        for t in range(t0, min(t0 + steps, len(active))):
-            at = starts[: active[t]] + t
-            xs.append(ids[at - 1] if t else np.full(active[t], END))
-            ys.append(ids[at])
-        now, _ = net.window(xs, ys, h[: len(xs[0])], rate, floor)
+        span = range(t0, min(t0 + steps, len(active)))
+        # A document follows the end of the one before.
+        xs = [table[t - 1, : active[t]] if t else np.full(active[0], END) for t in span]
+        ys = [table[t, : active[t]] for t in span]
+        news = [np.array(begins[t], np.int64) if t in begins else none for t in span]
+        now, _ = net.window(xs, ys, h[: active[t0]], rate, floor, news)
         h[: len(now)] = now
 
 
@@ -171,7 +280,7 @@ def score_lanes(net: Network, ids: np.ndarray, offsets: np.ndarray, block: int =
     for t in range(len(active)):
         k = active[t]
         at = starts[:k] + t
-        h[:k] = net.step(ids[at - 1] if t else np.full(k, END), h[:k])[0]
+        h[:k] = net.step(net.p["x"][ids[at - 1] if t else np.full(k, END)], h[:k])[0]
         states.append(h[:k].copy())
         goals.append(ids[at])
         lanes.append(k)
@@ -229,64 +338,121 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(text_of().alias("text")).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def shape(needed: int, classes: int, each: int) -> tuple[int, int]:
-    """Classes and words in each, as even as may be and at least as given, for the words needed, the end and the unknown mark."""
-    classes = max(classes, int(np.ceil(np.sqrt(needed + 2))))
-    return classes, max(each, -(-(needed + 2) // classes))
-
-
-def fit(train: DataFrame, counts: Counts, n_docs: int, hidden: int, classes: int, each: int, steps: int, rate: float, start_docs: int) -> Network:
-    frequent = min(len(counts.vocabulary), classes * each - 2)
-    known = np.zeros(classes * each)
+def fit(train: DataFrame, counts: Counts, n_docs: int, hidden: int, frequent: int, steps: int, rate: float, start_docs: int, replica_tokens: int) -> Network:
+    """The network after all training rows (doc_id, text); without rows, the untrained one. Rows and their order in a replica follow from their content."""
+    known = np.zeros(frequent + 2)
     known[END], known[UNKNOWN] = n_docs, counts.tokens - counts.c[:frequent].sum()
     known[2 : frequent + 2] = counts.c[:frequent]
     words = counts.vocabulary[:frequent]
-    net = Network(hidden, classes, each, known)
+    net = Network(hidden, known)
     start = train.orderBy(F.xxhash64("text"), "text").limit(start_docs).select("text").toArrow()["text"].combine_chunks()
     for at in range(0, len(start), 50):
         ids, offsets, *_ = _lm_ids(start[at : at + 50], words, frequent)
-        train_lanes(net, ids, offsets, steps, rate, 500)
+        train_lanes(net, ids, offsets, steps, rate, 500, 128, 2048)
     shared = train.sparkSession.sparkContext.broadcast((net, words))
+    replicas = max(1, -(-(counts.tokens + n_docs) // replica_tokens))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import copy
 
+        one_thread()
         start, words = shared.value
-        own, tokens = copy.deepcopy(start), 0
-        for batch in batches:
-            for part in slices(batch, "text", 1_500_000):
-                ids, offsets, *_ = _lm_ids(part.column("text"), words, len(words))
-                train_lanes(own, ids, offsets, steps, rate / 2, 1500)
-                tokens += len(ids)
-        if tokens:
+        own, tokens, replica = copy.deepcopy(start), 0, -1
+
+        def parameters() -> pa.RecordBatch:
             flat = own.flat()
-            at = np.arange(0, len(flat), 1000)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.ListArray.from_arrays(pa.array(np.append(at, len(flat)), pa.int32()), pa.array(flat)), pa.array(np.full(len(at), tokens))], names=["i", "x", "n"])
+            at = np.arange(0, len(flat), 20_000)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), replica), pa.int64()), pa.array(at, pa.int32()), pa.ListArray.from_arrays(pa.array(np.append(at, len(flat)), pa.int32()), pa.array(flat)), pa.array(np.full(len(at), tokens))], names=["replica", "i", "x", "n"])
+
+        for rows, text in _gathered(batches, 12_000_000):
+            if rows != replica:
+                if tokens:
+                    yield parameters()
+                own, tokens, replica = copy.deepcopy(start), 0, rows
+            ids, offsets, *_ = _lm_ids(text, words, len(words))
+            train_lanes(own, ids, offsets, steps, rate / 2, 1500)
+            tokens += len(ids)
+        if tokens:
+            yield parameters()
 
     def average(group: pa.Table) -> pa.Table:
+        group = group.sort_by("replica")
         n = group["n"].to_numpy().astype(np.float64)
         x = group["x"].combine_chunks().flatten().to_numpy().reshape(len(n), -1)
         return pa.table({"i": group["i"][:1], "x": pa.array([(n @ x / n.sum()).astype(np.float32)], pa.list_(pa.float32()))})
 
-    mean = train.select("text").mapInArrow(run, "i int, x array<float>, n long").groupBy("i").applyInArrow(average, "i int, x array<float>").toArrow()
+    h = F.xxhash64("doc_id", "text")
+    dealt = train.select(F.pmod(h, F.lit(replicas)).alias("replica"), h.alias("h"), "text").repartitionById(replicas, F.col("replica").cast("int")).sortWithinPartitions("replica", "h")
+    found = dealt.select("replica", "text").mapInArrow(run, "replica long, i int, x array<float>, n long")
+    mean = found.groupBy("i").applyInArrow(average, "i int, x array<float>").toArrow()
     return net.load(mean.sort_by("i")["x"].combine_chunks().flatten().to_numpy()) if mean.num_rows else net
 
 
-def lm_scores(docs: DataFrame, folds: int = 5, held: int = 1, hidden: int = 16, classes: int = 32, each: int = 32, steps: int = 32, rate: float = 0.1, start_docs: int = 400, frequent: int = 200_000, share: float = 0.8) -> DataFrame:
+def _gathered(batches: Iterator[pa.RecordBatch], most: int, long: int = 16_000) -> Iterator[tuple[int, pa.Array]]:
+    """(replica, texts) of about `most` bytes, whatever the batches; texts over `long` bytes come together, so that few slices have long lanes."""
+    held: dict[bool, list[pa.Array]] = {False: [], True: []}
+    size, replica = {False: 0, True: 0}, None
+    for batch in batches:
+        ends = np.flatnonzero(np.diff(batch.column("replica").to_numpy())) + 1
+        for a, b in zip([0, *ends], [*ends, batch.num_rows]):
+            now = batch.column("replica")[a].as_py()
+            if now != replica:
+                if rest := held[False] + held[True]:
+                    yield replica, pa.concat_arrays(rest)
+                held, size, replica = {False: [], True: []}, {False: 0, True: 0}, now
+            texts = batch.column("text").slice(a, b - a)
+            sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+            for kind in (False, True):
+                own = np.flatnonzero((sizes > long) == kind)
+                text, ends_at = texts.take(pa.array(own)), np.cumsum(sizes[own])
+                at = 0
+                while at < len(text):
+                    before = ends_at[at - 1] if at else 0
+                    end = max(at + 1, int(np.searchsorted(ends_at, before + most - size[kind], side="right")))
+                    held[kind].append(text.slice(at, end - at))
+                    size[kind] += int(ends_at[end - 1] - before)
+                    at = end
+                    if size[kind] >= most or at < len(text):
+                        yield replica, pa.concat_arrays(held[kind])
+                        held[kind], size[kind] = [], 0
+    if rest := held[False] + held[True]:
+        yield replica, pa.concat_arrays(rest)
+
+
+def _parted(batches: Iterator[pa.RecordBatch], most: int, long: int = 16_000) -> Iterator[pa.RecordBatch]:
+    """Slices of about `most` bytes of text; rows with texts over `long` bytes come together."""
+    held, size = [], 0
+    for batch in batches:
+        for part in slices(batch, "text", most):
+            far = pc.greater(pc.binary_length(part.column("text")), long)
+            near = part.filter(pc.invert(far))
+            if near.num_rows:
+                yield near
+            apart = part.filter(far)
+            if apart.num_rows:
+                held.append(apart)
+                size += sum(pc.binary_length(apart.column("text")).to_pylist())
+            if size >= most:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def lm_scores(docs: DataFrame, folds: int = 5, held: int = 1, hidden: int = 16, words: int = 1022, steps: int = 32, rate: float = 0.1, start_docs: int = 400, frequent: int = 200_000, share: float = 0.8, replica_tokens: int = 4_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; scores are log10 probabilities.
 
     The held fold trains nothing. A null or empty text is its end alone; repeated rows score alike (and train twice).
     With no training rows, base_score is 0 and the network is the untrained one. Words beyond the `frequent` ones are
-    priced by a join with the counts of all training words. The network's words make up `share` of the training tokens;
-    classes and each are the least it has.
+    priced by a join with the counts of all training words. The network's words make up `share` of the training tokens,
+    and are `words` at least. Extra columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_fold("doc_id", folds) == held).alias("held_out"), text_of().alias("text"))
     train = rows.filter(~F.col("held_out"))
     n_docs = train.count()
     counts = Counts(staged(word_counts(train), "word-counts"), frequent, share)
-    classes, each = shape(counts.needed, classes, each)
-    net = fit(train, counts, n_docs, hidden, classes, each, steps, rate, start_docs)
-    n_frequent = min(len(counts.vocabulary), classes * each - 2)
+    n_frequent = min(len(counts.vocabulary), max(words, counts.needed))
+    net = fit(train, counts, n_docs, hidden, n_frequent, steps, rate, start_docs, replica_tokens)
     n_train, distinct_words = counts.tokens + n_docs, counts.words + (n_docs > 0)
     floor = np.log10(n_train + 0.5 * (distinct_words + 1))
     rest = np.log10(counts.tokens - counts.c[:n_frequent].sum() + 0.5 * (counts.words - n_frequent + 1))
@@ -294,22 +460,22 @@ def lm_scores(docs: DataFrame, folds: int = 5, held: int = 1, hidden: int = 16,
     shared = docs.sparkSession.sparkContext.broadcast((net, counts.vocabulary, np.log10(counts.c + 0.5)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         net, vocabulary, logs = shared.value
-        for batch in batches:
-            for part in slices(batch, "text", 8_000_000):
-                ids, ends, codes, offsets, distinct, place = _lm_ids(part.column("text"), vocabulary, n_frequent)
-                n, row = part.num_rows, row_ids(offsets)
-                p = place[codes]
-                value = np.where(p >= 0, np.append(logs, 0.0)[p], 0.0)
-                add = lambda x: np.bincount(row, x, n)
-                far = np.flatnonzero(p < 0)
-                keys, tf = np.unique(row[far] * max(len(distinct), 1) + codes[far], return_counts=True)
-                held_by = np.concatenate([[0], np.cumsum(np.bincount(keys // max(len(distinct), 1), minlength=n))])
-                words = pa.StructArray.from_arrays([distinct.take(pa.array(keys % max(len(distinct), 1))), pa.array(tf.astype(np.int64))], names=["word", "n"])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("uid"), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(ends)), pa.array(add((p >= 0) * 1.0).astype(np.int64)), pa.array(add(value)), pa.array(add(np.where(p >= n_frequent, value, 0.0))), pa.array(add((p < 0) | (p >= n_frequent)).astype(np.int64)), pa.array(score_lanes(net, ids, ends, 60_000 * 32 // net.classes + 1)), pa.ListArray.from_arrays(pa.array(held_by, pa.int32()), words)],
-                    names=["uid", "doc_id", "held_out", "n_tokens", "n_near", "near", "near_unknown", "n_unknown", "network", "far"],
-                )
+        for part in _parted(batches, 8_000_000):
+            ids, ends, codes, offsets, distinct, place = _lm_ids(part.column("text"), vocabulary, n_frequent)
+            n, row = part.num_rows, row_ids(offsets)
+            p = place[codes]
+            value = np.where(p >= 0, np.append(logs, 0.0)[p], 0.0)
+            add = lambda x: np.bincount(row, x, n).astype(float)  # noqa: E731  whole numbers if there is no word
+            far = np.flatnonzero(p < 0)
+            keys, tf = np.unique(row[far] * max(len(distinct), 1) + codes[far], return_counts=True)
+            held_by = np.concatenate([[0], np.cumsum(np.bincount(keys // max(len(distinct), 1), minlength=n))])
+            words = pa.StructArray.from_arrays([distinct.take(pa.array(keys % max(len(distinct), 1))), pa.array(tf.astype(np.int64))], names=["word", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("uid"), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(ends)), pa.array(add((p >= 0) * 1.0).astype(np.int64)), pa.array(add(value)), pa.array(add(np.where(p >= n_frequent, value, 0.0))), pa.array(add((p < 0) | (p >= n_frequent)).astype(np.int64)), pa.array(score_lanes(net, ids, ends, 60_000)), pa.ListArray.from_arrays(pa.array(held_by, pa.int32()), words)],
+                names=["uid", "doc_id", "held_out", "n_tokens", "n_near", "near", "near_unknown", "n_unknown", "network", "far"],
+            )
 
     schema = "uid long, doc_id long, held_out boolean, n_tokens long, n_near long, near double, near_unknown double, n_unknown long, network double, far array<struct<word:string,n:bigint>>"
     scored = staged(rows.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(run, schema), "lm")

@@ -11,9 +11,15 @@ def test_words_make_up_the_share(spark):
     table = spark.createDataFrame([(f"w{i:05}", 2) for i in range(5000)], "word string, c long")
     counts = L.Counts(table, 100, 0.8)
     assert counts.needed == 4000 and len(counts.vocabulary) >= 4000
-    classes, each = L.shape(counts.needed, 32, 32)
-    assert classes * each >= 4002 and max(classes, each) <= 65
-    assert L.shape(5, 32, 32) == (32, 32)
+
+
+def test_classes_cost_least():
+    c = 1e6 / np.arange(1, 5001)
+    bounds = L.class_bounds(c)
+    assert bounds[0] == 0 and bounds[-1] == 5000 and (np.diff(bounds) > 0).all()
+    p = c / c.sum()
+    cost = lambda b: len(b) - 1 + (np.add.reduceat(p, b[:-1]) * np.diff(b)).sum()
+    assert cost(bounds) < 0.75 * cost(np.append(np.arange(0, 5000, 71), 5000))
 
 
 def test_order_of_less_frequent_words_counts(spark):
@@ -32,12 +38,22 @@ def test_training_carries_state_through_a_document():
     class Net:
         hidden, calls = 2, []
 
-        def window(self, xs, ys, h, rate, floor):
-            self.calls.append((h[:, 0].tolist(), [len(x) for x in xs], ys[0][:1].tolist()))
+        def window(self, xs, ys, h, rate, floor, news):
+            self.calls.append((h[:, 0].tolist(), np.concatenate(xs).tolist(), np.concatenate(ys).tolist(), [len(n) for n in news]))
             return h + 1, 0.0
 
     net, n = Net(), 1300
-    L.train_lanes(net, np.arange(n + 40), np.array([0, n, n + 40]), 32, 0.1, 1)
-    assert [h for h, *_ in net.calls] == [[0, 0], [1, 1], *([k] for k in range(2, 41))]
-    assert [y for *_, y in net.calls] == [[32 * k] for k in range(41)]
-    assert sum(sum(x) for _, x, _ in net.calls) == n + 40
+    ids = np.arange(n + 40)
+    L.train_lanes(net, ids, np.array([0, n, n + 40]), 32, 0.1, 1, tokens=32)
+    assert [h for h, *_ in net.calls] == [[k] for k in range(42)]
+    assert sum((y for *_, y, _ in net.calls), []) == ids.tolist()
+    assert sum((x for _, x, *_ in net.calls), []) == [0, *range(n + 39)]
+    assert np.flatnonzero(sum((k for *_, k in net.calls), [])).tolist() == [0, n]
+
+
+def test_lanes_hold_each_document_once():
+    n = np.random.default_rng(0).integers(1, 300, 500)
+    lanes = L.dealt_lanes(np.concatenate([[0], np.cumsum(n)]), 1000)
+    assert sorted(d for ds in lanes for d in ds) == list(range(500))
+    sizes = [sum(n[d] for d in ds) for ds in lanes]
+    assert sizes == sorted(sizes, reverse=True) and sizes[0] - sizes[-1] <= 300 and len(lanes) == n.sum() // 1000
