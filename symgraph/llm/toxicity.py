@@ -1,31 +1,33 @@
 """Toxicity by the nearest labelled examples in exact TF-IDF cosine, found by a block-max inverted index.
 
-Terms are lower-case words and their beginnings of 5 to 8 characters. The index keeps the terms that mark the label among
-the training examples (by likelihood ratio, `terms` at most); all other words together are one more term, so that
-cosines aren't swamped by words of the topic, yet a document with one such word in a thousand isn't near one with ten in
-fifty. Examples with equal vectors share an entry with counts of both labels. A query adds up the block maxima of its terms, visits
-blocks in the order of that bound and stops when none can reach the k-th best. Votes are
-weighted by angular distance and drawn to the prior; their log odds are shifted so that 0.5 parts the examples best, each
-scored without itself. A text
-with none of the terms gets the label's rate among such examples.
+Terms are all lower-case words of the labelled examples and their beginnings of 5 and 6 characters. A term weighs
+(1 + log tf) idf relevance; relevance grows from a small floor to 1 with how surely the term marks the label among the
+examples (likelihood ratio). No term is left out; the floor keeps the invented topic words, of which a text has hundreds,
+from drowning the few that tell. Cosines are exact over all terms.
+
+Examples with equal vectors share an entry with counts of both labels; entries are ordered by content, so ties are too. A
+query adds up the block maxima of its terms, takes the blocks of the highest bounds first, and then all that can still
+reach the k-th best. Votes are weighted by angular distance and drawn to the prior; their log odds are shifted so that
+0.5 parts the examples best, each scored without itself. A text without any term of the examples gets the label's rate.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, row_ids, slices, split_words, text_of
+from .common import crc_fold, row_ids, slices, split_words, staged, text_of
 from .quality_classifier import labelled_sample
 
-PREFIXES = (5, 6, 7, 8)
-#: Weight of the one term for all other words, whose number counts in steps of half powers of two.
-REST = 0.7
+BEGINNINGS = (5, 6)
 
 
 def plain(text: Column) -> Column:
@@ -33,52 +35,77 @@ def plain(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")
 
 
-def term_counts(texts: pa.Array, vocabulary: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term, count) of the vocabulary's terms (words, then beginnings of each length), and each text's words."""
+def begins(words: pa.Array, n: int) -> pa.Array:
+    """The first n characters of words that have as many; else nothing."""
+    return pc.if_else(pc.greater_equal(pc.utf8_length(words), n), pc.utf8_slice_codeunits(words, 0, n), pa.scalar(None, pa.string()))
+
+
+def term_counts(texts: pa.Array, vocabulary: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, count) of the vocabulary's terms (words, then beginnings of each length), by text and term."""
     codes, distinct, offsets = split_words(texts)
     rows, size, at, found = row_ids(offsets), sum(map(len, vocabulary)), 0, []
-    for part, n in zip(vocabulary, (None, *PREFIXES), strict=True):
-        keys = distinct if n is None else pc.if_else(pc.greater_equal(pc.utf8_length(distinct), n), pc.utf8_slice_codeunits(distinct, 0, n), "")
-        t = pc.fill_null(pc.index_in(keys, part), -1).to_numpy(zero_copy_only=False).astype(np.int64)[codes] if len(codes) else np.zeros(0, np.int64)
+    for part, n in zip(vocabulary, (None, *BEGINNINGS), strict=True):
+        keys = distinct if n is None else begins(distinct, n)
+        # a null key has no place
+        t = pc.fill_null(pc.index_in(keys, part, skip_nulls=True), -1).to_numpy(zero_copy_only=False).astype(np.int64)[codes] if len(codes) else np.zeros(0, np.int64)
         hit = np.flatnonzero(t >= 0)
         found.append(rows[hit] * size + t[hit] + at)
         at += len(part)
     keys, n = np.unique(np.concatenate(found), return_counts=True)
-    return keys // max(size, 1), keys % max(size, 1), n, np.diff(offsets)
+    return keys // max(size, 1), keys % max(size, 1), n
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
 
 
 class BlockMaxIndex:
-    """Entries in blocks; postings by block and term, with each term's largest weight in each block."""
-
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int = 64):
-        self.n, self.block = len(vectors), block
-        self.blocks = -(-self.n // block)
-        self.bound = np.zeros((n_terms, max(self.blocks, 1)), np.float32)
-        postings: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for e, v in enumerate(vectors):
-            for t, w in v.items():
-                postings.setdefault((e // block, t), []).append((e % block, w))
-                self.bound[t, e // block] = max(self.bound[t, e // block], w)
-        self.postings = {k: (np.array([i for i, _ in p]), np.array([w for _, w in p])) for k, p in postings.items()}
-
-    def nearest(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
-        """The k entries of the largest positive cosine, ties to the lower number: (cosine, entry)."""
-        terms = np.fromiter(query, np.int64, len(query))
-        weights = np.fromiter(query.values(), np.float64, len(query))
-        bounds = weights @ self.bound[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best) == k and bounds[b] + 1e-6 < best[-1][0]:
-                break
-            scores = np.zeros(self.block)
-            for t, w in zip(terms, weights, strict=True):
-                p = self.postings.get((int(b), int(t)))
-                if p is not None:
-                    scores[p[0]] += w * p[1]
-            best += [(round(float(scores[i]), 9), int(b) * self.block + int(i)) for i in np.flatnonzero(scores > 0)]
-            best.sort(key=lambda x: (-x[0], x[1]))
-            del best[k:]
-        return best
+    """Postings of the entries by term and block of entries, with the largest weight of each term in each block."""
+
+    def __init__(self, entry: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, n_terms: int, block: int = 64):
+        self.n, self.blocks, self.block = n, max(-(-n // block), 1), block
+        order = np.lexsort((entry, term))
+        self.entry, term, self.weight = entry[order].astype(np.int32), term[order], weight[order].astype(np.float32)
+        pair = term * self.blocks + self.entry // block
+        first = np.flatnonzero(np.diff(pair, prepend=-1))
+        self.first = np.append(first, len(pair))
+        self.of = (pair[first] % self.blocks).astype(np.int32)
+        self.bound = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
+        self.terms = np.searchsorted(pair[first] // self.blocks, np.arange(n_terms + 1))
+
+    def _scores(self, pairs: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        counts = self.first[pairs + 1] - self.first[pairs]
+        at = _ranges(self.first[pairs], counts)
+        return np.bincount(self.entry[at], np.repeat(weights, counts) * self.weight[at], self.n)
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, ahead: int = 4) -> tuple[np.ndarray, np.ndarray]:
+        """The k entries of the largest positive cosine, ties to the lower number: cosines, entries."""
+        counts = self.terms[terms + 1] - self.terms[terms]
+        pairs = _ranges(self.terms[terms], counts)
+        w = np.repeat(weights, counts)
+        bounds = np.bincount(self.of[pairs], w * self.bound[pairs], self.blocks)
+        chosen = bounds > 0
+        if chosen.sum() > ahead:
+            head = np.zeros(self.blocks, bool)
+            head[np.argpartition(-bounds, ahead)[:ahead]] = True
+            own = head[self.of[pairs]]
+            scores = self._scores(pairs[own], w[own])
+            # The k-th best so far; what is below it, with room for rounding, can't be among the k.
+            kth = np.partition(scores, max(self.n - k, 0))[max(self.n - k, 0)] if self.n >= k else 0.0
+            chosen &= bounds + 1e-5 >= kth
+            chosen &= ~head
+            own = chosen[self.of[pairs]]
+            scores += self._scores(pairs[own], w[own])
+        else:
+            scores = self._scores(pairs, w)
+        scores = np.round(scores, 6)
+        if k < self.n:
+            kth = np.partition(scores, self.n - k)[self.n - k]
+            at = np.flatnonzero(scores >= max(kth, 1e-6))
+        else:
+            at = np.flatnonzero(scores > 0)
+        at = at[np.argsort(-scores[at], kind="stable")][:k]
+        return scores[at], at
 
 
 def _moved(p: float, shift: float) -> float:
@@ -99,104 +126,166 @@ def _cut(scored: list[tuple[float, int]]) -> float:
 
 
 class Model:
-    def __init__(self, vocabulary: list[pa.Array], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], k: int, prior_weight: float):
-        """examples: doc_id, label, counts of terms, of which the last is the step of other words."""
-        self.vocabulary, self.idf, self.k, self.prior_weight = vocabulary, idf, k, prior_weight
-        entries: dict[tuple, list] = {}
-        nothing = [0, 0]
-        for doc_id, y, counts in examples:
-            if not counts:
-                nothing[y] += 1
-                continue
-            e = entries.setdefault(tuple(sorted(counts.items())), [0, 0, doc_id])
-            e[y] += 1
-        self.none = (nothing[1] + 0.5) / (sum(nothing) + 10)
-        self.prior = (sum(y for _, y, _ in examples) + 0.5) / (len(examples) + 1)
-        self.entries = list(entries.values())
-        self.index = BlockMaxIndex([self.vector(dict(v)) for v in entries], len(idf) + 1)
-        self.cache: dict[tuple, tuple[float, list]] = {}
+    """k nearest entries of the index; see the module."""
+
+    def __init__(self, vocabulary: list[pa.Array], weights: np.ndarray, row: np.ndarray, term: np.ndarray, count: np.ndarray, y: np.ndarray, doc_ids: np.ndarray, k: int, prior_weight: float):
+        """row, term, count of the examples' terms, by row and term; y and doc_ids of the examples."""
+        self.vocabulary, self.weights, self.k, self.prior_weight = vocabulary, weights, k, prior_weight
+        ends = np.searchsorted(row, np.arange(len(y) + 1))
+        entries: dict[bytes, list] = {}
+        for i in range(len(y)):
+            part = slice(ends[i], ends[i + 1])
+            entries.setdefault(term[part].tobytes() + count[part].tobytes(), []).append(i)
+        # Ordered by content: by the term with the largest count, which puts texts of a language together, then by all terms.
+        top = {key: int(term[ends[m[0]] + np.argmax(count[ends[m[0]] : ends[m[0] + 1]])]) if key else -1 for key, m in entries.items()}
+        held = [entries[key] for key in sorted((key for key in entries if key), key=lambda key: (top[key], key))]
+        self.labels = np.array([[len(m) - y[m].sum(), y[m].sum()] for m in held], float).reshape(-1, 2)
+        self.doc_ids = np.array([doc_ids[m].min() for m in held], np.int64)
+        self.prior = (y.sum() + 0.5) / (len(y) + 1)
+        size = np.array([ends[m[0] + 1] - ends[m[0]] for m in held], np.int64)
+        at = _ranges(np.array([ends[m[0]] for m in held], np.int64), size) if held else np.zeros(0, np.int64)
+        entry = np.repeat(np.arange(len(held)), size)
+        w = self.raw(term[at], count[at])
+        norm = np.sqrt(np.bincount(entry, w * w, len(held)))
+        self.index = BlockMaxIndex(entry, term[at], w / norm[entry], len(held), len(weights))
+        self.cache: dict[bytes, tuple[float, list]] = {}
         self.shift = 0.0
-        at = {v: e for e, v in enumerate(entries)}
-        left = [(self.votes(v, (at[v], y)), y) for _, y, c in examples if c for v in [tuple(sorted(c.items()))]]
-        self.shift = _cut(left)
 
-    def votes(self, counts: tuple[tuple[int, int], ...], own: tuple[int, int] | None = None) -> float:
-        """The weighted share of label 1 among the nearest; own: an entry and label to leave out once."""
-        return self._votes(self.index.nearest(self.vector(dict(counts)), self.k + (own is not None)), own)
+    def raw(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return (1 + np.log(counts)) * self.weights[terms]
 
-    def _votes(self, near: list[tuple[float, int]], own: tuple[int, int] | None = None) -> float:
+    def votes(self, terms: np.ndarray, counts: np.ndarray, leave: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+        """The weighted share of label 1 among the nearest, their cosines and entries; leave: the label of the text itself, an example that is left out once."""
         yes, total = self.prior * self.prior_weight, self.prior_weight
-        for cosine, e in near:
-            n = self.entries[e][:2]
-            if own is not None and own[0] == e:
-                n[own[1]] -= 1
-            w = cosine / (0.05 + np.arccos(min(1.0, cosine)))
-            yes, total = yes + w * n[1], total + w * sum(n)
-        return float(yes / total)
-
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        v = {t: (1 + np.log(n)) * self.idf[t] if t < len(self.idf) else (1 + n * np.log(2) / 2) * REST for t, n in counts.items()}
-        norm = sum(x * x for x in v.values()) ** 0.5
-        return {t: x / norm for t, x in v.items()}
-
-    def score(self, counts: tuple[tuple[int, int], ...]) -> tuple[float, list]:
-        if not counts:
-            return self.none, []
-        if counts not in self.cache:
-            if len(self.cache) > 50_000:
+        if not len(terms):
+            return float(yes / total), np.zeros(0), np.zeros(0, np.int64)
+        w = self.raw(terms, counts)
+        cosines, entries = self.index.nearest(terms, w / np.sqrt((w * w).sum()), self.k + (leave is not None))
+        labels = self.labels[entries]
+        if leave is not None and len(entries) and cosines[0] > 1 - 2e-6:
+            labels = labels.copy()
+            labels[0, leave] = max(labels[0, leave] - 1, 0)
+        v = cosines / (0.05 + np.arccos(np.minimum(cosines, 1.0)))
+        return float((yes + v @ labels[:, 1]) / (total + v @ labels.sum(1))), cosines, entries
+
+    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list]:
+        key = terms.tobytes() + counts.tobytes()
+        if key not in self.cache:
+            if len(self.cache) > 4_000:
                 self.cache.clear()
-            near = self.index.nearest(self.vector(dict(counts)), self.k)
-            p = self._votes(near)
-            self.cache[counts] = (_moved(p, self.shift), [(self.entries[e][2], self.entries[e][1] / sum(self.entries[e][:2]), c) for c, e in near[:3]])
-        return self.cache[counts]
-
-
-def _grouped(texts: pa.Array, vocabulary: list[pa.Array], n: int) -> list[tuple[tuple[int, int], ...]]:
-    """Counts of each text, empty where it has no term of the vocabulary."""
-    out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-    rows, terms, counts, words = term_counts(texts, vocabulary)
-    for r, t, c in zip(rows.tolist(), terms.tolist(), counts.tolist(), strict=True):
-        out[r].append((t, c))
-    rest = sum(map(len, vocabulary))
-    return [(*x, (rest, round(2 * np.log2(words[r] + 1)))) if x else () for r, x in enumerate(out)]
-
-
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 8_000, terms: int = 512, k: int = 12, prior_weight: float = 0.5, allowed: Column | None = None) -> Model:
-    """Learns from at most `sample` labelled rows; the index holds them all."""
-    rows = labelled_sample(docs, labels, label, sample, allowed if allowed is not None else F.lit(True)).select(F.col("doc_id").cast("long").alias("doc_id"), "y", F.split(F.trim(plain(F.col("text"))), " ").alias("w"))
-    begins = [F.transform(F.filter("w", lambda w, n=n: F.length(w) >= n), lambda w, n=n: F.concat(F.lit(f"{n}"), F.substring(w, 1, n))) for n in PREFIXES]
-    forms = rows.select("y", F.explode(F.array_distinct(F.concat(F.transform("w", lambda w: F.concat(F.lit("w"), w)), *begins))).alias("term"))
-    n_yes, n_all = rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
-    df = forms.groupBy("term").agg(F.sum("y").alias("a"), F.count("*").alias("n"))
-    # Likelihood ratio of a term's documents against the label's rate, where it is above that rate.
-    rate = (n_yes + 0.5) / (n_all + 1)
-    p = (F.col("a") + 0.5) / (F.col("n") + 1)
-    gain = F.col("a") * F.log(p / rate) + (F.col("n") - F.col("a")) * F.log((1 - p) / (1 - rate))
-    best = df.filter((F.col("a") >= 2) & (p > 2.5 * rate) & (F.col("n") <= 0.5 * n_all) & (F.length("term") > 3)).withColumn("gain", gain).filter("gain > 4").orderBy(F.desc("gain"), "term").limit(terms).collect()
-    n_of = {r["term"]: r["n"] for r in best}
-    named = [sorted(t for t in n_of if t[0] == k) for k in ("w", *map(str, PREFIXES))]
-    vocabulary = [pa.array([t[1:] for t in ts], pa.string()) for ts in named]
-    idf = np.array([np.log((n_all + 1) / (n_of[t] + 1)) + 1 for ts in named for t in ts])
+            p, cosines, entries = self.votes(terms, counts)
+            self.cache[key] = (_moved(p, self.shift), [(int(self.doc_ids[e]), float(self.labels[e, 1] / self.labels[e].sum()), float(c)) for c, e in zip(cosines[:3], entries[:3], strict=True)])
+        return self.cache[key]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def relevance(n: np.ndarray, a: np.ndarray, n_all: int, n_yes: int, sure: float, floor: float) -> np.ndarray:
+    """floor to 1 for terms in n examples, a of them of label 1: the likelihood ratio against the label's rate over `sure`, where it is above that rate."""
+    rate = (n_yes + 0.5) / (n_all + 1)
+    p = (a + 0.5) / (n + 1)
+    gain = a * np.log(p / rate) + (n - a) * np.log((1 - p) / (1 - rate))
+    return floor + (1 - floor) * np.where(p > rate, np.clip(gain / sure, 0, 1), 0)
+
+
+def build(examples: pa.Table, k: int, prior_weight: float, sure: float, floor: float) -> Model:
+    """The index of examples (doc_id, y, w: distinct words, n: their counts)."""
+    got = examples
+    y, ids = got["y"].to_numpy().astype(np.int64), got["doc_id"].to_numpy()
+    lists = got["w"].combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    distinct, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
+    times = got["n"].combine_chunks().flatten().to_numpy().astype(np.int64)
+    vocabulary, term, size = [], [], 0
+    for n in (None, *BEGINNINGS):
+        part = (distinct if n is None else begins(distinct, n)).dictionary_encode()
+        place = pc.fill_null(part.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        names = part.dictionary
+        order = pc.array_sort_indices(names).to_numpy()
+        rank = np.empty(len(names) + 1, np.int64)
+        rank[order], rank[-1] = np.arange(len(names)), -1
+        t = rank[place][codes] if len(codes) else codes
+        vocabulary.append(names.take(pa.array(order)))
+        term.append(np.where(t >= 0, t + size, -1))
+        size += len(names)
+    del got, lists, coded
+    t, r, c = np.concatenate(term), np.tile(row, len(term)), np.tile(times, len(term))
+    hit = t >= 0
+    keys, back = np.unique(r[hit] * max(size, 1) + t[hit], return_inverse=True)
+    count = np.bincount(back, c[hit], len(keys)).astype(np.int64)
+    row, term = keys // max(size, 1), keys % max(size, 1)
+    n = np.bincount(term, minlength=size)
+    a = np.bincount(term, y[row], size) if len(row) else np.zeros(size)
+    weights = (np.log((len(y) + 1) / (n + 1)) + 1) * relevance(n, a, len(y), int(y.sum()), sure, floor)
+    return Model(vocabulary, weights, row, term, count, y, ids, k, prior_weight)
+
+
+class Fitted(NamedTuple):
+    """A broadcast of the pickled index, and the shift of its log odds."""
+
+    model: Broadcast
+    shift: float
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 8_000, k: int = 12, prior_weight: float = 0.5, sure: float = 20.0, floor: float = 0.03, allowed: Column | None = None) -> Fitted:
+    """Learns from at most `sample` labelled rows; the index holds them all, with all their terms. Without rows every score is 0.5.
+
+    Texts are split in tasks and the index is made in one; the driver passes it on as bytes, whose number the sample
+    bounds. Examples are ordered by their texts' hashes, so ids don't matter.
+    """
+    rows = staged(labelled_sample(docs, labels, label, sample, allowed if allowed is not None else F.lit(True)).select(F.col("doc_id").cast("long").alias("doc_id"), "y", "h", plain(F.col("text")).alias("text")), "examples")
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                codes, distinct, offsets = split_words(part.column("text"))
+                keys, n = np.unique(row_ids(offsets) * max(len(distinct), 1) + codes, return_counts=True)
+                at = np.searchsorted(keys // max(len(distinct), 1), np.arange(part.num_rows + 1))
+                at = pa.array(at, pa.int32())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "y", "h")), pa.ListArray.from_arrays(at, distinct.take(pa.array(keys % max(len(distinct), 1)))), pa.ListArray.from_arrays(at, pa.array(n.astype(np.int32)))], names=["doc_id", "y", "h", "w", "n"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(build(pa.Table.from_batches(held), k, prior_weight, sure, floor))], pa.binary())], names=["model"])
+
+    kind = "doc_id long, y int, h long, w array<string>, n array<int>"
+    # One task for a bounded sample; the driver holds the finished index as bytes only.
+    ordered = rows.mapInArrow(words, kind).repartition(1).sortWithinPartitions("h", "y")
+    got = ordered.mapInArrow(learn, "model binary").toArrow()
+    blob = got["model"][0].as_py() if got.num_rows else pickle.dumps(build(pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("h", pa.int64()), ("w", pa.list_(pa.string())), ("n", pa.list_(pa.int32()))]).empty_table(), k, prior_weight, sure, floor))
+    del got
+    shared = docs.sparkSession.sparkContext.broadcast(blob)
+
+    def leave_one_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = pickle.loads(shared.value)
         for batch in batches:
-            found = _grouped(batch.column("text"), vocabulary, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([[t for t, _ in f] for f in found], pa.list_(pa.int32())), pa.array([[c for _, c in f] for f in found], pa.list_(pa.int32()))], names=["doc_id", "y", "t", "c"])
+            for part in slices(batch, "text"):
+                y = part.column("y").to_numpy()
+                p = [m.votes(t, c, int(y[i]))[0] for i, (t, c) in enumerate(_grouped(part.column("text"), m.vocabulary, part.num_rows))]
+                yield pa.RecordBatch.from_arrays([pa.array(p, pa.float64()), part.column("y")], names=["p", "y"])
+
+    left = rows.select("text", "y").mapInArrow(leave_one_out, "p double, y int").toArrow()
+    return Fitted(shared, _cut(list(zip(left["p"].to_pylist(), left["y"].to_pylist(), strict=True))))
+
 
-    got = sorted((r["doc_id"], r["y"], r["t"], r["c"]) for r in rows.select("doc_id", "y", F.array_join("w", " ").alias("text")).mapInArrow(run, "doc_id long, y int, t array<int>, c array<int>").collect())
-    return Model(vocabulary, idf, [(d, y, dict(zip(t, c, strict=True))) for d, y, t, c in got], k, prior_weight)
+def _grouped(texts: pa.Array, vocabulary: list[pa.Array], n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Terms and counts of each text."""
+    rows, terms, counts = term_counts(texts, vocabulary)
+    at = np.searchsorted(rows, np.arange(n + 1)).tolist()
+    return [(terms[a:b], counts[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """doc_id, score, predicted, evidence (nearest examples: doc_id, share of label 1, cosine). A null text is empty and, as any text without the terms, gets the base rate of such examples. Repeated rows score alike."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # `sample` short vectors at most
+def score(docs: DataFrame, model: Fitted, threshold: float = 0.5) -> DataFrame:
+    """doc_id, score, predicted, evidence (nearest examples: doc_id, share of label 1, cosine). A null text is empty and, as any text without a term of the examples, gets the label's rate. Repeated rows score alike; an empty table gives no rows."""
+    shared, shift = model  # the terms of `sample` texts at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = pickle.loads(shared.value)
+        m.shift = shift
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("share", pa.float64()), ("cosine", pa.float64())]))
         for batch in batches:
             for part in slices(batch, "text"):
-                got = [m.score(x) for x in _grouped(part.column("text"), m.vocabulary, part.num_rows)]
+                got = [m.score(*x) for x in _grouped(part.column("text"), m.vocabulary, part.num_rows)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s for s, _ in got], pa.float64()), pa.array([[dict(zip(("doc_id", "share", "cosine"), e, strict=True)) for e in es] for _, es in got], kind)], names=["doc_id", "score", "evidence"])
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain(text_of()).alias("text")).mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id:bigint,share:double,cosine:double>>")

@@ -14,6 +14,7 @@ import pyarrow as pa
 import pytest
 
 from symgraph.llm import media, mixing, near_duplicates as N, packing, quality_classifier, recurrent_lm as L, secrets, token_files, tokens, toxicity
+from symgraph.llm.common import crc_fold
 from symgraph.llm.queries import oracle_sql, queries, tokenizer
 
 DATA = "/root/testdata/sf0.001"
@@ -122,6 +123,7 @@ def test_media(spark, docs):
         p = b + b"\xff" * ((-len(b)) % 576 if b else 576)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
         assert r["media_sha256"] == hashlib.sha256(media.container(b)).hexdigest()
+        assert r["feature"] == ",".join(str(sum(x >> 4 == k for x in p)) for k in range(16)) and r["media_bytes"] == len(p) + 24
 
 
 def test_cuts_follow_content():
@@ -238,6 +240,32 @@ def test_ownership(spark):
     assert {r["text"] for r in secrets.redact(d).filter("doc_id = 9").collect()} == {"é own [SECRET] token=short token=secret:abcdefgh1"}
 
 
+def test_owned_tokens_and_verdicts(spark, docs):
+    """All spans of the query by brute force: base, and long mixed tokens of few owners and repositories."""
+    a = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    base, more, owners, repos = {}, {}, {}, {}
+    for i, r in docs.items():
+        t = r["text"]
+        base[i] = [(m.start(), 0, m.end(), m[2]) for m in a.finditer(t) if len(m[2]) >= 8] + [(m.start(), 1, m.end(), m[0]) for m in re.finditer("AKIA[A-Z0-9]{12,}", t)] + [(m.start(), 2, m.end(), m[0]) for m in re.finditer("[0-9a-f]{32,}", t)]
+        found = [(m.start(), 3, m.end(), m[0]) for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", t) if len(re.findall("[0-9]", m[0])) >= 2 and re.search("[A-Za-z]", m[0])]
+        more[i] = [s for s in found if not any(b[0] < s[2] and s[0] < b[2] for b in base[i])]
+        for s in base[i] + more[i]:
+            owners.setdefault(s[3], set()).add(r["source"])
+            repos.setdefault(s[3], set()).add(i)
+    live = lambda s: len(owners[s[3]]) <= 2 and len(repos[s[3]]) <= 50
+    for r in run(spark, 5):
+        i = r["doc_id"]
+        want = sorted(s[:3] for s in base[i] + [s for s in more[i] if live(s)])
+        assert r["spans"] == ",".join(f"{('assign', 'access', 'hex', 'owned')[k]}:{x}:{y}" for x, k, y in want)
+        assert r["n_live"] == sum(map(live, base[i] + more[i]))
+
+
+def test_a_value_of_one_hot_source_is_an_example(spark):
+    d = spark.createDataFrame([(i, "token=abcdefgh12", "hot") for i in range(60)] + [(99, f"see Kj1Hg2Fd3Sa4{'x' * 300}5Cv6Bn7", "s")], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in secrets.digests(secrets.scan(d)).collect()}
+    assert got[0]["n_live"] == 0 and got[0]["n_example"] == 1 and got[0]["n_assign"] == 1 and got[99]["n_live"] == 1
+
+
 def test_rules(spark, docs):
     word = re.compile(r"[^\x20\x09-\x0D]+")
     for r in run(spark, 6):
@@ -267,9 +295,47 @@ def test_lm(spark, docs):
     assert held[1] > held[0]
 
 
+def test_lm_score_by_hand(spark, docs, monkeypatch):
+    """score of short texts token by token, with the trained network's numbers."""
+    held, fit = [], L.fit
+    monkeypatch.setattr(L, "fit", lambda *a: held.append((fit(*a), a[1])) or held[0][0])
+    table = spark.createDataFrame([(i, r["text"]) for i, r in docs.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in L.lm_scores(table, words=100, share=0.3).collect()}
+    net, counts = held[0]
+    low = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
+    toks = {i: re.findall(r"[^\x20\x09-\x0D]+", r["text"].translate(low)) for i, r in docs.items()}
+    c = Counter(w for i, ws in toks.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in ws)
+    p = {k: a.astype(float) for k, a in net.p.items()}
+    own = {w: k + 2 for k, w in enumerate(counts.vocabulary[: len(p["x"]) - 2].to_pylist())}
+    assert [c[w] for w in own] == sorted(c.values(), reverse=True)[: len(own)]
+    rest = math.log10(sum(n for w, n in c.items() if w not in own) + 0.5 * (len(c) - len(own) + 1))
+    n, sig = net.hidden, lambda x: 1 / (1 + np.exp(-x))
+    for i in sorted(toks, key=lambda i: len(toks[i]))[:25]:
+        h, last, total = np.zeros(n), 0, 0.0
+        for w in [*toks[i], None]:
+            x, u = p["x"][last], h @ p["u"]
+            z, r = sig(x[:n] + u[:n]), sig(x[n : 2 * n] + u[n : 2 * n])
+            h = z * h + (1 - z) * np.tanh(x[2 * n :] + r * u[2 * n :])
+            last = 0 if w is None else own.get(w, 1)
+            k = net.cls[last]
+            words = np.flatnonzero(net.cls == k)
+            for t, j in ((p["c"], k), (p["w"][words], last - words[0])):
+                e = t[:, :n] @ h + t[:, n]
+                total += (e[j] - math.log(np.exp(e).sum())) / math.log(10)
+            if last == 1:
+                total += math.log10(c[w] + 0.5) - rest
+        assert got[i] == pytest.approx(total, rel=1e-4)
+
+
+def test_lm_scores_do_not_follow_partitions(spark):
+    table = spark.read.parquet(f"{DATA}/documents.parquet")
+    one, six = ({r["doc_id"]: r["score"] for r in L.lm_scores(t, replica_tokens=20_000).collect()} for t in (table.coalesce(1), table.repartition(6)))
+    assert one.keys() == six.keys() and all(six[i] == pytest.approx(x, rel=1e-4) for i, x in one.items())
+
+
 def test_network_gradients_and_sum():
     rng = np.random.default_rng(0)
-    net = L.Network(4, 3, 4)
+    net = L.Network(4, np.arange(12, 0, -1.0))
     net.p = {k: (rng.standard_normal(a.shape) * 0.4).astype(np.float64) for k, a in net.p.items()}
     net.g = {k: np.zeros_like(a) for k, a in net.p.items()}
     xs, ys = [np.array([1, 2, 3]), np.array([4, 5]), np.array([6, 7])], [np.array([4, 5, 9]), np.array([6, 11]), np.array([0, 2])]
@@ -278,7 +344,7 @@ def test_network_gradients_and_sum():
         h, total = np.zeros((3, 4)), 0.0
         old, net.p = net.p, p
         for x, y in zip(xs, ys, strict=True):
-            h = net.step(x, h[: len(x)])[0]
+            h = net.step(p["x"][x], h[: len(x)])[0]
             total += net.output(h, y)[0].sum()
         net.p = old
         return total
@@ -303,7 +369,7 @@ def test_network_gradients_and_sum():
 
 
 def test_state_crosses_windows():
-    net = L.Network(6, 4, 8)
+    net = L.Network(6, np.ones(32))
     x = np.random.default_rng(1).integers(0, 32, 200)
     one = L.score_lanes(net, x, np.array([0, 200]))
     assert L.score_lanes(net, x, np.array([0, 200]), block=7) == pytest.approx(one, rel=1e-5)
@@ -313,13 +379,66 @@ def test_state_crosses_windows():
 
 def test_block_max_is_exact():
     rng = np.random.default_rng(3)
-    vs = [{int(t): float(w) for t, w in zip(rng.choice(40, 4, replace=False), rng.random(4), strict=True)} for _ in range(500)]
-    vs = [{t: w / math.sqrt(sum(x * x for x in v.values())) for t, w in v.items()} for v in vs]
-    index = toxicity.BlockMaxIndex(vs, 40, block=16)
-    for q in vs[:60]:
-        want = sorted(((round(sum(w * v.get(t, 0) for t, w in q.items()), 9), i) for i, v in enumerate(vs)), key=lambda x: (-x[0], x[1]))[:7]
-        got = index.nearest(q, 7)
-        assert [s for s, _ in got] == pytest.approx([s for s, _ in want], abs=1e-6)
+    m = rng.random((500, 40)) * (rng.random((500, 40)) < 0.1)
+    m[7] = m[3]
+    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+    e, t = np.nonzero(m)
+    index = toxicity.BlockMaxIndex(e, t, m[e, t], 500, 40, block=16)
+    for q in m[:60]:
+        terms = np.flatnonzero(q)
+        if len(terms):
+            s = np.round((m @ q), 5)
+            got, at = index.nearest(terms, q[terms], 7)
+            want = np.sort(s)[::-1][: len(got)]
+            assert got == pytest.approx(want, abs=2e-5) and (np.diff(got) <= 0).all()
+            assert len(got) == min(7, (s > 0).sum())
+
+
+def test_toxicity_by_all_examples(spark):
+    """Scores against cosines with every example over all words and beginnings."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = toxicity.fit(docs, labels, allowed=crc_fold("doc_id", 5) != 0)
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    y = {r["doc_id"]: r["toxic"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5}
+
+    def terms(t):
+        w = re.sub(r"[\W_]+", " ", t.lower()).split()
+        return Counter([("w", x) for x in w] + [(n, x[:n]) for n in (5, 6) for x in w if len(x) >= n])
+
+    of = {i: terms(text[i]) for i in y}
+    n, a = Counter(), Counter()
+    for i, c in of.items():
+        n.update(c.keys())
+        a.update(c.keys() if y[i] else ())
+    rate = (sum(y.values()) + 0.5) / (len(y) + 1)
+
+    def weight(t):
+        p = (a[t] + 0.5) / (n[t] + 1)
+        gain = a[t] * math.log(p / rate) + (n[t] - a[t]) * math.log((1 - p) / (1 - rate))
+        return (math.log((len(y) + 1) / (n[t] + 1)) + 1) * (0.03 + 0.97 * (min(max(gain / 20, 0), 1) if p > rate else 0))
+
+    weights = {t: weight(t) for t in n}
+
+    def vector(c):
+        v = {t: (1 + math.log(x)) * weights[t] for t, x in c.items() if t in weights}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    entries = {}
+    for i, c in of.items():
+        entries.setdefault(tuple(sorted(map(str, c.items()))), []).append(i)
+    held = [(vector(of[m[0]]), sum(y[i] for i in m), len(m)) for m in entries.values()]
+    off = 0
+    for i in sorted(text)[:120]:
+        q = vector(terms(text[i]))
+        near = sorted(((round(sum(w * v[t] for t, w in q.items() if t in v), 6), yes, m) for v, yes, m in held), reverse=True)[:12]
+        near = [x for x in near if x[0] > 0]
+        w = [c / (0.05 + math.acos(min(c, 1))) for c, *_ in near]
+        p = (rate * 0.5 + sum(x * yes for x, (_, yes, _) in zip(w, near, strict=True))) / (0.5 + sum(x * m for x, (*_, m) in zip(w, near, strict=True)))
+        off += abs(got[i]["score"] - 1 / (1 + math.exp(model.shift) * (1 - p) / p)) > 2e-3
+    assert off <= 1  # a tie at the last place may fall either way
 
 
 def test_held_out_accuracy(spark):
