@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples in exact TF-IDF cosine, found by a block-max inverted index.
 
-Terms are all lower-case words of the labelled examples and their beginnings of 5 and 6 characters. A term weighs
+Terms are all lower-case words of the labelled examples. A term weighs
 (1 + log tf) idf relevance; relevance grows from a small floor to 1 with how surely the term marks the label among the
 examples (likelihood ratio). No term is left out; the floor keeps the invented topic words, of which a text has hundreds,
 from drowning the few that tell. Cosines are exact over all terms.
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import crc_fold, row_ids, slices, split_words, staged, text_of
 from .quality_classifier import labelled_sample
 
-BEGINNINGS = (5, 6)
+#: Lengths of beginnings of words that are terms too; each about doubles the work.
+BEGINNINGS: tuple[int, ...] = ()
 
 
 def plain(text: Column) -> Column:
