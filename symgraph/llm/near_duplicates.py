@@ -171,7 +171,7 @@ def sketch(docs: DataFrame, sketches: int, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 8_000_000):
+            for part in slices(batch, "text", 2_000_000):
                 codes, distinct, offsets = split_words(part.column("text"))
                 kmers, off = labelled_kmers(_hashes(distinct)[codes], offsets)
                 full = np.diff(off) > 0
@@ -188,7 +188,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "ta", 4_000_000):
+            for part in slices(batch, "ta", 2_000_000):
                 n = part.num_rows
                 codes, distinct, offsets = split_words(pa.concat_arrays([part.column("ta"), part.column("tb")]))
                 kmers, off = labelled_kmers(_hashes(distinct)[codes], offsets)
@@ -207,23 +207,71 @@ def labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
     return buckets.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
 
 
-def shared_kmers(kmers: np.ndarray, offsets: np.ndarray, most: int = 4096) -> np.ndarray:
-    """For each two texts, how many labelled k-mers both have."""
+def kmers_of(texts: pa.Array, most: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """labelled_kmers of texts, made in parts of about `most` bytes, so that only the k-mers themselves follow the whole."""
+    found, size = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", most):
+        codes, distinct, offsets = split_words(part.column("text"))
+        kmers, off = labelled_kmers(_hashes(distinct)[codes], offsets)
+        found.append(kmers)
+        size.append(np.diff(off))
+    return np.concatenate(found), np.cumsum(np.concatenate(size))
+
+
+def shared_kmers(kmers: np.ndarray, offsets: np.ndarray, most: int = 1024, panel: int = 256) -> np.ndarray:
+    """For each two texts, how many labelled k-mers both have; `most` k-mers and `panel` rows at a time."""
     n = len(offsets) - 1
-    _, code, count = np.unique(kmers, return_inverse=True, return_counts=True)
-    place = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[code]
-    row, place = row_ids(offsets)[place >= 0], place[place >= 0]
-    order = np.argsort(place, kind="stable")
-    row, place = row[order], place[order]
+    order = np.argsort(kmers, kind="stable")
+    run = kmers[order]
+    same = np.concatenate([[False], run[1:] == run[:-1], [False]])
+    member = same[1:] | same[:-1]
+    # of k-mers that several texts have: numbered in order, with their texts
+    place = np.cumsum(member & ~same[:-1])[member] - 1
+    row = np.searchsorted(offsets, order[member], side="right") - 1
+    del order, run, same, member
     out = np.zeros((n, n), np.float32)
     for at in range(0, int(place[-1]) + 1 if len(place) else 0, most):
         part = slice(*np.searchsorted(place, [at, at + most]))
         has = np.zeros((n, most), np.float32)
         has[row[part], place[part] - at] = 1
-        out += has @ has.T
+        for r in range(0, n, panel):
+            out[r : r + panel, r:] += has[r : r + panel] @ has[r:].T
+    for r in range(0, n, panel):
+        out[r + panel :, r : r + panel] = out[r : r + panel, r + panel :].T
     return out
 
 
+def alike(kmers: np.ndarray, off: np.ndarray, sigs: np.ndarray, label: np.ndarray, own: np.ndarray, band: int, similar: float, panel: int = 256) -> list[tuple[int, int, float]]:
+    """Pairs (i, j, similarity) that reach `similar`, of different labels and blocks, if there are two, and without an equal
+    sketch before `band`; one at most for each two components tied here. Masks are made `panel` rows at a time.
+    """
+    n, size = len(label), np.diff(off)
+    root, hits, both, two = label.copy(), [], None, own.min() != own.max()
+    for r in range(0, n, panel):
+        p = slice(r, min(r + panel, n))
+        open_ = root[p, None] != root[r:]
+        open_ &= np.arange(r, p.stop)[:, None] < np.arange(r, n)
+        if two:
+            open_ &= own[p, None] != own[r:]
+        for s in range(band):
+            open_ &= sigs[p, s, None] != sigs[r:, s]
+        open_ &= np.minimum(size[p, None], size[r:]) >= similar * np.maximum(size[p, None], size[r:])
+        if not open_.any():
+            continue
+        if both is None:
+            both = shared_kmers(kmers, off)
+        # The alignment has at most the k-mers of both; the margin is for rounding.
+        open_ &= both[p, r:] >= similar * (size[p, None] + size[r:] - both[p, r:]) - 1e-3
+        for i in (np.flatnonzero(open_.any(axis=1)) + r).tolist():
+            for j in (np.flatnonzero(open_[i - r]) + r).tolist():
+                if root[i] != root[j]:
+                    got = similarity(kmers[off[i] : off[i + 1]], kmers[off[j] : off[j + 1]], similar)
+                    if got >= similar:
+                        hits.append((i, j, got))
+                        root[root == root[j]] = root[i]
+    return hits
+
+
 def exhausted(now: DataFrame, texts: DataFrame, similar: float, block: int, chars: int) -> DataFrame:
     """Links (a, b, similarity) from all pairs in buckets that still hold several components, one at most for each two
     components tied in a task. The members of one component (the leader's) and the others are dealt by hash into blocks
@@ -243,31 +291,10 @@ def exhausted(now: DataFrame, texts: DataFrame, similar: float, block: int, char
     met = met.join(texts.select("key", "sigs", "text"), "key").select("band", "sig", "lo", "hi", "own", "key", "label", "sigs", "text")
 
     def run(group: pa.Table) -> pa.Table:
-        n, band = group.num_rows, group["band"][0].as_py()
         label = group["label"].combine_chunks().dictionary_encode().indices.to_numpy()
-        own = group["own"].to_numpy()
-        sigs = group["sigs"].combine_chunks().flatten().to_numpy().reshape(n, -1)
-        codes, distinct, offsets = split_words(group["text"])
-        kmers, off = labelled_kmers(_hashes(distinct)[codes], offsets)
-        size = np.diff(off)
-        open_ = np.triu(label[:, None] != label, 1)
-        if group["lo"][0].as_py() != group["hi"][0].as_py():
-            open_ &= own[:, None] != own
-        for s in range(band):
-            open_ &= sigs[:, s, None] != sigs[:, s]
-        open_ &= np.minimum(size[:, None], size) >= similar * np.maximum(size[:, None], size)
-        a = b = found = np.zeros(0, np.int64)
-        if open_.any():
-            both = shared_kmers(kmers, off)
-            # The alignment has at most the k-mers of both; the margin is for rounding.
-            a, b = np.nonzero(open_ & (both >= similar * (size[:, None] + size - both) - 1e-3))
-        root, hits = label.copy(), []
-        for i, j in zip(a.tolist(), b.tolist(), strict=True):
-            if root[i] != root[j]:
-                got = similarity(kmers[off[i] : off[i + 1]], kmers[off[j] : off[j + 1]], similar)
-                if got >= similar:
-                    hits.append((i, j, got))
-                    root[root == root[j]] = root[i]
+        sigs = group["sigs"].combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
+        kmers, off = kmers_of(group["text"].combine_chunks())
+        hits = alike(kmers, off, sigs, label, group["own"].to_numpy(), group["band"][0].as_py(), similar)
         keys = group["key"].to_pylist()
         return pa.table({"a": pa.array([max(keys[i], keys[j]) for i, j, _ in hits], pa.binary()), "b": pa.array([min(keys[i], keys[j]) for i, j, _ in hits], pa.binary()), "similarity": pa.array([x for *_, x in hits], pa.float64())})
 

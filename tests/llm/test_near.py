@@ -1,9 +1,11 @@
 """Near duplicates in a group that shares a long passage, against all pairs by the operator's own similarity."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql.group import GroupedData
 
 from symgraph.llm import near_duplicates as N
 from symgraph.llm.common import split_words
@@ -50,3 +52,21 @@ def test_shared_kmers():
         for j in range(12):
             if i != j:
                 assert got[i, j] == len(set(sets[i].tolist()) & set(sets[j].tolist()))
+
+
+def test_memory_of_two_blocks(spark, monkeypatch):
+    """Two blocks of texts that share a passage, none alike: masks and counts of all pairs aren't held several times over."""
+    rng, n = random.Random(4), 2048
+    words = lambda k: " ".join(f"w{rng.randrange(10**6)}" for _ in range(k))
+    passage = words(60)
+    group = pa.table({
+        "band": pa.array([3] * n, pa.int32()), "lo": pa.array([0] * n, pa.int32()), "hi": pa.array([1] * n, pa.int32()), "own": pa.array([k % 2 for k in range(n)], pa.int32()),
+        "key": [str(k).encode() for k in range(n)], "label": [str(k).encode() for k in range(n)], "sigs": [[rng.randrange(10**9) for _ in range(12)] for _ in range(n)], "text": [f"{passage} {words(30)}" for _ in range(n)],
+    })
+    monkeypatch.setattr(GroupedData, "applyInArrow", lambda self, run, schema: run)
+    run = N.exhausted(spark.createDataFrame([], "band int, sig long, key binary, label binary"), spark.createDataFrame([], "key binary, sigs array<long>, chars int, text string"), 0.8, 1024, 8_000_000)
+    tracemalloc.start()
+    assert run(group).num_rows == 0
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6
