@@ -5,9 +5,10 @@ Terms are all lower-case words of the labelled examples. A term weighs
 examples (likelihood ratio). No term is left out; the floor keeps the invented topic words, of which a text has hundreds,
 from drowning the few that tell. Cosines are exact over all terms.
 
-Examples with equal vectors share an entry with counts of both labels; entries are ordered by content, so ties are too. A
-query adds up the block maxima of its terms, takes the blocks of the highest bounds first, and then all that can still
-reach the k-th best. Votes are weighted by angular distance and drawn to the prior; their log odds are shifted so that
+Examples with equal vectors share an entry with counts of both labels; entries are ordered by content, so ties are too.
+The commonest terms are multiplied densely, many queries at once, in single precision. A query adds the block maxima of
+its other terms to that, takes the blocks that can still reach the k-th best, and scores anew, in double precision over
+all terms, what is within a margin of the k best. Votes are weighted by angular distance and drawn to the prior; their log odds are shifted so that
 0.5 parts the examples best, each scored without itself. A text without any term of the examples gets the label's rate.
 """
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from functools import cached_property
 from typing import NamedTuple
 
 import numpy as np
@@ -61,9 +63,10 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Postings of the entries by term and block of entries, with the largest weight of each term in each block."""
+    """Postings of the entries by term and block of entries, with the largest weight of each term in each block. Terms in
+    a `heavy`-th of the entries or more, the commonest first, as far as `cells` go, also have a dense row each."""
 
-    def __init__(self, entry: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, n_terms: int, block: int = 64):
+    def __init__(self, entry: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, n_terms: int, block: int = 64, heavy: int = 16, cells: int = 4_000_000):
         self.n, self.blocks, self.block = n, max(-(-n // block), 1), block
         order = np.lexsort((entry, term))
         self.entry, term, self.weight = entry[order].astype(np.int32), term[order], weight[order].astype(np.float32)
@@ -73,40 +76,62 @@ class BlockMaxIndex:
         self.of = (pair[first] % self.blocks).astype(np.int32)
         self.bound = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
         self.terms = np.searchsorted(pair[first] // self.blocks, np.arange(n_terms + 1))
+        held = np.diff(self.first[self.terms])
+        often = np.argsort(-held, kind="stable")[: cells // max(n, 1)]
+        self.often = often[held[often] * heavy >= max(n, 1)]
+        self.row = np.full(n_terms, -1, np.int32)
+        self.row[self.often] = np.arange(len(self.often))
+
+    @cached_property
+    def dense(self) -> np.ndarray:
+        """Weights of the common terms by entry; made where it is used, so it isn't sent."""
+        out = np.zeros((len(self.often), self.n), np.float32)
+        for i, t in enumerate(self.often.tolist()):
+            part = slice(self.first[self.terms[t]], self.first[self.terms[t + 1]])
+            out[i, self.entry[part]] = self.weight[part]
+        return out
 
     def _scores(self, pairs: np.ndarray, weights: np.ndarray) -> np.ndarray:
         counts = self.first[pairs + 1] - self.first[pairs]
         at = _ranges(self.first[pairs], counts)
         return np.bincount(self.entry[at], np.repeat(weights, counts) * self.weight[at], self.n)
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, ahead: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k entries of the largest positive cosine, ties to the lower number: cosines, entries."""
-        counts = self.terms[terms + 1] - self.terms[terms]
-        pairs = _ranges(self.terms[terms], counts)
-        w = np.repeat(weights, counts)
-        bounds = np.bincount(self.of[pairs], w * self.bound[pairs], self.blocks)
-        chosen = bounds > 0
-        if chosen.sum() > ahead:
-            head = np.zeros(self.blocks, bool)
-            head[np.argpartition(-bounds, ahead)[:ahead]] = True
-            own = head[self.of[pairs]]
-            scores = self._scores(pairs[own], w[own])
-            # The k-th best so far; what is below it, with room for rounding, can't be among the k.
-            kth = np.partition(scores, max(self.n - k, 0))[max(self.n - k, 0)] if self.n >= k else 0.0
-            chosen &= bounds + 1e-5 >= kth
-            chosen &= ~head
-            own = chosen[self.of[pairs]]
-            scores += self._scores(pairs[own], w[own])
-        else:
-            scores = self._scores(pairs, w)
-        scores = np.round(scores, 6)
-        if k < self.n:
-            kth = np.partition(scores, self.n - k)[self.n - k]
-            at = np.flatnonzero(scores >= max(kth, 1e-6))
-        else:
-            at = np.flatnonzero(scores > 0)
-        at = at[np.argsort(-scores[at], kind="stable")][:k]
-        return scores[at], at
+        return next(self.nearest_of([(terms, weights)], k))
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, most: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """nearest() of each of the queries; common terms of `most` queries are multiplied at once."""
+        for at in range(0, len(queries), most):
+            part = queries[at : at + most]
+            q = np.zeros((len(part), len(self.often)), np.float32)
+            for i, (terms, weights) in enumerate(part):
+                row = self.row[terms]
+                q[i, row[row >= 0]] = weights[row >= 0]
+            for (terms, weights), common in zip(part, q @ self.dense, strict=True):
+                yield self._best(terms, weights, common, k)
+
+    def _best(self, terms: np.ndarray, weights: np.ndarray, common: np.ndarray, k: int, margin: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+        """common: the cosines' shares of the common terms in single precision, which is off by less than the margin."""
+        if not self.n:
+            return np.zeros(0), np.zeros(0, np.int64)
+        row = self.row[terms]
+        rare, w_rare, row, w_row = terms[row < 0], weights[row < 0], row[row >= 0], weights[row >= 0]
+        counts = self.terms[rare + 1] - self.terms[rare]
+        pairs = _ranges(self.terms[rare], counts)
+        w = np.repeat(w_rare, counts)
+        bounds = np.bincount(self.of[pairs], w * self.bound[pairs], self.blocks) + np.maximum.reduceat(common, np.arange(0, self.n, self.block))
+        # No weight is negative, so the k-th best can only rise: blocks below it hold none of the k.
+        kth = np.partition(common, self.n - k)[self.n - k] if k < self.n else 0.0
+        own = (bounds + margin >= kth)[self.of[pairs]]
+        rest = self._scores(pairs[own], w[own])
+        about = common + rest
+        kth = np.partition(about, self.n - k)[self.n - k] if k < self.n else 0.0
+        at = np.flatnonzero(about >= max(kth - margin, 1e-7))
+        scores = np.round(rest[at] + w_row @ self.dense[np.ix_(row, at)], 6)
+        at, scores = at[scores > 0], scores[scores > 0]
+        order = np.argsort(-scores, kind="stable")[:k]
+        return scores[order], at[order]
 
 
 def _moved(p: float, shift: float) -> float:
@@ -155,28 +180,29 @@ class Model:
     def raw(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return (1 + np.log(counts)) * self.weights[terms]
 
-    def votes(self, terms: np.ndarray, counts: np.ndarray, leave: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
-        """The weighted share of label 1 among the nearest, their cosines and entries; leave: the label of the text itself, an example that is left out once."""
-        yes, total = self.prior * self.prior_weight, self.prior_weight
-        if not len(terms):
-            return float(yes / total), np.zeros(0), np.zeros(0, np.int64)
-        w = self.raw(terms, counts)
-        cosines, entries = self.index.nearest(terms, w / np.sqrt((w * w).sum()), self.k + (leave is not None))
-        labels = self.labels[entries]
-        if leave is not None and len(entries) and cosines[0] > 1 - 2e-6:
-            labels = labels.copy()
-            labels[0, leave] = max(labels[0, leave] - 1, 0)
-        v = cosines / (0.05 + np.arccos(np.minimum(cosines, 1.0)))
-        return float((yes + v @ labels[:, 1]) / (total + v @ labels.sum(1))), cosines, entries
-
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list]:
-        key = terms.tobytes() + counts.tobytes()
-        if key not in self.cache:
-            if len(self.cache) > 4_000:
-                self.cache.clear()
-            p, cosines, entries = self.votes(terms, counts)
+    def votes(self, texts: list[tuple[np.ndarray, np.ndarray]], leave: list[int] | None = None) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """For each text (terms, counts) the weighted share of label 1 among the nearest, their cosines and entries; leave: the labels of the texts, examples themselves, which are left out once."""
+        queries = []
+        for terms, counts in texts:
+            w = self.raw(terms, counts)
+            queries.append((terms, w / np.sqrt((w * w).sum()) if len(terms) else w))
+        for i, (cosines, entries) in enumerate(self.index.nearest_of(queries, self.k + (leave is not None))):
+            labels = self.labels[entries]
+            if leave is not None and len(entries) and cosines[0] > 1 - 2e-6:
+                labels = labels.copy()
+                labels[0, leave[i]] = max(labels[0, leave[i]] - 1, 0)
+            v = cosines / (0.05 + np.arccos(np.minimum(cosines, 1.0)))
+            yield float((self.prior * self.prior_weight + v @ labels[:, 1]) / (self.prior_weight + v @ labels.sum(1))), cosines, entries
+
+    def score(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list]]:
+        """Score and evidence of each text (terms, counts); equal ones are looked up once."""
+        if len(self.cache) > 4_000:
+            self.cache.clear()
+        keys = [terms.tobytes() + counts.tobytes() for terms, counts in texts]
+        new = {key: x for key, x in zip(keys, texts, strict=True) if key not in self.cache}
+        for key, (p, cosines, entries) in zip(new, self.votes(list(new.values())), strict=True):
             self.cache[key] = (_moved(p, self.shift), [(int(self.doc_ids[e]), float(self.labels[e, 1] / self.labels[e].sum()), float(c)) for c, e in zip(cosines[:3], entries[:3], strict=True)])
-        return self.cache[key]
+        return [self.cache[key] for key in keys]
 
 
 def relevance(n: np.ndarray, a: np.ndarray, n_all: int, n_yes: int, sure: float, floor: float) -> np.ndarray:
@@ -262,7 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
         for batch in batches:
             for part in slices(batch, "text"):
                 y = part.column("y").to_numpy()
-                p = [m.votes(t, c, int(y[i]))[0] for i, (t, c) in enumerate(_grouped(part.column("text"), m.vocabulary, part.num_rows))]
+                p = [x for x, *_ in m.votes(_grouped(part.column("text"), m.vocabulary, part.num_rows), y.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(p, pa.float64()), part.column("y")], names=["p", "y"])
 
     left = rows.select("text", "y").mapInArrow(leave_one_out, "p double, y int").toArrow()
@@ -286,7 +312,7 @@ def score(docs: DataFrame, model: Fitted, threshold: float = 0.5) -> DataFrame:
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("share", pa.float64()), ("cosine", pa.float64())]))
         for batch in batches:
             for part in slices(batch, "text"):
-                got = [m.score(*x) for x in _grouped(part.column("text"), m.vocabulary, part.num_rows)]
+                got = m.score(_grouped(part.column("text"), m.vocabulary, part.num_rows))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s for s, _ in got], pa.float64()), pa.array([[dict(zip(("doc_id", "share", "cosine"), e, strict=True)) for e in es] for _, es in got], kind)], names=["doc_id", "score", "evidence"])
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain(text_of()).alias("text")).mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id:bigint,share:double,cosine:double>>")

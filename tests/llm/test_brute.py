@@ -394,6 +394,30 @@ def test_block_max_is_exact():
             assert len(got) == min(7, (s > 0).sum())
 
 
+def test_common_terms_are_not_walked():
+    """Exact neighbours, ties to the lower number, without walking the postings of terms that most entries have."""
+    rng = np.random.default_rng(5)
+    m = rng.random((2000, 400)) * (rng.random((2000, 400)) < np.where(np.arange(400) < 30, 0.6, 0.01))
+    m[900:910] = m[:10]
+    m = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)).astype(np.float32).astype(float)
+    e, t = np.nonzero(m)
+    index = toxicity.BlockMaxIndex(e, t, m[e, t], 2000, 400)
+    walked, scores = [0], index._scores
+
+    def counted(pairs, weights):
+        walked[0] += (index.first[pairs + 1] - index.first[pairs]).sum()
+        return scores(pairs, weights)
+
+    index._scores = counted
+    for q in m[:40]:
+        got, at = index.nearest(np.flatnonzero(q), q[q > 0], 12)
+        s = np.round(m @ q, 6)
+        want = np.argsort(-s, kind="stable")[:12]
+        assert got == pytest.approx(s[want], abs=2e-6) and at[:2].tolist() == want[:2].tolist()
+    rare = (m > 0)[:, 30:]
+    assert walked[0] <= rare[:40].astype(int).dot(rare.sum(axis=0)).sum()
+
+
 def test_toxicity_by_all_examples(spark):
     """Scores against cosines with every example over all words."""
     d = "/root/testdata/sf0.01"
