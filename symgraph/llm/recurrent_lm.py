@@ -48,6 +48,13 @@ def class_bounds(counts: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(np.diff(np.floor(np.cumsum(p) - p / 2), prepend=-1)), len(counts))
 
 
+def order_of(ids: np.ndarray) -> np.ndarray:
+    """A stable order of numbers from 0 to 2**32 - 1, by their halves: those of 16 bits are sorted without comparisons."""
+    order = np.argsort(ids.astype(np.uint16), kind="stable")
+    high = ids >> 16
+    return order.take(np.argsort(high.astype(np.uint16).take(order), kind="stable")) if high.any() else order
+
+
 class Network:
     """GRU of `hidden` units over as many words as counts; float32. Words come in the order of their counts."""
 
@@ -79,67 +86,77 @@ class Network:
         return self
 
     def step(self, a: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The next states from the words' rows of `x` (overwritten: the gates, the candidate) and the states; also the candidate's recurrent part."""
+        """The next states from the words' rows of `x` and the states; also the candidate's recurrent part."""
+        out, _, un = self.advance(a, h.T, self.turned())
+        return out.T, un.T
+
+    def turned(self) -> np.ndarray:
+        """`u` for `advance`: turned, the gates' part negative."""
+        out = self.p["u"].T.copy()
+        out[: 2 * self.hidden] *= -1
+        return out
+
+    def advance(self, a: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]:
+        """`step` with a column for each lane, as long rows cost less than many of 16; u: `turned`. The next states, gates and candidate, its recurrent part."""
         n = self.hidden
-        u = h @ self.p["u"]
-        gates, new = a[:, : 2 * n], a[:, 2 * n :]
-        gates += u[:, : 2 * n]
-        gates *= 0.5
-        np.tanh(gates, out=gates)
-        gates *= 0.5
-        gates += 0.5  # the sigmoid
-        un = u[:, 2 * n :]
-        new += a[:, n : 2 * n] * un
+        both = a.T.copy()
+        from_h = u @ h
+        gates, new, un = both[: 2 * n], both[2 * n :], from_h[2 * n :]
+        np.subtract(from_h[: 2 * n], gates, out=gates)
+        with np.errstate(over="ignore"):  # the sigmoid is 0 there
+            np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        new += both[n : 2 * n] * un
         np.tanh(new, out=new)
         out = h - new
-        out *= a[:, :n]
+        out *= both[:n]
         out += new
-        return out, un
+        return out, both, un
 
-    def _softmax(self, h: np.ndarray, table: np.ndarray, small: bool, grad: np.ndarray | None, dh: np.ndarray | None, block: int = 1024) -> np.ndarray:
-        """The log of the sum of exp(table @ h) for each row of h; with grad, adds what the sum gives to the gradients of the loss."""
+    def _softmax(self, h: np.ndarray, table: np.ndarray, small: bool, grad: np.ndarray | None, dh: np.ndarray | None, block: int = 1 << 17) -> np.ndarray:
+        """The log of the sum of exp(table @ h) for each row of h, about `block` terms at once; with grad, adds what the sum gives to the gradients of the loss."""
         out = np.empty(len(h), h.dtype)
-        turned = np.ascontiguousarray(table.T)
-        sums = table if grad is None else np.concatenate([table[:, :-1], np.ones((len(table), 1), table.dtype)], 1)
-        for at in range(0, len(h), block):
-            part = h[at : at + block]
-            e = part @ turned
+        ones = np.ones(len(table), h.dtype)
+        rows = max(64, block // len(table))
+        for at in range(0, len(h), rows):
+            part = h[at : at + rows]
+            e = part @ table.T
             top = 0
             if not small:
                 top = e.max(1)
                 e -= top[:, None]
             np.exp(e, out=e)
-            if grad is None:
-                total = e @ np.ones(e.shape[1], e.dtype)
-            else:
-                both = e @ sums
-                total = both[:, -1:]
-                grad += e.T @ (part / total)
-                dh[at : at + block] += both[:, :-1] / total
-                total = total[:, 0]
-            out[at : at + block] = np.log(total) + top
+            total = e @ ones
+            if grad is not None:
+                grad += e.T @ (part / total[:, None])
+                back = e @ table[:, :-1]
+                back /= total[:, None]
+                dh[at : at + rows] += back
+            out[at : at + rows] = np.log(total) + top
         return out
 
     def output(self, h: np.ndarray, ids: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probabilities of ids after states h; with grads, also adds those of the loss and returns dh."""
         n, c, w = self.hidden, self.p["c"], self.p["w"]
-        order = np.argsort(ids, kind="stable")  # by class, then word
-        goal = ids[order]
-        cls = self.cls[goal]
+        order = order_of(ids)  # by class, then word
+        goal = ids.take(order)
+        cls = self.cls.take(goal)
         h1 = np.ones((len(ids), n + 1), h.dtype)
-        h1[:, :n] = h[order]
+        h1[:, :n] = h.take(order, 0)
         # States lie within -1 and 1, so this bounds every logit; exp needs no shift below it.
-        small = bool(max(np.abs(c).sum(1).max(), np.abs(w).sum(1).max()) < 80)
-        chosen = c[cls]
-        chosen += w[goal]
+        small = all((np.abs(a[j : j + 1024]) @ np.ones(n + 1, a.dtype)).max() < 80 for a in (c, w) for j in range(0, len(a), 1024))
+        chosen = c.take(cls, 0)
+        chosen += w.take(goal, 0)
         logp = np.einsum("ij,ij->i", h1, chosen)
         dh = None
         if grads is not None:
             dh = -chosen[:, :n]
             first = np.flatnonzero(np.diff(goal, prepend=-1))
-            grads["w"][goal[first]] -= np.add.reduceat(h1, first)
-            first = np.flatnonzero(np.diff(cls, prepend=-1))
-            grads["c"][cls[first]] -= np.add.reduceat(h1, first)
+            sums, own = np.add.reduceat(h1, first), cls[first]
+            grads["w"][goal[first]] -= sums
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            grads["c"][own[first]] -= np.add.reduceat(sums, first)
         logp -= self._softmax(h1, c, small, None if grads is None else grads["c"], dh)
         at = np.searchsorted(cls, np.arange(self.classes + 1))
         for k in np.flatnonzero(np.diff(at)):
@@ -158,62 +175,73 @@ class Network:
         grads = {k: np.zeros_like(a) for k, a in self.p.items() if k != "x"}
         n, ids = self.hidden, np.concatenate(xs)
         at = np.cumsum([0, *(len(x) for x in xs)]).tolist()
-        a = self.p["x"][ids]
-        before, un, state = np.empty((len(ids), n), a.dtype), np.empty((len(ids), n), a.dtype), np.empty((len(ids), n), a.dtype)
-        last, now = h.copy(), h
+        state = np.empty((len(ids), n), h.dtype)
+        last, now, turned, held = h.copy(), h.T.copy(), self.turned(), []
         for t in range(len(xs)):
             i = slice(at[t], at[t + 1])
-            before[i] = now[: at[t + 1] - at[t]]
+            now = now[:, : at[t + 1] - at[t]]
             if news is not None and len(news[t]):
-                before[i][news[t]] = 0
-            now, un[i] = self.step(a[i], before[i])
-            state[i] = now
-            last[: len(now)] = now
+                now[:, news[t]] = 0
+            out, both, un = self.advance(self.p["x"].take(xs[t], 0), now, turned)
+            held.append((now, both, un))
+            state[i] = out.T
+            last[: out.shape[1]] = state[i]
+            now = out
         logp, dout = self.output(state, np.concatenate(ys), grads)
-        # Copies in one piece: rows of 48 with gaps cost more than the copy.
-        z, r, new = (np.ascontiguousarray(a[:, i * n : (i + 1) * n]) for i in range(3))
-        rest = 1 - z
-        fz = before - new
-        fz *= z
-        fz *= rest
-        fn = new * new
-        np.subtract(1, fn, out=fn)
-        fn *= rest
-        fr = 1 - r
-        fr *= r
-        fr *= un
-        du, dx = np.empty_like(a), np.empty_like(fn)
-        dh = np.zeros((0, n), a.dtype)
-        back = np.ascontiguousarray(self.p["u"].T)
+        back = np.empty((len(ids), 3 * n), h.dtype)
+        dh = np.zeros((n, 0), h.dtype)
         for t in range(len(xs) - 1, -1, -1):
             i = slice(at[t], at[t + 1])
-            d, g, dn = dout[i], du[i], dx[i]
-            d[: len(dh)] += dh
-            np.multiply(d, fn[i], out=dn)
-            np.multiply(d, fz[i], out=g[:, :n])
-            np.multiply(dn, fr[i], out=g[:, n : 2 * n])
-            np.multiply(dn, r[i], out=g[:, 2 * n :])
-            dh = g @ back
-            d *= z[i]
+            now, both, un = held.pop()
+            z, r, new = both[:n], both[n : 2 * n], both[2 * n :]
+            d = dout[i].T.copy()
+            d[:, : dh.shape[1]] += dh
+            g = np.empty_like(both)
+            dz, dr, dn = g[:n], g[n : 2 * n], g[2 * n :]
+            rest = 1 - z
+            rest *= d
+            np.multiply(new, new, out=dn)
+            np.subtract(1, dn, out=dn)
+            dn *= rest
+            np.subtract(now, new, out=dz)
+            dz *= rest
+            dz *= z
+            np.subtract(1, r, out=dr)
+            dr *= r
+            dr *= un
+            dr *= dn
+            back[i] = g.T
+            dn *= r  # from here on of the candidate's recurrent part
+            grads["u"] += now @ g.T
+            dh = self.p["u"] @ g
+            d *= z
             dh += d
             if news is not None and len(news[t]):
-                dh[news[t]] = 0
-        grads["u"] += before.T @ du
-        du[:, 2 * n :] = dx
-        scale = a.dtype.type(1 / max(len(logp), floor))
-        for k, g in grads.items():
-            g *= scale
-            self.g[k] += g * g
-            g *= rate
-            g /= np.sqrt(self.g[k])
-            self.p[k] -= g
-        order = np.argsort(ids, kind="stable")
-        sorted_ids = ids[order]
-        first = np.flatnonzero(np.diff(sorted_ids, prepend=-1))
-        seen = sorted_ids[first]
-        g = np.add.reduceat(du[order], first) * scale
-        self.g["x"][seen] += g * g
-        self.p["x"][seen] -= rate * g / np.sqrt(self.g["x"][seen])
+                dh[:, news[t]] = 0
+        scale = h.dtype.type(1 / max(len(logp), floor))
+        for k, whole in grads.items():
+            for j in range(0, len(whole), 1024):  # rows that stay in the cache of a core
+                g, squares = whole[j : j + 1024], self.g[k][j : j + 1024]
+                g *= scale
+                root = g * g
+                squares += root
+                np.sqrt(squares, out=root)
+                g *= rate
+                g /= root
+                self.p[k][j : j + 1024] -= g
+        order = order_of(ids)
+        first = np.flatnonzero(np.diff(ids.take(order), prepend=-1))
+        seen = ids.take(order[first])
+        # Sums over narrow rows: one over all columns takes twice as long.
+        parts, order = back.reshape(-1, n), order * 3
+        g = np.concatenate([np.add.reduceat(parts.take(order + k, 0), first) for k in range(3)], 1)
+        g *= scale
+        squares = self.g["x"].take(seen, 0)
+        squares += g * g
+        self.g["x"][seen] = squares
+        g *= rate
+        g /= np.sqrt(squares)
+        self.p["x"][seen] -= g
         return last, float(logp.sum())
 
 
@@ -274,15 +302,15 @@ def train_lanes(net: Network, ids: np.ndarray, offsets: np.ndarray, steps: int,
 def score_lanes(net: Network, ids: np.ndarray, offsets: np.ndarray, block: int = 60_000) -> np.ndarray:
     """log10 probability of each document's ids."""
     order, starts, active = _lanes(ids, offsets)
-    h = np.zeros((len(starts), net.hidden), np.float32)
+    h, turned = np.zeros((net.hidden, len(starts)), np.float32), net.turned()
     sums = np.zeros(len(starts))
     states, goals, lanes, n = [], [], [], 0
-    for t in range(len(active)):
-        k = active[t]
-        at = starts[:k] + t
-        h[:k] = net.step(net.p["x"][ids[at - 1] if t else np.full(k, END)], h[:k])[0]
-        states.append(h[:k].copy())
-        goals.append(ids[at])
+    last = np.full(len(starts), END)
+    for t, k in enumerate(active.tolist()):
+        h = net.advance(net.p["x"].take(last[:k], 0), h[:, :k], turned)[0]
+        last = ids.take(starts[:k] + t)
+        states.append(h.T)
+        goals.append(last)
         lanes.append(k)
         n += k
         if n >= block or t == len(active) - 1:
