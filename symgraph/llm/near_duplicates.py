@@ -9,7 +9,7 @@ order agrees.
 Exact copies are one class from the start. In each bucket of equal sketches, members are compared with a leader, not
 with each other, and then with leaders of four other components. Buckets that hold several components after that are
 searched for all their pairs, block by block, less those within the leader's component. Links become classes by
-alternating large and small stars. Nothing is capped.
+alternating large and small stars, until few enough are left for one task. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -113,28 +113,33 @@ def _hashes(distinct: pa.Array) -> np.ndarray:
     return pd.util.hash_array(distinct.to_numpy(zero_copy_only=False).astype(object), categorize=False).astype(np.uint64) if len(distinct) else np.zeros(0, np.uint64)
 
 
+def _roots(a: pa.Array, b: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The nodes of links (a, b) in order, and for each the place of the smallest node of its component."""
+    both = pa.concat_arrays([a, b]).dictionary_encode()
+    names, at = both.dictionary, both.indices.to_numpy()
+    order = pc.array_sort_indices(names)
+    rank = np.empty(len(names), np.int64)
+    rank[order.to_numpy()] = np.arange(len(names))
+    at, n = rank[at], len(at) // 2
+    root = list(range(len(names)))
+    for x, y in zip(at[:n].tolist(), at[n:].tolist(), strict=True):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        while root[y] != y:
+            root[y] = y = root[root[y]]
+        if x != y:
+            root[max(x, y)] = min(x, y)
+    for x in range(len(root)):  # roots are smaller, so theirs are final
+        root[x] = root[root[x]]
+    return names.take(order), np.array(root, np.int64)
+
+
 def forest(links: DataFrame) -> DataFrame:
     """Links (a, b) with those of a batch replaced by (member, smallest member) of their components: at most as many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = pa.concat_arrays([batch.column("a"), batch.column("b")]).dictionary_encode()
-            names, at = both.dictionary, both.indices.to_numpy()
-            rank = np.empty(len(names), np.int64)
-            rank[pc.array_sort_indices(names).to_numpy()] = np.arange(len(names))
-            at, n = rank[at], len(at) // 2
-            root = list(range(len(names)))
-            for x, y in zip(at[:n].tolist(), at[n:].tolist(), strict=True):
-                while root[x] != x:
-                    root[x] = x = root[root[x]]
-                while root[y] != y:
-                    root[y] = y = root[root[y]]
-                if x != y:
-                    root[max(x, y)] = min(x, y)
-            for x in range(len(root)):  # roots are smaller, so theirs are final
-                root[x] = root[root[x]]
-            names = names.take(pc.array_sort_indices(names))
-            top = np.array(root, np.int64)
+            names, top = _roots(batch.column("a"), batch.column("b"))
             child = np.flatnonzero(top != np.arange(len(top)))
             yield pa.RecordBatch.from_arrays([names.take(pa.array(child)), names.take(pa.array(top[child]))], names=["a", "b"])
 
@@ -142,13 +147,27 @@ def forest(links: DataFrame) -> DataFrame:
     return links.select("a", "b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, label: the smallest node it is linked with, from links (a, b); nodes without links don't appear."""
-    edges = forest(links.filter("a <> b")).distinct()
-    state = None
+def solved(links: DataFrame) -> DataFrame:
+    """node, label as of components, from few links (a, b): all in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if got := list(batches):
+            all_ = pa.Table.from_batches(got)
+            names, top = _roots(*(pa.concat_arrays(all_[c].chunks) for c in ("a", "b")))
+            yield pa.RecordBatch.from_arrays([names, names.take(pa.array(top))], names=["node", "label"])
+
+    kind = links.schema["a"].dataType.simpleString()
+    return staged(links.select("a", "b").coalesce(1).mapInArrow(run, f"node {kind}, label {kind}"), "labels")
+
+
+def components(links: DataFrame, few: int = 200_000) -> DataFrame:
+    """node, label: the smallest node it is linked with, from links (a, b); nodes without links don't appear. Once no more than `few` links are left, one task solves them: the work of a star is small beside that of its many tasks."""
+    edges, state = forest(links.filter("a <> b")), None
     while True:
         edges, now = staged_with(edges, "stars", F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
-        if now == state or not now[0]:
+        if now[0] <= few:
+            return solved(edges)
+        if now == state:
             return staged(edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select("b", "b").distinct()), "labels")
         state = now
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
@@ -158,9 +177,12 @@ def components(links: DataFrame) -> DataFrame:
         edges = forest(large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low)).distinct()
 
 
-def tied(links: DataFrame) -> DataFrame:
-    """node, label from links (a, b): a node it is linked with, the smallest that a look-up or two find. Cheaper than components; nodes with equal labels are of one component, but not the other way round."""
-    near = staged(forest(links.filter("a <> b")).groupBy("a").agg(F.min("b").alias("b")), "near")
+def tied(links: DataFrame, few: int = 200_000) -> DataFrame:
+    """node, label from links (a, b): the smallest node it is linked with, if no more than `few` links are left; else a node it is linked with, the smallest that a look-up or two find. Cheaper than components; nodes with equal labels are of one component, but not the other way round."""
+    edges, (n,) = staged_with(forest(links.filter("a <> b")), "near", F.count(F.lit(1)))
+    if n <= few:
+        return solved(edges)
+    near = staged(edges.groupBy("a").agg(F.min("b").alias("b")), "near")
     far = near.join(near.toDF("b", "c"), "b", "left").select("a", F.coalesce("c", "b").alias("label"))
     roots = near.select("b").distinct().join(near.select("a"), F.col("a") == F.col("b"), "left_anti")
     return staged(far.toDF("node", "label").union(roots.select("b", "b")), "labels")

@@ -70,3 +70,19 @@ def test_memory_of_two_blocks(spark, monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 64e6
+
+
+def test_few_links_take_no_stars(spark, monkeypatch):
+    """A path and a ring: up to `few` links are solved in one task after one write; more go through stars, with equal labels."""
+    rng, names = random.Random(6), list(range(1500))
+    rng.shuffle(names)
+    links = [*zip(names[:999], names[1:1000], strict=True), *zip(names[1000:], [*names[1001:], names[1000]], strict=True)]
+    expected = {x: min(part) for part in (names[:1000], names[1000:]) for x in part}
+    df, writes = spark.createDataFrame(rng.sample(links, len(links)), "a long, b long").repartition(5), []
+    monkeypatch.setattr(N, "staged_with", lambda *a, f=N.staged_with: writes.append(1) or f(*a))
+    assert {r["node"]: r["label"] for r in N.components(df).collect()} == expected
+    assert len(writes) == 1
+    assert {r["node"]: r["label"] for r in N.tied(df).collect()} == expected
+    assert {r["node"]: r["label"] for r in N.components(df, few=0).collect()} == expected
+    assert all(expected[r["label"]] == expected[r["node"]] for r in N.tied(df, few=0).collect())
+    assert N.components(df.limit(0)).count() == 0
