@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +51,18 @@ def staged_with(df: DataFrame, name: str, *figures: Column) -> tuple[DataFrame,
     return out, tuple(got[f"f{i}"] for i in range(len(figures)))
 
 
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of a write that is run within go when it ends, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def crc_fold(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id as text, modulo n. A null id counts as an empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

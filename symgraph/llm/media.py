@@ -21,9 +21,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, staged, text_of
+from .common import freed, slices, staged, text_of
 
 MAGIC, ROW = b"SAMPLES8", 576
+LEVEL = 6  # of zstd, for texts on their way and in the store
 _GEAR = np.random.default_rng(0x6EA2).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -74,7 +75,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        z = zstandard.ZstdCompressor(level=3)
+        z = zstandard.ZstdCompressor(level=LEVEL)
         for batch in batches:
             for part in slices(batch, "text"):
                 keys, blobs = [], []
@@ -144,21 +145,25 @@ def media_columns(docs: DataFrame, buckets: int | None = None) -> DataFrame:
 
     feature: counts of the payload's samples by their upper four bits. A null text is empty: one row of padding. Equal
     texts are stored once and have equal values; repeated rows and null ids are returned each. An empty table gives no
-    rows. Texts travel once, compressed, to their bucket.
+    rows. Texts travel once, compressed, to their bucket; a shuffle's files go once what it fed is written.
     """
     spark = docs.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = staged(recipes(docs), "recipes")
+    with freed(spark):
+        rows = staged(recipes(docs), "recipes")
     texts = rows.select("text_key", "digests", "lengths").dropDuplicates(["text_key"])
     refs = texts.select("text_key", F.posexplode("digests").alias("i", "digest"))
     # A chunk is shared if it occurs twice, be it in one text; its first place gives it.
     owners = refs.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("text_key", "i")).alias("owner")).filter("n > 1")
-    shared = staged(refs.join(owners, "digest").select("text_key", "i", "digest", ((F.col("owner.text_key") == F.col("text_key")) & (F.col("owner.i") == F.col("i"))).alias("gives")), "shared-chunks")
+    with freed(spark):
+        shared = staged(refs.join(owners, "digest").select("text_key", "i", "digest", ((F.col("owner.text_key") == F.col("text_key")) & (F.col("owner.i") == F.col("i"))).alias("gives")), "shared-chunks")
     marks = shared.groupBy("text_key").agg(F.collect_list("i").alias("shared"), F.sort_array(F.collect_list(F.when(F.col("gives"), F.col("i")))).alias("given"))
     plan = texts.select("text_key", "lengths").join(marks, "text_key", "left")
     store = _texts(docs).join(plan, "text_key").dropDuplicates(["text_key"]).select("text_key", "blob", "lengths", "shared", "given")
     name = f"media_{uuid.uuid4().hex}"
-    store.mapInArrow(_store, "text_key binary, private binary, gives array<binary>").write.option("compression", "zstd").bucketBy(buckets, "text_key").saveAsTable(name)
+    chunks = store.mapInArrow(_store, "text_key binary, private binary, gives array<binary>")
+    with freed(spark):
+        chunks.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(LEVEL)).bucketBy(buckets, "text_key").saveAsTable(name)
     stored = spark.table(name)
     # Chunks are addressed by digest, which the reader checks.
     gives = stored.filter(F.size("gives") > 0).select(F.explode("gives").alias("bytes")).withColumn("digest", F.unhex(F.sha2("bytes", 256)))
