@@ -8,8 +8,8 @@ order agrees.
 
 Exact copies are one class from the start. In each bucket of equal sketches, members are compared with a leader, not
 with each other, and then with leaders of four other components. Buckets that hold several components after that are
-searched for all their pairs, block by block, less those within the leader's component. Links become classes by
-alternating large and small stars, until few enough are left for one task. Nothing is capped.
+searched for all their pairs, block by block, less those within the leader's component. Links become classes in
+one task if they are few, else by alternating large and small stars. Nothing is capped.
 """
 
 from __future__ import annotations
