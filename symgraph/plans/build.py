@@ -69,7 +69,7 @@ def derived(g: Graph, max_depth: int = 15) -> dict[str, DataFrame]:
     found = cut(G.communities(members, g.edges))
     home = members.select("id", "group").join(found.select("group", F.col("id").alias("_c")), "group").select("id", "_c")
     nodes = g.nodes.join(home, "id", "left").withColumn("community_id", F.col("_c")).drop("_c")
-    flows = cut(G.trace_flows(g.nodes, g.edges, max_depth))
+    flows = G.trace_flows(g.nodes, g.edges, max_depth)
     return {"nodes": nodes, "edges": g.edges, "communities": found.drop("group"), "flows": flows, "flow_memberships": G.flow_memberships(flows), "tokens": G.token_table(g.nodes)}
 
 
