@@ -187,18 +187,35 @@ def hotspots(rows: DataFrame, rel: Column, is_test: Column, excluded: Column, or
     return ordered_mode(r.filter(F.col("bucket").isin("prod", "test")), ["bucket"], "dir", "_o", top), totals
 
 
+def _closest(anchors: DataFrame, nodes: DataFrame, on: Sequence[str], key: str) -> DataFrame:
+    """key, hit: the node nearest to an anchor's doc_line among those of the same keys, ties to the upper line, then the smaller symbol; a node without a line comes first.
+
+    Both sides are sorted together, once each way; no pairs are made.
+    """
+    n = nodes.groupBy(*on, "line_start").agg(F.min(F.struct("symbol", "file_path")).alias("_s")).select(*on, F.col("line_start").alias("_at"), F.lit(0).alias("_side"), F.struct("_s.symbol", "_s.file_path", "line_start").alias("_node"))
+    both = n.unionByName(anchors.select(*on, F.col("doc_line").alias("_at"), F.lit(1).alias("_side"), F.col(key).alias("_key")), allowMissingColumns=True)
+    for c in on:
+        both = both.filter(F.col(c).isNotNull())
+    down = Window.partitionBy(*on).orderBy(F.asc_nulls_first("_at"), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    up = Window.partitionBy(*on).orderBy(F.desc_nulls_last("_at"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_none", F.first(F.when(F.col("_at").isNull(), F.col("_node")), ignorenulls=True).over(down)).withColumn("_before", F.last("_node", ignorenulls=True).over(down)).withColumn("_after", F.last("_node", ignorenulls=True).over(up))
+    far = lambda c: F.abs(F.col(c)["line_start"] - F.col("_at"))
+    hit = F.coalesce("_none", F.when(far("_before") <= far("_after"), F.col("_before")), F.when(far("_before") > far("_after"), F.col("_after")), "_before", "_after")
+    found = both.filter("_side = 1").select(F.col("_key").alias(key), "_at", hit.alias("hit")).filter("hit is not null")
+    return found.groupBy(key).agg(F.min_by("hit", F.struct(F.abs(F.col("hit.line_start") - F.col("_at")), "hit.line_start", "hit.symbol")).alias("hit"))
+
+
 def nearest_line(anchors: DataFrame, nodes: DataFrame, key: str = "anchor_id") -> DataFrame:
     """anchors (file, name, doc_line) with the nearest definition of that name in the file, else across files where just one file has it."""
-    last = lambda c: F.substring_index(c, "/", -1)
     n = nodes.select("symbol", "name", "file_path", "line_start")
-    best = F.min_by(F.struct("symbol", "file_path", "line_start"), F.struct(F.abs(F.col("line_start") - F.col("doc_line")), "line_start", "symbol")).alias("hit")
-    # Files that match end alike, so the last part of the path is a key beside the name.
-    keyed = n.withColumn("_base", last("file_path")).withColumnRenamed("name", "_name")
-    here = anchors.withColumn("_own", last("file")).join(keyed, (F.col("name") == F.col("_name")) & (F.col("_own") == F.col("_base")) & ((F.col("file_path") == F.col("file")) | F.col("file_path").endswith(F.concat(F.lit("/"), "file"))))
-    near = here.groupBy(key).agg(best)
+    # A path is met by each of its ends at a slash, so files match by equality; ends that no anchor names are left out.
+    parts = F.split("file_path", "/")
+    ends = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, 1_000_000), "/"))))
+    keyed = n.filter("file_path is not null").withColumn("file", ends).join(anchors.select("file").distinct(), "file", "left_semi")
+    near = _closest(anchors, keyed, ["name", "file"], key)
     # Across files only names that one file has are looked up.
-    single = n.groupBy("name").agg(F.min("file_path").alias("_f"), F.max("file_path").alias("_l")).filter("_f = _l").select(F.col("name").alias("_name"))
-    away = anchors.join(near, key, "left_anti").join(n.withColumnRenamed("name", "_name").join(single, "_name"), F.col("_name") == F.col("name")).groupBy(key).agg(best)
+    single = n.groupBy("name").agg(F.min("file_path").alias("_f"), F.max("file_path").alias("_l")).filter("_f = _l").select("name")
+    away = _closest(anchors.join(near, key, "left_anti"), n.join(single, "name", "left_semi"), ["name"], key)
     found = near.withColumn("how", F.lit("same_file")).unionByName(away.withColumn("how", F.lit("only_file")))
     return anchors.join(found, key, "left").select(*anchors.columns, "hit.symbol", "hit.file_path", "hit.line_start", F.coalesce("how", F.lit("none")).alias("how"))
 

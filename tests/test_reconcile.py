@@ -1,3 +1,6 @@
+import random
+import re
+
 from symgraph.operators import reconcile as C
 from symgraph.operators import relational as R
 from symgraph import schema
@@ -64,3 +67,24 @@ def test_anchors_and_links(spark):
     links = spark.createDataFrame([(1, "k"), (2, "d"), (3, "z")], "link_id long, key string")
     titles = spark.createDataFrame([("k", "t"), ("d", "t1"), ("d", "t2")], "key string, title string")
     assert {r["link_id"]: r["ok"] for r in C.unique_links(links, titles).collect()} == {1: True, 2: False, 3: False}
+
+
+def test_nearest_line_makes_no_pairs(spark):
+    """Against all pairs, with equal lines, missing lines and paths that end alike; no join on the name's many rows."""
+    rng = random.Random(3)
+    line = lambda: rng.choice([None, *range(1, 40)]) if rng.random() < 0.2 else rng.randrange(1, 40)
+    nodes = [(f"s{i:03}", f"n{rng.randrange(12)}", rng.choice(["/r/a.py", "/r/x/a.py", "b.py", "/c.py"]), line() if i % 9 else rng.randrange(1, 40)) for i in range(60)]
+    nodes += [(f"t{i}", "only", "/c.py", i // 2) for i in range(8)]
+    anchors = [(i, rng.choice(["a.py", "x/a.py", "b.py", "none.py", None]), rng.choice(["only", *(f"n{k}" for k in range(13))]), line()) for i in range(120)]
+    a = spark.createDataFrame(anchors, "anchor_id long, file string, name string, doc_line long")
+    n = spark.createDataFrame(nodes, "symbol string, name string, file_path string, line_start long")
+    order = lambda x, at: ((x[3] is not None and at is not None, abs((x[3] or 0) - (at or 0)) if x[3] is not None and at is not None else 0), (x[3] is not None, x[3] or 0), x[0])
+    expected = {}
+    for i, file, name, at in anchors:
+        here = [x for x in nodes if x[1] == name and file and (x[2] == file or x[2].endswith("/" + file))]
+        away = [x for x in nodes if x[1] == name] if len({x[2] for x in nodes if x[1] == name}) == 1 else []
+        best = min(here or away, key=lambda x: order(x, at), default=(None, 0, None, None))
+        expected[i] = (best[0], best[2], best[3], "same_file" if here else "only_file" if away else "none")
+    found = R.nearest_line(a, n)
+    assert {r["anchor_id"]: (r["symbol"], r["file_path"], r["line_start"], r["how"]) for r in found.collect()} == expected
+    assert not re.search(r"Join\S* Inner", found._jdf.queryExecution().optimizedPlan().toString())
