@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,20 +14,37 @@ _HEAD = rf"impl#\[{_NAME}\](?:\[{_NAME}\])*"
 _STEP = rf"{_NAME}(?:\(\)\.|#|\.)"
 
 
+#: What brackets hold, up to four deep; without backtracking.
+_INSIDE = r"[^\[\]]*+"
+for _ in range(3):
+    _INSIDE = rf"(?:[^\[\]]++|\[{_INSIDE}\])*+"
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once a row however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def descriptor_region(symbol: Column | str) -> Column:
     """What follows the last back quote and slash, else the last slash of the symbol's tail; null without either."""
-    s = F.regexp_replace(col(symbol), r"\s+$", "")
-    tail = symbol_tail(s)
-    return F.when(s.contains("`/"), F.substring_index(s, "`/", -1)).when(tail.contains("/"), F.substring_index(tail, "/", -1))
+
+    def after(s: Column) -> Column:
+        tail = symbol_tail(s)
+        return F.when(s.contains("`/"), F.substring_index(s, "`/", -1)).when(tail.contains("/"), F.substring_index(tail, "/", -1))
+
+    return _let(F.regexp_replace(col(symbol), r"\s+$", ""), after)
 
 
 def descriptor_chain(region: Column | str) -> Column:
     """Names of the scopes and of the definition itself; of an impl head the type only. Null for what doesn't parse whole."""
-    r = col(region)
-    rest = F.regexp_replace(r, f"^{_HEAD}", "")
-    owner = F.regexp_extract(r, rf"^impl#\[({_NAME})\]", 1)
-    names = F.regexp_extract_all(rest, F.lit(rf"({_NAME})(?:\(\)\.|#|\.)"), F.lit(1))
-    return F.when(r.rlike(rf"\A(?:{_HEAD}(?:{_STEP})*|(?!impl#\[)(?:{_STEP})+)\z"), F.when(owner != "", F.concat(F.array(owner), names)).otherwise(names))
+
+    def names(r: Column) -> Column:
+        rest = F.regexp_replace(r, f"^{_HEAD}", "")
+        owner = F.regexp_extract(r, rf"^impl#\[({_NAME})\]", 1)
+        steps = F.regexp_extract_all(rest, F.lit(rf"({_NAME})(?:\(\)\.|#|\.)"), F.lit(1))
+        return F.when(r.rlike(rf"\A(?:{_HEAD}(?:{_STEP})*|(?!impl#\[)(?:{_STEP})+)\z"), F.when(owner != "", F.concat(F.array(owner), steps)).otherwise(steps))
+
+    return _let(col(region), names)
 
 
 def bracket_groups(text: Column | str) -> Column:
@@ -40,20 +59,33 @@ def bracket_groups(text: Column | str) -> Column:
         inside = F.struct(inner.alias("depth"), F.when(ends, "").otherwise(F.concat(a["now"], c)).alias("now"), F.when(ends, F.concat(a["groups"], F.array(a["now"]))).otherwise(a["groups"]).alias("groups"), F.lit(False).alias("done"))
         return F.when(a["done"], a).when(a["depth"] > 0, inside).when(c == "[", started).otherwise(stopped)
 
-    found = F.aggregate(F.filter(F.split(col(text), ""), lambda c: c != ""), empty, step)
-    return F.struct(found["groups"].alias("groups"), (found["depth"] == 0).alias("closed"))
+    def one_by_one(t: Column) -> Column:
+        return _let(F.aggregate(F.filter(F.split(t, ""), lambda c: c != ""), empty, step), lambda x: F.struct(x["groups"].alias("groups"), (x["depth"] == 0).alias("closed")))
+
+    def groups(t: Column) -> Column:
+        heads = F.regexp_extract(t, rf"\A((?:\[{_INSIDE}\])*+)", 1)
+        found = F.regexp_extract_all(heads, F.lit(rf"\[({_INSIDE})\]"), F.lit(1))
+        return F.when(t.rlike(rf"\A(?:\[{_INSIDE}\])*+(?!\[)"), F.struct(found.alias("groups"), F.lit(True).alias("closed"))).otherwise(one_by_one(t))
+
+    # Only what is left open or nested deeper is read a letter at a time.
+    return _let(col(text), groups)
 
 
 def impl_head(region: Column | str) -> Column:
     """state ('valid', 'malformed' or 'none'), receiver, traits of a region that starts as an impl head. A malformed head keeps its receiver if that was read."""
-    r = col(region)
-    found = bracket_groups(F.substring(r, 6, 1_000_000))
-    groups, closed = found["groups"], found["closed"]
-    receiver = F.when((F.size(groups) > 0) & (F.get(groups, F.lit(0)) != ""), F.get(groups, F.lit(0)))
-    whole = closed & receiver.isNotNull() & ~F.exists(groups, lambda g: g == "")
-    is_impl = F.coalesce(r.startswith("impl#["), F.lit(False))
-    traits = F.when(whole, F.slice(groups, 2, 1_000_000)).otherwise(F.array().cast("array<string>"))
-    return F.struct(F.when(~is_impl, "none").when(whole, "valid").otherwise("malformed").alias("state"), F.when(is_impl, receiver).alias("receiver"), F.when(is_impl, traits).otherwise(F.array().cast("array<string>")).alias("traits"))
+    none = F.array().cast("array<string>")
+    row = lambda state, receiver, traits: F.struct(state.alias("state"), receiver.alias("receiver"), traits.alias("traits"))
+
+    def head(found: Column) -> Column:
+        groups = found["groups"]
+        receiver = F.when((F.size(groups) > 0) & (F.get(groups, F.lit(0)) != ""), F.get(groups, F.lit(0)))
+        whole = found["closed"] & receiver.isNotNull() & ~F.exists(groups, lambda g: g == "")
+        return row(F.when(whole, "valid").otherwise("malformed"), receiver, F.when(whole, F.slice(groups, 2, 1_000_000)).otherwise(none))
+
+    def read(r: Column) -> Column:
+        return F.when(F.coalesce(r.startswith("impl#["), F.lit(False)), _let(bracket_groups(F.substring(r, 6, 1_000_000)), head)).otherwise(row(F.lit("none"), F.lit(None).cast("string"), none))
+
+    return _let(col(region), read)
 
 
 def best_ident(text: Column | str, excluded: tuple[str, ...] = ()) -> Column:

@@ -18,7 +18,7 @@ def qualified_select(candidates: DataFrame, frames: DataFrame, key: str = "frame
     be the wanted one unless its receiver is another, so it forbids any verdict.
     """
     c = candidates.select(key, "symbol", D.impl_head(D.descriptor_region("symbol")).alias("h"))
-    j = frames.join(c, key, "left")
+    j = frames.join(c.hint("merge"), key, "left")  # many candidates are small on disk, so Spark would send them to every task
     match = F.coalesce((F.col("h.state") == "valid") & (F.col("h.receiver") == F.col("receiver")) & F.array_contains("h.traits", F.col("trait")), F.lit(False))
     shadow = F.coalesce((F.col("h.state") == "malformed") & (F.col("h.receiver").isNull() | (F.col("h.receiver") == F.col("receiver"))), F.lit(False))
     per = j.groupBy(*frames.columns).agg(F.count_if(match).alias("n"), F.max(shadow).alias("shadow"), F.min(F.when(match, F.col("symbol"))).alias("hit"), F.count("symbol").alias("n_candidates"))
@@ -37,7 +37,7 @@ def collapse(candidates: DataFrame, frames: DataFrame, key: str = "frame") -> Da
     c = candidates.select(key, "line", "symbol", "kind", chain.alias("chain"))
     doc = F.split("full", r"\.")
     usable = ~F.exists(doc, lambda x: x == "")
-    j = frames.join(c, key, "left")
+    j = frames.join(c.hint("merge"), key, "left")  # many candidates are small on disk, so Spark would send them to every task
     equal = F.col("chain") == doc
     tail = (F.size("chain") > F.size(doc)) & (F.slice("chain", F.greatest(F.size("chain") - F.size(doc) + 1, F.lit(1)), F.size(doc)) == doc)
     row = F.struct("line", "symbol")

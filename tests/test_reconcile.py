@@ -1,8 +1,10 @@
 import random
 import re
 
+from symgraph.functions import descriptors as D
 from symgraph.operators import reconcile as C
 from symgraph.operators import relational as R
+from symgraph.operators import resolve as V
 from symgraph import schema
 
 
@@ -88,3 +90,21 @@ def test_nearest_line_makes_no_pairs(spark):
     found = R.nearest_line(a, n)
     assert {r["anchor_id"]: (r["symbol"], r["file_path"], r["line_start"], r["how"]) for r in found.collect()} == expected
     assert not re.search(r"Join\S* Inner", found._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_heads_are_read_once(spark):
+    """Brackets are gone through once a row however many fields are read; nested, open and deep ones as letter by letter."""
+    rows = [("impl#[A][B<[u8]>]f().", "valid", "A", ["B<[u8]>"]), ("impl#[A", "malformed", None, []), ("impl#[A][B", "malformed", "A", []), ("impl#[a[b[c[d[e[f]]]]]][T]x", "valid", "a[b[c[d[e[f]]]]]", ["T"]), ("impl#[][T]", "malformed", None, []), ("C#m().", "none", None, []), (None, "none", None, [])]
+    df = spark.createDataFrame([(r[0],) for r in rows], "t string")
+    h = D.impl_head("t")
+    got = df.select("t", h["state"].alias("state"), h["receiver"].alias("receiver"), h["traits"].alias("traits"))
+    assert [tuple(r) for r in got.collect()] == rows
+    one = df.select(h.alias("h"))._jdf.queryExecution().optimizedPlan().toString()
+    assert one.count("aggregate(") == 1
+
+
+def test_candidates_are_not_sent_to_tasks(spark):
+    c = spark.range(20).selectExpr("id % 5 as frame", "id as line", "'s p a 1 `m`/C#m().' as symbol", "'Function' as kind")
+    f = spark.range(6).selectExpr("id as frame", "'C.m' as full", "true as whole", "'A' as receiver", "'f' as method", "'T' as trait")
+    for found in (V.collapse(c, f), V.qualified_select(c, f.select("frame", "receiver", "method", "trait"))):
+        assert found.count() == 6 and "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
